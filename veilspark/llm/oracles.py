@@ -6,19 +6,49 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP1 = rf"""
 with d as (select doc_id, row_number() over () as r, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') as w from documents),
 b as (select item_id, row_number() over () as r, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') as w from benchmark),
-bw as (select distinct item_id, least(len(w), 10) as n, array_to_string(w[at : at + 9], ' ') as win
-       from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as at from b where len(w) > 0)),
+bw as (select distinct item_id, least(len(w), 10) as n, array_to_string(list_slice(w, pos, pos + 9), ' ') as win
+       from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as pos from b where len(w) > 0)),
 sizes as (select distinct n from bw),
-dw as (select r, at, n, array_to_string(w[at : at + n - 1], ' ') as win
-       from (select r, w, n, unnest(range(1, len(w) - n + 2)) as at from d, sizes where len(w) >= n)),
-hits as (select distinct r, at, dw.n, win, item_id from dw join bw using (win) where dw.n = bw.n),
-words as (select r, count(distinct p) as n_hit from (select r, unnest(range(at, at + n)) as p from (select distinct r, at, n from hits)) group by r),
+dw as (select r, pos, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') as win
+       from (select r, w, n, unnest(range(1, len(w) - n + 2)) as pos from d, sizes where len(w) >= n)),
+hits as (select distinct r, pos, dw.n, win, item_id from dw join bw using (win) where dw.n = bw.n),
+words as (select r, count(distinct p) as n_hit from (select r, unnest(range(pos, pos + n)) as p from (select distinct r, pos, n from hits)) group by r),
 items as (select r, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct r, cast(item_id as varchar) as i from hits where item_id is not null) group by r)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (r) left join items using (r)
 """
 
+OP6 = r"""
+with s as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+           md5('7|' || coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')) as draw from documents),
+src as (select source, count(*) as n, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as rank from s group by source),
+weighed as (select *, case rank % 3 when 0 then 3 when 1 then 1 else 2 end as w from src),
+units as (select *, (1.5 * sum(source_size) over () - coalesce(sum(2 * source_size) over below, 0)) / (sum(w) over () - coalesce(sum(w) over below, 0)) as unit
+          from weighed window below as (order by 2.0 * source_size / w, rank rows between unbounded preceding and 1 preceding)),
+filled as (select *, unit > 2.0 * source_size / w as capped from units),
+goals as (select source, n, rank, source_size, case when capped then cast(2 * source_size as double) else cast(w as double) * max(case when not capped then unit end) over () end as target,
+          greatest(1, least(16, min(case when source_size > 0 then source_size // 64 end) over ())) as block, greatest(1, cast(ceil(n / 20000.0) as bigint)) as shards from filled),
+dealt as (select s.*, rank, block, source_size, target, cast('0x' || substr(md5('7|' || draw), 1, 8) as bigint) % shards as shard
+          from s join goals g on s.source is not distinct from g.source),
+held as (select rank, shard, any_value(block) as block, any_value(target) as target, sum(size) as words, cast(ceil(sum(size) / any_value(block)) as bigint) as nb from dealt group by rank, shard),
+parties as (select rank, any_value(target) as target, 2 * sum(nb) as cap from held group by rank),
+seats as (select rank, count(*) as q from (select rank, row_number() over (order by target / (2 * k + 1) desc, rank) as place
+          from (select rank, target, unnest(range(0, cast(cap as bigint))) as k from parties where target > 0))
+          where place <= (select floor(sum(target) / any_value(block) + 0.5) from goals) group by rank),
+quotas as (select rank, shard, nb, count(*) filter (place <= q) as quota from (
+             select h.rank, shard, nb, coalesce(q, 0) as q, row_number() over (partition by h.rank order by words / (2 * k + 1) desc, shard) as place
+             from (select *, unnest(range(0, 2 * nb)) as k from held where nb > 0) h left join seats using (rank)) group by rank, shard, nb),
+laid as (select d.*, coalesce(sum(size) over (partition by rank, shard order by draw, size rows between unbounded preceding and 1 preceding), 0) as start from dealt d),
+full_ as (select l.*, q.quota, q.nb, cast('0x' || substr(md5('7|' || l.rank || '|' || l.shard), 1, 8) as bigint) % q.nb as chosen from laid l left join quotas q on l.rank = q.rank and l.shard = q.shard),
+ends as (select *, start // block as j0, (start + size) // block as j1, quota % nb as more from full_),
+upto as (select *,
+  (quota // nb) * start + ((j0 * more + chosen) // nb) * block + (((j0 + 1) * more + chosen) // nb - (j0 * more + chosen) // nb) * (start - j0 * block) as c0,
+  (quota // nb) * (start + size) + ((j1 * more + chosen) // nb) * block + (((j1 + 1) * more + chosen) // nb - (j1 * more + chosen) // nb) * (start + size - j1 * block) as c1 from ends)
+select doc_id, size, source_size, target, cast(coalesce(c1 - c0, 0) as bigint) as taken from upto
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1,
+    "op6_mixing": OP6,
 }
