@@ -11,7 +11,7 @@ shard's n blocks, a quota q takes each q div n times, and q mod n seeded ones on
 
 A large source has many shards, so none is a task's whole work, and blocks are worked out
 by arithmetic on positions, never made rows. The driver holds a row for each source and
-shard (`shard_docs` documents each), not for documents.
+each shard, of which there are at most SHARDS and one for each source.
 
 Defined results: null and empty texts have size 0 and take 0. Repeated rows are
 documents of their own and may differ by where they lie; the multiset of results is the
@@ -31,7 +31,9 @@ from pyspark.sql.window import Window
 from veilspark.llm.common import settled
 
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
-BLOCK_WORDS, SHARD_DOCS, SEED = 16, 20_000, 7
+BLOCK_WORDS, SEED = 16, 7
+#: A shard has about SHARD_DOCS documents, or more if there would be over SHARDS shards.
+SHARD_DOCS, SHARDS = 1_000, 100_000
 BROADCAST_ROWS = 100_000
 #: Words: maximal runs of characters other than these.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -127,7 +129,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, most=BL
     sizes = [r[2] for r in rows]
     goal = targets(sizes, weights, share, repeats)
     block = block_words(sizes, most)
-    shards = [max(1, math.ceil(r[1] / shard_docs)) for r in rows]
+    in_shard = max(shard_docs, math.ceil(sum(r[1] for r in rows) / SHARDS))
+    shards = [max(1, math.ceil(r[1] / in_shard)) for r in rows]
     names = spark.createDataFrame([(r[0], k, n) for k, (r, n) in enumerate(zip(rows, shards))], "_source string, rank int, shards int")
     # seeded again: the order within a shard must not follow from the choice of the shard
     dealt = (

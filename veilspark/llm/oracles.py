@@ -28,7 +28,7 @@ units as (select *, (1.5 * sum(source_size) over () - coalesce(sum(2 * source_si
           from weighed window below as (order by 2.0 * source_size / w, rank rows between unbounded preceding and 1 preceding)),
 filled as (select *, unit > 2.0 * source_size / w as capped from units),
 goals as (select source, n, rank, source_size, case when capped then cast(2 * source_size as double) else cast(w as double) * max(case when not capped then unit end) over () end as target,
-          greatest(1, least(16, min(case when source_size > 0 then source_size // 64 end) over ())) as block, greatest(1, cast(ceil(n / 20000.0) as bigint)) as shards from filled),
+          greatest(1, least(16, min(case when source_size > 0 then source_size // 64 end) over ())) as block, greatest(1, cast(ceil(n / greatest(1000.0, ceil(sum(n) over () / 100000.0))) as bigint)) as shards from filled),
 dealt as (select s.*, rank, block, source_size, target, cast('0x' || substr(md5('7|' || draw), 1, 8) as bigint) % shards as shard
           from s join goals g on s.source is not distinct from g.source),
 held as (select rank, shard, any_value(block) as block, any_value(target) as target, sum(size) as words, cast(ceil(sum(size) / any_value(block)) as bigint) as nb from dealt group by rank, shard),
