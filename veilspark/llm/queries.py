@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, mixing, quality, records, simhash
+from veilspark.llm import decontaminate, html, mixing, perplexity, quality, records, simhash, toxicity
 from veilspark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -30,10 +34,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.report(table(spark, sf_dir, "documents"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_records": op3_records,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_perplexity": op8_perplexity,
+    "op9_html": op9_html,
 }
