@@ -16,10 +16,11 @@ number of ids u64, so record k of a file can be read alone.
 Documents are dealt to tasks by ranges of doc_id and written in ascending order. A task
 writes under a name of its own attempt and only the files of tasks that ended are listed
 in the manifest, so lost and repeated tasks leave nothing in the dataset. The driver
-gets a row for each file. Where a vocabulary drops white space, its own cutting never
-reaches over it: texts are cut there and each distinct piece is encoded once for many
-documents by the tokenizers library; a test holds this against encoding whole texts.
-Other vocabularies encode whole texts.
+gets a row for each file. Where a vocabulary drops white space and case and cuts at marks
+(checked once), texts are cut likewise and each distinct piece is encoded once for many
+documents by the tokenizers library; texts with other than letters beyond ASCII, control
+characters or special tokens are encoded whole, as all texts are with other
+vocabularies. A test holds this against encoding whole texts.
 
 Defined results: null and empty texts hold the end id alone; null doc_ids come first;
 rows with equal doc_ids are ordered by their texts; an empty table gives no files.
@@ -27,9 +28,12 @@ rows with equal doc_ids are ordered by their texts; an empty table gives no file
 
 from __future__ import annotations
 
+import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +44,54 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import as_bytes, as_list, shared_dir, shuffle_partitions
 
-#: Distinct pieces whose ids a worker keeps; beyond it, it starts anew.
+#: Distinct pieces whose ids a worker keeps; as many older ones stay within reach.
 CACHE_PIECES = 500_000
-_caches: dict[str, tuple[object, dict[bytes, bytes] | None]] = {}
+#: Pieces of lower-case text: what some English words end in, letters, a digit, marks.
+PIECE = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\x00-\x20\x7fa-z0-9\x80-\xff]+")
+CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
+
+
+class Pieces(dict):
+    """Ids of pieces, each encoded once. Odd pieces, at which texts can't be cut, are in `odd`."""
+
+    def __init__(self, tokenizer, kind: str):
+        self.tokenizer, self.kind = tokenizer, kind
+        self.older: dict[bytes, bytes] = {}
+        self.odd: set[bytes] = set()
+        marks = [*"abz09", "hello", "'s", *map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))]
+        self.direct = all([t.id for t in tokenizer.model.tokenize(x)] == tokenizer.encode(x, add_special_tokens=False).ids for x in marks)
+        self.special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    @staticmethod
+    def fits(tokenizer) -> bool:
+        """Whether a vocabulary drops white space and case and cuts texts at least where PIECE does."""
+        ids = lambda x: tokenizer.encode(x, add_special_tokens=False).ids
+        text = "ab  Cd7 don't\tWE'LL 's ''s 1984 x--y,z (q!) \u00e9t\u00e9. \u4f60\u597d; #%&* a.b\n$5|c"
+        return ids(text) == [i for x in PIECE.findall(text.encode().lower()) for i in ids(x.decode())]
+
+    def plain(self, text: bytes) -> bool:
+        return not CONTROL.search(text) and not any(s in text for s in self.special)
+
+    def add(self, pieces: set[bytes]) -> None:
+        if len(self) > CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        known = pieces.intersection(self.older)
+        self.update((p, self.older[p]) for p in known)
+        new = pieces.difference(self, known)
+        tokenize, kind = self.tokenizer.model.tokenize, self.kind
+        if self.direct:  # nothing is left to do but to merge
+            ascii_ = [p for p in new if p.isascii()]
+            self.update((p, array(kind, [t.id for t in tokenize(p.decode())]).tobytes()) for p in ascii_)
+            new = [p for p in new if not p.isascii()]
+        texts = [p.decode() for p in new]
+        self.update(zip(new, (array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))))
+        self.odd.update(p for p, x in zip(new, texts) if not x.isascii() and not (x.isalpha() and x.lower().isalpha()))
+        if len(self.odd) > CACHE_PIECES:
+            self.odd.intersection_update(self)
+
+
+_caches: dict[str, tuple[object, Pieces | None, bool]] = {}
 
 
 def masked(data: bytes) -> int:
@@ -78,29 +127,32 @@ def encode_all(texts: list[bytes], vocabulary: str, end_id: int | None) -> tuple
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little" or array("H").itemsize != 2 or array("I").itemsize != 4:
+            raise RuntimeError("ids are packed in the machine's own order, which must be little-endian")
         new = Tokenizer.from_file(vocabulary)
-        ids = [new.encode(x, add_special_tokens=False).ids for x in ("ab cd", "ab", "cd")]
-        _caches[vocabulary] = (new, {} if ids[0] == ids[1] + ids[2] else None)
-    tokenizer, cache = _caches[vocabulary]
-    wide = max(tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id or 0) > 0xFFFF
+        large = new.get_vocab_size(with_added_tokens=True) > 1 << 16
+        _caches[vocabulary] = (new, Pieces(new, "I" if large else "H") if Pieces.fits(new) else None, large)
+    tokenizer, cache, wide = _caches[vocabulary]
+    if (end_id or 0) > 0xFFFF and not wide:
+        raise ValueError("the end id is beyond the vocabulary")
     kind = "<u4" if wide else "<u2"
     end = b"" if end_id is None else np.array([end_id], kind).tobytes()
     out = []
-    if cache is None:  # a vocabulary in which white space counts: whole texts
-        for at in range(0, len(texts), 256):
-            found = tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 256]], add_special_tokens=False)
+    for at in range(0, len(texts), 1024):
+        if cache is None:
+            found = tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 1024]], add_special_tokens=False)
             out += [np.array(e.ids, kind).tobytes() + end for e in found]
-        return out, wide
-    for at in range(0, len(texts), 256):
-        cut = [t.split() for t in texts[at : at + 256]]
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new = list(set().union(*cut).difference(cache))
-        for k in range(0, len(new), 50_000):
-            some = new[k : k + 50_000]
-            found = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            cache.update(zip(some, (np.array(e.ids, kind).tobytes() for e in found)))
-        out += [b"".join(map(cache.__getitem__, words)) + end for words in cut]
+            continue
+        cut = [PIECE.findall(t.lower()) for t in texts[at : at + 1024]]
+        every = set().union(*cut)
+        if len(cache) > CACHE_PIECES or not every <= cache.keys():
+            cache.add(every if len(cache) > CACHE_PIECES else every.difference(cache))
+        odd = every & cache.odd
+        for text, pieces in zip(texts[at : at + 1024], cut):
+            if cache.plain(text) and not (odd and not odd.isdisjoint(pieces)):
+                out.append(b"".join(map(cache.__getitem__, pieces)) + end)
+            else:
+                out.append(np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, kind).tobytes() + end)
     return out, wide
 
 
