@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, html, mixing, perplexity, quality, records, simhash, toxicity
+from veilspark.llm import decontaminate, html, mixing, perplexity, quality, records, simhash, suffix_array, toxicity
 from veilspark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.report(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_records": op3_records,
+    "op4_suffix_array": op4_suffix_array,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
