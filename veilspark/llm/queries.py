@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import decontaminate, html, mixing, perplexity, quality, records, simhash, suffix_array, toxicity
+from veilspark.llm import automaton, decontaminate, html, mixing, perplexity, quality, records, simhash, suffix_array, toxicity
 from veilspark.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.report(table(spark, sf_dir, "pages"))
 
 
+def op10_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -56,4 +60,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_perplexity": op8_perplexity,
     "op9_html": op9_html,
+    "op10_automaton": op10_automaton,
 }
