@@ -174,29 +174,31 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "quality", max_rows:
     return fit(x, np.array([r["grade"] for r in rows]))
 
 
-def score(docs: DataFrame, model: Model | None, keep_grade: int | None = None, least: float = 0.5) -> DataFrame:
-    """docs with all their columns and _expected, _tail, _kept."""
+def score(docs: DataFrame, model: Model | None, keep_grade: int | None = None, least: float = 0.5, name: str = "_quality") -> DataFrame:
+    """docs with all their columns and, last, a struct of expected, tail and kept."""
     if model is None or len(model.grades) < 2:
         only = F.lit(None if model is None else float(model.grades[0])).cast("double")
-        return docs.select("*", only.alias("_expected"), F.lit(1.0).alias("_tail"), F.lit(True).alias("_kept"))
+        return docs.select("*", F.struct(only.alias("expected"), F.lit(1.0).alias("tail"), F.lit(True).alias("kept")).alias(name))
     goal = model.grades[-1] if keep_grade is None else keep_grade
 
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             over = np.concatenate([np.zeros((0, len(model.thresholds)))] + [model.over(features(t)[None, :]) for t in texts.cast(pa.binary()).to_pylist()])
-            yield pa.StructArray.from_arrays([pa.array(model.expected(over)), pa.array(model.tail(over, goal))], names=["expected", "tail"])
+            tail = model.tail(over, goal)
+            yield pa.StructArray.from_arrays([pa.array(model.expected(over)), pa.array(tail), pa.array(tail >= least)], names=["expected", "tail", "kept"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    scored = docs.withColumn("_score", F.arrow_udf(run, "expected double, tail double")(F.col("text").cast("string")))
-    return scored.select(*docs.columns, F.col("_score.expected").alias("_expected"), F.col("_score.tail").alias("_tail"), (F.col("_score.tail") >= least).alias("_kept"))
+    return docs.select("*", F.arrow_udf(run, "expected double, tail double, kept boolean")(F.col("text").cast("string")).alias(name))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability, kept; a row for each row of docs."""
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_expected").alias("expected_grade"), F.col("_tail").alias("tail_probability"), F.col("_kept").alias("kept"))
+    q = F.col("_quality")
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), q["expected"].alias("expected_grade"), q["tail"].alias("tail_probability"), q["kept"].alias("kept"))
 
 
 def select(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """docs with all their columns, less those rejected."""
-    return score(docs, train(docs, labels), **settings).where("_kept").select(*docs.columns)
+    name = "_quality" + "_" * max((len(c) for c in docs.columns), default=0)  # none of docs' own
+    return score(docs, train(docs, labels), **settings, name=name).where(F.col(name)["kept"]).select(*docs.columns)
