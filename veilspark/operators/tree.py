@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from veilspark.catalog import Rule
 from veilspark.engine import TREE_DEPTH, Engine
-from veilspark.operators.detect import redact_surface
+from veilspark.functions.text import strip_ansi
+from veilspark.operators.detect import any_gate, findings, redact_surface, splice
 from veilspark.operators.redact import tree_udf, worth_scanning
 
 
@@ -46,17 +47,25 @@ def walk(df: DataFrame, key: str, column: str) -> DataFrame:
     return own.mapInArrow(run, f"`{key}` {own.schema[key].dataType.simpleString()}, path string, leaf string")
 
 
+def _scanned(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool) -> DataFrame:
+    """key, path, rules of leaves that may hold a finding. Callers aggregate before they filter on rules: a filter here would be pushed below and have all the expressions worked out again."""
+    leaves = walk(df, key, column)
+    return redact_surface(leaves.where(any_gate(rules, F.lower(strip_ansi(F.col("leaf"))))), "leaf", rules, authored)
+
+
 def all_hits(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False) -> DataFrame:
     """key, rules, fields: distinct rule ids and paths, sorted, of rows with any."""
-    found = redact_surface(walk(df, key, column), "leaf", rules, authored)
-    hit = found.where(F.size("rules") > 0).withColumn("field", F.when(F.col("path") == "", "(root)").otherwise(F.col("path")))
-    return hit.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"), F.array_sort(F.collect_set("field")).alias("fields"))
+    field = F.when(F.col("path") == "", "(root)").otherwise(F.col("path"))
+    found = _scanned(df, key, column, rules, authored).select(key, "rules", field.alias("field"))
+    each = found.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"), F.array_sort(F.collect_set(F.when(F.size("rules") > 0, F.col("field")))).alias("fields"))
+    return each.where(F.size("fields") > 0)
 
 
 def first_hit(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False) -> DataFrame:
     """key, field, rules: of the first path, in order of paths, with a finding."""
-    found = redact_surface(walk(df, key, column), "leaf", rules, authored).where(F.size("rules") > 0)
-    return found.groupBy(key).agg(F.min(F.struct("path", "rules")).alias("f")).select(key, F.col("f.path").alias("field"), F.col("f.rules").alias("rules"))
+    found = _scanned(df, key, column, rules, authored).select(key, "path", "rules")
+    each = found.groupBy(key).agg(F.min(F.when(F.size("rules") > 0, F.struct("path", "rules"))).alias("f")).where("f is not null")
+    return each.select(key, F.col("f.path").alias("field"), F.col("f.rules").alias("rules"))
 
 
 def rewrite(kind: T.DataType, value: Column, leaf: Callable[[Column], Column], depth: int = 0) -> Column:
@@ -77,9 +86,6 @@ def rewrite(kind: T.DataType, value: Column, leaf: Callable[[Column], Column], d
 
 def redact_typed(df: DataFrame, column: str, rules: Sequence[Rule], out: str = "redacted") -> DataFrame:
     """df with a struct, array or map column's strings redacted, natively."""
-    from veilspark.operators.detect import findings, splice
-    from veilspark.functions.text import strip_ansi
-
     def leaf(s: Column) -> Column:
         bare = strip_ansi(s)
         return F.when(s.isNull(), s).otherwise(splice(s, F.array_distinct(findings(rules, bare, F.lower(bare)))))
