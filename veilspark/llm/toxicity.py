@@ -194,12 +194,21 @@ def fit(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: in
     if not toxic or not clean:
         return None
     pos, neg = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
-    odds = {w: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((neg[w] + 0.5) / (len(clean) + 1)) for w, n in pos.items()}
-    support = max(2, round(0.008 * len(toxic)))
-    usable = [w for w, n in pos.items() if n >= support and neg[w] / len(clean) <= 0.02 * n / len(toxic) and odds[w] > 2]
-    seeds = set(sorted(usable, key=lambda w: (-odds[w], _order(w)))[:400])
+    base = len(toxic) / len(own_bags)
+
+    def surprise(w: str) -> float:
+        """G statistic of a word's share of toxic documents against the share of all; 0 if it's no larger."""
+        n, m = pos[w], neg[w]
+        if n / (n + m) <= base:
+            return 0.0
+        return 2 * (n * np.log(n / (n + m) / base) + (m * np.log(m / (n + m) / (1 - base)) if m else 0))
+
+    told = {w: surprise(w) for w in pos}
+    # beyond what the largest of so many words would reach by chance
+    clear = [w for w, g in told.items() if g > 2 * np.log(len(told) / 0.05) and pos[w] / len(toxic) > 20 * neg[w] / len(clean)]
+    seeds = set(sorted(clear, key=lambda w: (-told[w], _order(w)))[:400])
     if not seeds:
-        seeds = set(sorted(pos, key=lambda w: (-odds[w], _order(w)))[:20])
+        seeds = set(sorted(pos, key=lambda w: (-told[w], _order(w)))[:20])
     usual = sorted((w for w in neg if w not in seeds), key=lambda w: (-min(neg[w], 5), _order(w)))
     others = set(usual[:2000]) | set(sorted(usual, key=_order)[:3000])
     pool = sorted((w for w in neg if w not in seeds), key=_order)[:60_000]
@@ -241,15 +250,21 @@ def _best_of(bags: list[set[str]], model: Model) -> np.ndarray:
 
 def _curve(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (above 0) and shift of the logistic curve through (s, y), by Newton steps with a little penalty."""
-    p = np.array([2.0, 0.0])
     x = np.stack((s, np.ones_like(s)), axis=1)
-    for _ in range(50):
+
+    def loss(p: np.ndarray) -> float:
+        return float(np.logaddexp(0, -(2 * y - 1) * (x @ p)).sum() + 0.005 * p @ p)
+
+    p = np.array([1.0, 0.0])
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
         g = x.T @ (q - y) + 0.01 * p
         h = (x * (q * (1 - q))[:, None]).T @ x + 0.01 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        p = p - step * min(1, 5 / np.abs(step).max())
-        if np.abs(step).max() < 1e-8:
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(p - size * step) > loss(p) - 1e-4 * size * (g @ step):
+            size /= 2
+        p = p - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return max(float(p[0]), 0.1), float(p[1])
 
