@@ -76,7 +76,9 @@ def chain(events: DataFrame, log: str, order: str, ends: DataFrame | None = None
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["log", "line_no", "line"])
 
     kind = made.schema["log"].dataType.simpleString()
-    return made.repartition("log").sortWithinPartitions("log", "_order").mapInArrow(run, f"log {kind}, line_no long, line string")
+    # not the session's number: a join on log would make this exchange redundant, and adaptive execution could then split a log
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    return made.repartition(parts, "log").sortWithinPartitions("log", "_order").mapInArrow(run, f"log {kind}, line_no long, line string")
 
 
 def verify(lines: DataFrame) -> DataFrame:

@@ -122,3 +122,10 @@ def redact_surface(df: DataFrame, column: str, rules: Sequence[Rule], authored:
     gone = F.filter(F.col(found), lambda f: ~leaks(F.col(out), strip_ansi(F.col(out)), f["match"], f["secret"]))
     ids = F.when((F.size(found) > 0) & (F.col(out) != F.col(text)), F.array_distinct(F.transform(gone, lambda f: f["rule_id"]))).otherwise(F.array().cast("array<string>"))
     return step.withColumn(hits, F.coalesce(ids, F.array().cast("array<string>"))).drop(text, bare, low, found)
+
+
+def suppressed(df: DataFrame, column: str, rules: Sequence[Rule], out: str = "suppressed") -> DataFrame:
+    """df with the ids of rules whose findings a marker keeps from being redacted, for the audit log."""
+    bare = strip_ansi(F.col(column))
+    marked = F.filter(findings(rules, bare, F.lower(bare)), lambda f: near_marker(bare, f["match"]))
+    return df.withColumn(out, F.coalesce(F.array_distinct(F.transform(marked, lambda f: f["rule_id"])), F.array().cast("array<string>")))

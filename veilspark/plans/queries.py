@@ -144,6 +144,19 @@ _PH = duck_placeholder("aws-access-key", _KEY)
 query("marker_authored", f"select k, case when k % 4 in (0, 1, 2) and (k % 4 <> 2 or 106 + 14 <= 120) then c else replace(c, {_KEY}, {_PH}) end as redacted, not (k % 4 in (0, 1, 2) and (k % 4 <> 2 or 106 + 14 <= 120)) as hit from {_duck_text(_MARKED)}")(_marked(True))
 query("marker_untrusted", f"select k, replace(c, {_KEY}, {_PH}) as redacted, true as hit from {_duck_text(_MARKED)}")(_marked(False))
 
+
+
+@query("marker_suppressed", f"select k, case when k % 4 <> 3 then 'aws-access-key' else '' end as suppressed from {KEYED}")
+def _suppressed(spark, sf_dir):
+    return detect.suppressed(_seeded(spark, sf_dir, _MARKED), "c", [RULES["aws-access-key"]]).select("k", F.array_join("suppressed", ",").alias("suppressed"))
+
+
+@query("hint_line", f"select k, case k % 4 when 0 then null when 2 then '[veilspark] redacted 2 secret(s) (aws-access-key, github-pat-classic)' when 1 then '[veilspark] redacted 1 secret(s) (aws-access-key)' end as hint from {KEYED} where k % 4 <> 3")
+def _hint(spark, sf_dir):
+    df = redact_surface(_seeded(spark, sf_dir, MIXED).where("k % 4 <> 3"), "c", MIXED_RULES)
+    return df.select("k", text.hint("veilspark", F.col("rules")).alias("hint"))
+
+
 _ESC = "chr(27) || '[31m'"
 _LEAK_LINE = f"'before' || chr(10) || 'x ' || substr({_KEY}, 1, 8) || {_ESC} || substr({_KEY}, 9, 12) || ' y' || chr(10) || 'after'"
 _LEAK_ALL = f"substr({_KEY}, 1, 8) || {_ESC} || substr({_KEY}, 9, 12) || ' y'"
@@ -418,6 +431,50 @@ def _policy_post(spark, sf_dir):
     return policy.decide(df, [RULES["aws-access-key"]]).select("k", "action", "updated")
 
 
+@query("policy_paused", f"select k, 'pass' as action from {KEYED}")
+def _policy_paused(spark, sf_dir):
+    df = _seeded(spark, sf_dir, _EVENT).select("k", F.lit("claudecode").alias("harness"), F.lit("pre_tool").alias("event"), F.expr(_EVENT_TOOL).alias("tool"), F.col("c").alias("payload"))
+    return policy.decide(df, [RULES["aws-access-key"]], policy.Settings(paused_until="2999-01-01 00:00:00")).select("k", "action")
+
+
+@query("policy_warn_only", f"select k, case k % 7 when 0 then 'wrap' when 1 then 'deny' when 3 then 'pass' when 6 then 'prime' else 'warn' end as action from {KEYED}")
+def _policy_warn(spark, sf_dir):
+    df = _seeded(spark, sf_dir, _EVENT).select("k", F.lit("claudecode").alias("harness"), F.lit("pre_tool").alias("event"), F.expr(_EVENT_TOOL).alias("tool"), F.col("c").alias("payload"))
+    return policy.decide(df, [RULES["aws-access-key"]], policy.Settings(warn_only=True)).select("k", "action")
+
+
+@query("policy_tool_calls", f"select k, case when k % 6 = 0 then 'deny' else 'pass' end as pi, case when k % 6 in (0, 1, 4) then 'deny' else 'pass' end as opencode from {KEYED}")
+def _policy_calls(spark, sf_dir):
+    made = None
+    for harness, event, part in (("pi", "tool_call", "input"), ("opencode", "before", "args")):
+        df = _seeded(spark, sf_dir, f"""'{{"{part}":{{"q":"' || {_KEY} || '"}}}}'""")
+        df = df.select("k", F.lit(harness).alias("harness"), F.lit(event).alias("event"), F.expr(_TOOL.replace("custom", "grep")).alias("tool"), F.col("c").alias("payload"))
+        made = df if made is None else made.unionByName(df)
+    decided = policy.decide(made, [RULES["aws-access-key"]])
+    action = lambda h: F.max(F.when(F.col("harness") == h, F.col("action"))).alias(h)
+    return decided.groupBy("k").agg(action("pi"), action("opencode"))
+
+
+@query("decision_json", f"""select k, case k % 7 when 1 then '{{"hookSpecificOutput":{{"permissionDecision":"deny","permissionDecisionReason":"field command of Bash contains an apparent aws-access-key"}}}}' when 3 then '{{}}' end as decision from {KEYED} where k % 7 in (1, 3)""")
+def _decision_json(spark, sf_dir):
+    df = _seeded(spark, sf_dir, _EVENT).where("k % 7 in (1, 3)").select("k", F.lit("claudecode").alias("harness"), F.lit("pre_tool").alias("event"), F.expr(_EVENT_TOOL).alias("tool"), F.col("c").alias("payload"))
+    d = policy.decide(df, [RULES["aws-access-key"]])
+    return d.select("k", policy.decision_json(F.col("harness"), F.col("action"), F.col("reason"), F.col("updated")).alias("decision"))
+
+
+@query("language_prefix", f"select k, case when k % 2 = 0 then 'sh:' else '' end as prefix, h as rest from {KEYED}")
+def _language(spark, sf_dir):
+    df = _seeded(spark, sf_dir, "case when k % 2 = 0 then 'sh:' || h else h end").withColumn("p", text.split_language(F.col("c")))
+    return df.select("k", "p.prefix", "p.rest")
+
+
+@query("normalized_views", f"select k, case when k % 2 = 0 then 'a' || h || '|a' || chr(8203) || h || '&' else '' end as views from {KEYED}")
+def _views(spark, sf_dir):
+    df = _seeded(spark, sf_dir, "case when k % 2 = 0 then 'a​' || h || '&#38;' else 'plain ' || h end")
+    first = F.transform(text.normalized_views(F.col("c")), lambda v: F.replace(v, F.lit("&#38;"), F.lit("")))
+    return df.select("k", F.array_join(first, "|").alias("views"))
+
+
 # Audit ------------------------------------------------------------------------------------------------------------
 
 _ENTRY_SQL = """select user_id as log, row_number() over (partition by user_id order by event_id) as line_no, event_id,
@@ -464,6 +521,11 @@ def _audit_summary(spark, sf_dir):
     return audit.summary(audit.verify(_tampered(_chained(spark, sf_dir))))
 
 
+@query("audit_last_hash", f"with recursive {_CHAIN_SQL} select log, arg_max(hash, line_no) as prev from chain group by log")
+def _audit_last(spark, sf_dir):
+    return audit.last_hash(_chained(spark, sf_dir))
+
+
 # Streaming -----------------------------------------------------------------------------------------------------------
 
 
