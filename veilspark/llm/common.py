@@ -69,3 +69,13 @@ def ascii_lower(text):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, key: str, least: int = 0) -> DataFrame:
+    """df dealt out by key, for tasks that need all rows of a key.
+
+    The number of partitions is never the session's: a join on the key would have that, Spark
+    would then drop this exchange as redundant, and adaptive execution may after all
+    read the join by other partitions, as no operator states that it needs them so.
+    """
+    return df.repartition(max(shuffle_partitions(df.sparkSession) + 1, least), key)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, settled, shuffle_partitions, unsettle
+from veilspark.llm.common import as_bytes, dealt, settled, unsettle
 
 BITS, SHINGLE, SEED = 4, 4, 42
 LIST_LIMIT = 20_000
@@ -158,7 +158,7 @@ def links(distinct: DataFrame, bits: int = BITS, list_limit: int = LIST_LIMIT) -
     outside = F.filter(fourth, lambda x: ~F.array_contains(F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in TRIPLES]), triple + 1), x["p"]))
     small = met.where(F.col("count") <= list_limit).select("key", "fp")
     large = met.where(F.col("count") > list_limit).select(F.explode(outside).alias("x"), "key", "fp").select(F.col("key").bitwiseOR(F.shiftleft(F.col("x.more") + 1, 30)).alias("key"), "fp")
-    lists = small.unionByName(large).repartition(shuffle_partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
+    lists = dealt(small.unionByName(large), "key").sortWithinPartitions("key")
     return lists.mapInArrow(_linked(bits), "a long, b long").distinct()
 
 
