@@ -159,11 +159,11 @@ def _made_up(rng, n):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 1 << 8])
-def test_repeated_bytes(spark, shard_bytes):
+@pytest.mark.parametrize("shard_bytes, large", [(1 << 20, 5000), (1 << 8, 5000), (1 << 20, 3)])
+def test_repeated_bytes(spark, shard_bytes, large):
     rows = _made_up(random.Random(8), 60)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted(tuple(r) for r in suffix_array.report(df, 40, shard_bytes).collect()) == _bytes_brute([(k, t.encode()) for k, t in rows], 40)
+    assert sorted(tuple(r) for r in suffix_array.report(df, 40, shard_bytes, large).collect()) == _bytes_brute([(k, t.encode()) for k, t in rows], 40)
 
 
 def test_repeated_bytes_sf(docs, rows):
@@ -187,11 +187,11 @@ def _words_brute(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard_words", [100_000, 10])
-def test_repeated_words(spark, shard_words):
+@pytest.mark.parametrize("large", [5000, 3])
+def test_repeated_words(spark, large):
     rows = _made_up(random.Random(9), 80)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert sorted(tuple(r) for r in automaton.report(df, 12, shard_words).collect()) == _words_brute(rows, 12)
+    assert sorted(tuple(r) for r in automaton.report(df, 12, large).collect()) == _words_brute(rows, 12)
 
 
 def test_repeated_words_sf(docs, rows):

@@ -9,8 +9,8 @@ just the documents that have the anchor. Passages come in order of the smallest
 that has them; each is streamed through the automaton of those before it, its
 matching statistics (the longest match that ends at each word) give the windows that
 occurred earlier, and it's then added. Other documents that have the same passage lose all
-of it. An anchor with more passages than a shard may hold is settled by window digests,
-counted and joined in Spark, with the same result.
+of it. Passages of an anchor that occurs more than LARGE times never meet in a task: their
+windows' digests are aggregated and joined in Spark, with the same result.
 
 Defined results: null and empty texts have no words. Rows with a null doc_id come after
 all others and remove nothing from each other. Rows that share a doc_id are one document as
@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, as_list, settled, shuffle_partitions
+from veilspark.llm.common import as_bytes, as_list, dealt, settled
 from veilspark.llm.repeats import candidates, keyed, words_kind
 from veilspark.llm.suffix_array import merge, runs, with_spans
 
-SIZE, SHARD_WORDS = 50, 100_000
+SIZE = 50
+#: Occurrences of an anchor beyond which its passages are told by window digests.
+LARGE = 5_000
 #: Bytes of reference texts whose automaton may be broadcast.
 REFERENCE_BYTES = 32 << 20
 #: Stands for a null doc_id.
@@ -105,32 +107,48 @@ def windows_in(automaton: Automaton, items, size: int) -> np.ndarray:
 
 
 def _shards(size: int):
-    """Rows come sorted by anchor and least: anchor, digest, least, data. Gives digest, a, b: runs of windows that a smaller document has."""
+    """Rows come sorted by anchor: anchor, digest and either least or data. Gives digest, a, b: runs of windows that a smaller document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, automaton, waiting, least_now, digests = None, Automaton(), [], None, set()
-        number: dict[bytes, int] = {}
+        now, least_of, data_of = None, {}, {}
+
+        def solve() -> list[tuple]:
+            """One anchor's passages; nothing if it has one alone: its first document loses none of it."""
+            rows: list[tuple] = []
+            if len(least_of) > 1:
+                automaton, waiting, least_now, number = Automaton(), [], None, {}
+                for least, digest in sorted((x, d) for d, x in least_of.items()):
+                    if least != least_now:
+                        for items in waiting:
+                            automaton.add(items)
+                        waiting, least_now = [], least
+                    items = [number.setdefault(w, len(number)) for w in data_of[digest].split(b" ")]
+                    if len(automaton.next) > 1:
+                        at = windows_in(automaton, items, size)
+                        if len(at):
+                            rows += [(digest, a, b) for a, b in zip(*(x.tolist() for x in runs(at)))]
+                    waiting.append(items)
+            least_of.clear()
+            data_of.clear()
+            return rows
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64()))], names=["digest", "a", "b"])
+
         for batch in batches:
             rows = []
-            for anchor, digest, least, data, count in zip(*(as_list(batch, c) for c in ("anchor", "digest", "least", "data", "passages"))):
+            for anchor, digest, least, data in zip(*(as_list(batch, c) for c in ("anchor", "digest", "least", "data"))):
                 if anchor != now:
-                    now, automaton, waiting, least_now, digests = anchor, Automaton(), [], None, set()
-                    number = {}
-                if count < 2 or digest in digests:  # one passage alone: its other documents lose all of it, its first nothing
-                    continue
-                digests.add(digest)
-                if least != least_now:
-                    for items in waiting:
-                        automaton.add(items)
-                    waiting, least_now = [], least
-                items = [number.setdefault(w, len(number)) for w in data.split(b" ")]
-                if len(automaton.next) > 1:
-                    at = windows_in(automaton, items, size)
-                    if len(at):
-                        rows += [(digest, a, b) for a, b in zip(*(x.tolist() for x in runs(at)))]
-                waiting.append(items)
+                    rows += solve()
+                    now = anchor
+                if data is None:
+                    least_of[digest] = least
+                else:
+                    data_of[digest] = data
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64()))], names=["digest", "a", "b"])
+                yield batch_of(rows)
+        if rows := solve():
+            yield batch_of(rows)
 
     return run
 
@@ -138,35 +156,33 @@ def _shards(size: int):
 def _window_digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, least, data in zip(*(as_list(batch, c) for c in ("digest", "least", "data"))):
+            digests, w, at = [], [], []
+            for digest, data in zip(*(as_list(batch, c) for c in ("digest", "data"))):
                 words = data.split(b" ")
+                ends = np.concatenate(([0], np.cumsum([len(x) + 1 for x in words]))).tolist()
                 n = len(words) - size + 1
-                ends = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
-                w = [xxhash.xxh3_128_digest(data[ends[k] : ends[k + size] - 1]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest] * n, pa.binary()), pa.array([least] * n, pa.int64()), pa.array(w, pa.binary()), pa.array(np.arange(n))], names=["digest", "least", "w", "a"])
+                digests += [digest] * n
+                w += [xxhash.xxh3_128_digest(data[ends[k] : ends[k + size] - 1]) for k in range(n)]
+                at += range(n)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(w, pa.binary()), pa.array(at, pa.int64())], names=["digest", "w", "a"])
 
     return run
 
 
-def spans(docs: DataFrame, size: int = SIZE, shard_words: int = SHARD_WORDS) -> DataFrame:
+def spans(docs: DataFrame, size: int = SIZE, large: int = LARGE) -> DataFrame:
     """doc_id, th, spans (array of a, b: words a .. b - 1 go); docs: of keyed(). For documents that lose any."""
-    parts = shuffle_partitions(docs.sparkSession)
-    found = candidates(docs, words_kind(size))
+    found = candidates(docs, words_kind(size), large)
     own = F.coalesce("doc_id", F.lit(LAST))
-    of = settled(found.groupBy("digest", "anchor").agg(F.min(own).alias("least"), F.max(own).alias("most"), F.max("windows").alias("windows")))
-    data = found.where("data is not null").select(F.col("digest").alias("_digest"), "data")
-    weights = of.groupBy("anchor").agg(F.count("*").alias("passages"), F.sum(F.col("windows") + size).alias("words"))
-    weighed = of.join(weights, "anchor").where("passages > 1")
-    several = settled(weighed.select("digest", "anchor", "least", "passages", "words"))
-    with_data = several.join(data, several["digest"] == data["_digest"]).drop("_digest")
-    usual = with_data.where(F.col("words") <= 8 * shard_words).select("anchor", "digest", "least", "data", "passages")
-    parts_of = usual.repartition(parts, "anchor").sortWithinPartitions("anchor", "least", "digest").mapInArrow(_shards(size), "digest binary, a long, b long")
-    if several.where(F.col("words") > 8 * shard_words).head(1):
-        large = with_data.where(F.col("words") > 8 * shard_words).select("digest", "least", "data").dropDuplicates(["digest"]).repartition(parts)
-        windows = settled(large.mapInArrow(_window_digests(size), "digest binary, least long, w binary, a long"))
-        first = windows.groupBy("w").agg(F.min("least").alias("earliest"), F.max("least").alias("latest")).where("earliest < latest").select("w", "earliest")
-        parts_of = parts_of.unionByName(windows.join(first, "w").where("earliest < least").select("digest", "a", F.col("a").alias("b")))
-    inside = settled(parts_of).groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    of = settled(found.groupBy("digest").agg(F.min("anchor").alias("anchor"), F.bool_or("large").alias("large"), F.min(own).alias("least"), F.max(own).alias("most")))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    few = of.where("not large").select("anchor", "digest", "least", nothing("binary").alias("data"))
+    few = few.unionByName(found.where("data is not null and not large").select("anchor", "digest", nothing("long").alias("least"), "data"))
+    parts_of = dealt(few, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size), "digest binary, a long, b long")
+    windows = settled(found.where("data is not null and large").select("digest", "data").mapInArrow(_window_digests(size), "digest binary, w binary, a long"))
+    dated = windows.join(of.where("large").select("digest", "least"), "digest")
+    first = dated.groupBy("w").agg(F.min("least").alias("earliest"), F.max("least").alias("latest")).where("earliest < latest").select("w", "earliest")
+    parts_of = parts_of.unionByName(dated.join(first, "w").where("earliest < least").select("digest", "a", F.col("a").alias("b")))
+    inside = settled(parts_of).groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     judged = of.where("least < most").select("digest", "least").join(inside, "digest", "full")
     judged = judged.select(F.col("digest").alias("_digest"), "least", "runs")
     hit = found.select("doc_id", "th", "digest", "first", "windows").join(judged, found["digest"] == judged["_digest"])
@@ -189,7 +205,7 @@ def _kept(texts: list[bytes], spans_of: list, ids: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def deduplicate(docs: DataFrame, size: int = SIZE, shard_words: int = SHARD_WORDS) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = SIZE, large: int = LARGE) -> DataFrame:
     """doc_id, n_words, n_removed, kept (binary: the remaining words joined by a space), a row for each row of docs."""
     own = keyed(docs)
 
@@ -197,7 +213,7 @@ def deduplicate(docs: DataFrame, size: int = SIZE, shard_words: int = SHARD_WORD
         for batch in batches:
             yield _kept(as_bytes(batch, "text"), as_list(batch, "spans"), batch.column(0))
 
-    return with_spans(own, spans(own, size, shard_words)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    return with_spans(own, spans(own, size, large)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def against(docs: DataFrame, reference: DataFrame, size: int = SIZE, most_bytes: int = REFERENCE_BYTES) -> DataFrame:
@@ -223,5 +239,5 @@ def against(docs: DataFrame, reference: DataFrame, size: int = SIZE, most_bytes:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def report(docs: DataFrame, size: int = SIZE, shard_words: int = SHARD_WORDS) -> DataFrame:
-    return deduplicate(docs, size, shard_words).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+def report(docs: DataFrame, size: int = SIZE, large: int = LARGE) -> DataFrame:
+    return deduplicate(docs, size, large).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, as_list, settled
+from veilspark.llm.common import as_bytes, as_list, settled, unsettle
 
 #: Bytes of text that are worked on at once.
 BLOCK = 1 << 20
@@ -168,14 +168,14 @@ def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, anchor long, n long")
 
 
-_PASSAGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary()), ("first", pa.int64()), ("windows", pa.int64()), ("several", pa.bool_()), ("data", pa.binary())])
+_PASSAGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary()), ("first", pa.int64()), ("windows", pa.int64()), ("several", pa.bool_()), ("large", pa.bool_()), ("data", pa.binary())])
 
 
-def candidates(docs: DataFrame, kind: Kind) -> DataFrame:
-    """Passages whose anchor occurs more than once: doc_id, th, anchor, digest, first, windows, several (its anchor is at several places in it), and data (null where the task has met the passage before). docs: of keyed(). Written to the shared folder."""
+def candidates(docs: DataFrame, kind: Kind, large: int) -> DataFrame:
+    """Passages whose anchor occurs more than once: doc_id, th, anchor, digest, first, windows, several (its anchor is at several places in it), large (its anchor occurs more than `large` times), and data (null where the task has met the passage before). docs: of keyed(). Written to the shared folder."""
     found = settled(anchors(docs, kind))
-    repeated = found.groupBy("anchor").agg(F.sum("n").alias("_n")).where("_n > 1").select("anchor")
-    wanted = found.join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("wanted"))
+    repeated = found.groupBy("anchor").agg(F.sum("n").alias("_n")).where("_n > 1").select("anchor", (F.col("_n") > large).alias("large"))
+    wanted = found.join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "large")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), "wanted")
     both = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc_id"]) & (docs["th"] == wanted["_th"])).select("doc_id", "th", "text", "wanted")
 
@@ -185,19 +185,21 @@ def candidates(docs: DataFrame, kind: Kind) -> DataFrame:
             ids, ths, lists = as_list(batch, "doc_id"), as_list(batch, "th"), batch.column(3)
             for at, texts in _blocks(as_bytes(batch, "text"), kind):
                 which, first, windows, anchor, several = passages(texts, kind)
-                sets = [lists[at + k].values.to_numpy() for k in range(len(texts))]
+                sets = [{x["anchor"]: x["large"] for x in lists[at + k].as_py()} for k in range(len(texts))]
                 cut = np.searchsorted(which, np.arange(len(texts) + 1))
                 cols: list[list] = [[] for _ in _PASSAGE]
                 for k, text in enumerate(texts):
                     a, b = cut[k], cut[k + 1]
-                    here = np.flatnonzero(np.isin(anchor[a:b], sets[k])) + a
+                    here, names = sets[k], anchor[a:b].tolist()
                     places = kind.places(text)
-                    for i in here.tolist():
+                    for i, name in enumerate(names, a):
+                        if name not in here:
+                            continue
                         f, n = int(first[i]), int(windows[i])
                         last = f + n - 1 + kind.size
                         data = text[f:last] if places is None else text[places[f] : places[last] - 1]
                         digest = xxhash.xxh3_128_digest(data)
-                        row = (ids[at + k], ths[at + k], int(anchor[i]), digest, f, n, bool(several[i]), None if digest in met else data)
+                        row = (ids[at + k], ths[at + k], name, digest, f, n, bool(several[i]), here[name], None if digest in met else data)
                         met.add(digest)
                         for c, x in zip(cols, row):
                             c.append(x)
@@ -206,4 +208,6 @@ def candidates(docs: DataFrame, kind: Kind) -> DataFrame:
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PASSAGE)], schema=_PASSAGE)
 
-    return settled(both.mapInArrow(run, "doc_id long, th long, anchor long, digest binary, first long, windows long, several boolean, data binary"))
+    out = settled(both.mapInArrow(run, "doc_id long, th long, anchor long, digest binary, first long, windows long, several boolean, large boolean, data binary"))
+    unsettle(found)
+    return out

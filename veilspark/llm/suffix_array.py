@@ -6,9 +6,10 @@ settled by its count. A shard of bounded size builds the suffix array of its pas
 Larsson-Sadakane refinement, in numpy and down to `size` bytes, with groups that are down to one
 suffix left out of later rounds; common prefixes of neighbours follow by Kasai's rule
 (along a diagonal the prefix shrinks by one, so only where a diagonal begins is anything
-compared). Windows with a neighbour that shares `size` bytes are repeated. An anchor with
-more passages than a shard may hold is split over several shards: each sorts the digests
-of its windows, and shards are merged by binary search in the sorted digests of all.
+compared). Windows with a neighbour that shares `size` bytes are repeated. Shards need
+no merging, as equal windows never lie in two; the passages of an anchor that occurs more than
+LARGE times, which would outgrow a shard, never meet in a task: digests of their windows are
+merged by Spark's sorted aggregation and join instead of by binary search in shards.
 
 Defined results: null and empty texts have no bytes. Matches never cross documents; rows
 that are equal, doc_id included, are documents of their own, so both lose what they share.
@@ -27,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, as_list, settled, shuffle_partitions
+from veilspark.llm.common import as_bytes, as_list, dealt, settled
 from veilspark.llm.repeats import bytes_kind, candidates, keyed
 
 SIZE, SHARD_BYTES = 400, 1 << 20
+#: Occurrences of an anchor beyond which its passages are told by window digests.
+LARGE = 5_000
 
 
 def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,51 +191,35 @@ def _shards(size: int, shard_bytes: int):
 
 
 def _window_digests(size: int):
+    """digest, w (of a window), a (its place)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for digest, data in zip(as_list(batch, "digest"), as_list(batch, "data")):
                 n = len(data) - size + 1
-                w = [xxhash.xxh3_128_digest(data[k : k + size]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest] * n, pa.binary()), pa.array(w, pa.binary()), pa.array(np.arange(n))], names=["digest", "w", "a"])
+                for at in range(0, n, 10_000):
+                    w = [xxhash.xxh3_128_digest(data[k : k + size]) for k in range(at, min(n, at + 10_000))]
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(w), pa.binary()), pa.array(w, pa.binary()), pa.array(np.arange(at, at + len(w)))], names=["digest", "w", "a"])
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of the sorted window digests: those whose neighbours, found by binary search, are equal."""
-    held = [b for b in batches if b.num_rows]
-    if held:
-        t = pa.Table.from_batches(held)
-        w = np.array(t["w"].to_pylist(), "S17")  # a byte more: trailing zeros would fall off
-        keep = np.searchsorted(w, w, "right") - np.searchsorted(w, w, "left") > 1
-        for b in t.select(["digest", "a"]).filter(pa.array(keep)).to_batches():
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(1)], names=["digest", "a", "b"])
-
-
 def repeated_runs(found: DataFrame, size: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """digest, a, b: runs of windows a .. b of a passage that occur elsewhere. found: of candidates()."""
-    spark = found.sparkSession
-    parts = shuffle_partitions(spark)
-    data = found.where("data is not null").select("anchor", "digest", "several", "data")
-    weights = settled(data.groupBy("anchor").agg(F.sum(F.length("data")).alias("bytes"), F.count("*").alias("n")))
-    large = weights.where((F.col("bytes") > 4 * shard_bytes) & (F.col("n") > 1)).select("anchor")
-    total = weights.agg(F.sum("bytes")).first()[0] or 0
-    usual = data.join(large, "anchor", "left_anti")
-    out = usual.repartition(max(parts, int(total // (16 * shard_bytes)) + 1), "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size, shard_bytes), "digest binary, a long, b long")
-    if large.head(1):
-        whole = data.join(large, "anchor").dropDuplicates(["digest"]).select("digest", "data").repartition(parts)
-        windows = settled(whole.mapInArrow(_window_digests(size), "digest binary, w binary, a long"))
-        twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-        out = out.unionByName(windows.join(twice, "w").select("digest", "a", F.col("a").alias("b")))
-    return out
-
-
-def spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    few = found.where("data is not null and not large").select("anchor", "digest", "several", "data")
+    out = dealt(few, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size, shard_bytes), "digest binary, a long, b long")
+    # tasks may have sent a passage twice: a window is a digest and a place
+    windows = settled(found.where("data is not null and large").select("digest", "data").mapInArrow(_window_digests(size), "digest binary, w binary, a long").distinct())
+    twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
+    return out.unionByName(windows.join(twice, "w").select("digest", "a", F.col("a").alias("b")))
+
+
+def spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE) -> DataFrame:
     """doc_id, th, spans (array of a, b: bytes a .. b - 1 go); docs: of keyed(). For documents that lose any."""
-    found = candidates(docs, bytes_kind(size))
+    found = candidates(docs, bytes_kind(size), large)
     parts = settled(repeated_runs(found, size, shard_bytes))
     times = found.groupBy("digest").agg(F.count("*").alias("times"))
-    inside = parts.groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    inside = parts.groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     judged = times.join(inside, "digest", "left").where("times > 1 or runs is not null")
     hit = found.select("doc_id", "th", "digest", "first", "windows").join(judged, "digest")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("windows") - 1).alias("b")))
@@ -256,7 +243,7 @@ def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc_id"]) & (docs["th"] == found["_th"]), "left").select("doc_id", "text", "spans")
 
 
-def deduplicate(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes), a row for each row of docs."""
     own = keyed(docs)
 
@@ -273,8 +260,8 @@ def deduplicate(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTE
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_spans(own, spans(own, size, shard_bytes)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_spans(own, spans(own, size, shard_bytes, large)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def report(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    return deduplicate(docs, size, shard_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def report(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE) -> DataFrame:
+    return deduplicate(docs, size, shard_bytes, large).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
