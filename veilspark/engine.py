@@ -110,8 +110,11 @@ class Engine:
     markers: Sequence[str] = MARKERS
     depth: int = DECODE_DEPTH
     suppressed: list[str] = field(default_factory=list)
+    #: Results for strings seen lately; trees are read more than once and repeat values.
+    memo: int = 4096
 
     def __post_init__(self) -> None:
+        self._memo: dict[tuple[str, bool], tuple[str, tuple[str, ...]]] = {}
         self._compiled = [(r, re.compile(to_python(r.regex), re.ASCII), [(t, [re.compile(to_python(v), re.ASCII) for v in t.values] if t.kind == "any" else t.values) for t in terms_of(r)], [re.compile(to_python(x), re.ASCII) for x in r.allow]) for r in self.rules]
 
     def _dropped(self, terms, secret: str) -> bool:
@@ -183,6 +186,15 @@ class Engine:
         """Redacted text and the ids of rules whose secrets are gone; no ids if nothing changed."""
         if not text:
             return text, []
+        if (text, authored) not in self._memo:
+            if len(self._memo) >= self.memo:
+                self._memo.clear()
+            out, ids = self._redact(text, authored)
+            self._memo[text, authored] = out, tuple(ids)
+        out, ids = self._memo[text, authored]
+        return out, list(ids)
+
+    def _redact(self, text: str, authored: bool) -> tuple[str, list[str]]:
         found = self._kept(bare := strip_ansi(text), self.find(bare), authored)
         out = self.splice(text, found)
         ids = list(dict.fromkeys(f.rule_id for f in found if not leaks(out, f.forms)))
