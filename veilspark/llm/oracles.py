@@ -48,7 +48,35 @@ upto as (select *,
 select doc_id, size, source_size, target, cast(coalesce(c1 - c0, 0) as bigint) as taken from upto
 """
 
+OP4 = """
+with d as (select doc_id, row_number() over () as r, hex(encode(coalesce(text, ''))) as x from documents),
+win as (select r, pos, md5(substr(x, 2 * pos - 1, 800)) as h from (select r, x, unnest(range(1, length(x) // 2 - 398)) as pos from d where length(x) >= 800)),
+hit as (select r, pos from win where h in (select h from win group by h having count(*) > 1)),
+marked as (select r, pos, case when pos <= lag(pos) over (partition by r order by pos) + 400 then 0 else 1 end as fresh from hit),
+runs as (select r, min(pos) as a, max(pos) + 400 as b from (select r, pos, sum(fresh) over (partition by r order by pos rows unbounded preceding) as run from marked) group by r, run),
+before as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 1) as free from runs),
+kept as (select before.r, string_agg(substr(any_x.x, 2 * free - 1, 2 * (a - free)), '' order by a) as head, max(b) as free, sum(b - a) as n_removed, count(*) as n_spans
+         from before join d as any_x on before.r = any_x.r group by before.r)
+select doc_id, length(x) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(case when n_spans is null then x else head || substr(x, 2 * free - 1) end)) as kept_sha256
+from d left join kept using (r)
+"""
+
+OP10 = r"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select r, doc_id, pos, md5(array_to_string(list_slice(w, pos, pos + 49), ' ')) as h from (select r, doc_id, w, unnest(range(1, len(w) - 48)) as pos from d where len(w) >= 50)),
+least as (select h, min(coalesce(doc_id, 9223372036854775807)) as first from win group by h),
+gone as (select distinct r, unnest(range(pos, pos + 50)) as p from win join least using (h) where coalesce(doc_id, 9223372036854775807) > first),
+words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select r, string_agg(word, ' ' order by p) as text from words anti join gone using (r, p) group by r),
+lost as (select r, count(*) as n from gone group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join lost using (r) left join kept using (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1,
+    "op4_suffix_array": OP4,
     "op6_mixing": OP6,
+    "op10_automaton": OP10,
 }
