@@ -186,6 +186,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2) -
 
     pafs_make(path)
     parts = shuffle_partitions(spark)
+    # where one doc_id has very many rows, the beginnings of their texts let ranges divide them; whole texts are sorted
     dealt = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     dealt = dealt.withColumn("task", F.spark_partition_id().cast("long"))
     rows = dealt.mapInArrow(run, "name string, task long, n_docs long, n_tokens long, n_bytes long").collect()
