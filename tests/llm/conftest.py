@@ -1,11 +1,11 @@
 import pytest
 
 LONG = "lorem ipsum dolor " * 20_000
-DOC = "doc_id long, text string, lang string, source string, n_chars long, th long, spans string, root string, size long, score double, _kept boolean"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, th long, spans string, root string, size long, score double, _kept boolean, _draw string, _nth int, _fp long, _kept_id long, _hit_marks string, row string, draw string, quota long, _quality int"
 
 
 def row(i, text, lang="en", source="a"):
-    return (i, text, lang, source, len(text) if text else None, 1, "x", "y", 5, 0.5, None)
+    return (i, text, lang, source, len(text) if text else None, 1, "x", "y", 5, 0.5, None, "d", 1, 2, 3, "m", "r", "w", 4, 6)
 
 
 @pytest.fixture(scope="session")

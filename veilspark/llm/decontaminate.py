@@ -125,5 +125,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     if remove == "documents":
         return docs.join(hit, same, "left_anti")
     out = docs.join(hit, same, "left")
-    text = F.when(F.col("_hit_marks").isNull(), docs["text"]).otherwise(without_hits(docs["text"], F.col("_hit_marks")))
-    return out.withColumn("_clean", text).select(*[F.col("_clean").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    text = F.when(hit["_hit_marks"].isNull(), docs["text"]).otherwise(without_hits(docs["text"], hit["_hit_marks"]))
+    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])

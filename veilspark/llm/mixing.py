@@ -175,17 +175,18 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     times = plan(docs, **settings).where("taken > 0").select(F.col("doc_id").alias("_doc_id"), F.col("draw").alias("_times_draw"), "start", "quota", "blocks", "chosen", "block")
     # equal rows are told apart by a number, so that each has the place of one of them
     times = times.withColumn("_times_nth", F.row_number().over(Window.partitionBy("_doc_id", "_times_draw").orderBy("start")))
-    own = docs.withColumn("_draw", seeded(seed, F.col("doc_id"), F.col("text")))
-    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_draw").orderBy("_draw")))
-    both = own.join(times, own["doc_id"].eqNullSafe(times["_doc_id"]) & (own["_draw"] == times["_times_draw"]) & (own["_nth"] == times["_times_nth"]))
+    # docs' columns travel in one struct, so that none of their names matters
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), seeded(seed, F.col("doc_id"), F.col("text")).alias("draw"))
+    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("row.doc_id", "draw").orderBy("draw")))
+    both = own.join(times, F.col("row.doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("draw") == F.col("_times_draw")) & (F.col("nth") == F.col("_times_nth")))
     every, more = div(F.col("quota"), F.col("blocks")), F.col("quota") % F.col("blocks")
-    each = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), (every + (more > 0).cast("long")).cast("int"))))
-    words = F.regexp_extract_all("text", F.lit(WORD + SPACE[:-1] + "*"), F.lit(0))
+    each = both.withColumn("copy", F.explode(F.sequence(F.lit(1), (every + (more > 0).cast("long")).cast("int"))))
+    words = F.regexp_extract_all("row.text", F.lit(WORD + SPACE[:-1] + "*"), F.lit(0))
 
     def chosen(i: Column) -> Column:
         j = div(F.col("start") + i, F.col("block"))
         return div((j + 1) * more + F.col("chosen"), F.col("blocks")) > div(j * more + F.col("chosen"), F.col("blocks"))
 
     part = F.array_join(F.filter(words, lambda w, i: chosen(i)), "")
-    out = each.withColumn("_text", F.when(F.col("_copy") <= every, F.col("text")).otherwise(part)).where("_text <> ''")
-    return out.select(*[F.col("_text").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    out = each.withColumn("mixed", F.when(F.col("copy") <= every, F.col("row.text")).otherwise(part)).where("mixed <> ''")
+    return out.select(*[F.col("mixed").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

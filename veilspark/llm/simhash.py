@@ -223,9 +223,10 @@ def deduplicate(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> Da
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = pa.array(_fingerprints(as_bytes(batch, "text"), shingle).view(np.int64))
-            yield batch.append_column("_fp", fp)
+            yield batch.append_column(name, fp)
 
+    name = "_fp" + "_" * max(map(len, several.columns))  # none of docs' own
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in several.schema)
-    several = several.mapInArrow(printed, f"{fields}, _fp long")
-    several = several.join(kept, several["doc_id"].eqNullSafe(kept["_kept_id"]) & (several["_fp"] == kept["_kept_fp"]), "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp")
+    several = several.mapInArrow(printed, f"{fields}, {name} long")
+    several = several.join(kept, several["doc_id"].eqNullSafe(kept["_kept_id"]) & (several[name] == kept["_kept_fp"]), "left_semi").dropDuplicates(["doc_id", name]).drop(name)
     return alone.unionByName(several)
