@@ -389,3 +389,4 @@ def test_main_text_kinds():
     )
     assert html.main_text(page) == "Head & “line”\nOne bold two three\nNext\ni\nj"
     assert html.main_text("") == html.main_text(None) == ""
+    assert html.main_text("<div class='has-sidebar'><div class=sidebar>s</div><main><p>text</main></div>") == "text"

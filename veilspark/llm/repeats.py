@@ -32,11 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def byte_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the 16 bytes at each place of the joined texts, and the texts' lengths."""
-    data = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
-    n = len(data) - 16
-    eight = np.zeros(n + 8, np.uint64)
-    for k in range(8):
-        eight |= data[k : k + n + 8].astype(np.uint64) << np.uint64(8 * k)
+    data = b"".join(texts) + bytes(24)
+    n = len(data) - 24
+    eight = np.empty(n + 8, np.uint64)
+    for k in range(8):  # the 8 bytes at every eighth place, for each first place
+        part = eight[k::8]
+        part[:] = np.frombuffer(data, "<u8", len(part), k)
     eight = mix(eight * np.uint64(0x9E3779B97F4A7C15))
     return mix(eight[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + eight[8 : n + 8]), np.array([len(t) for t in texts], np.int64)
 
@@ -110,28 +111,30 @@ def passages(texts: list[bytes], kind: Kind) -> tuple[np.ndarray, ...]:
     if m < 1:
         return none
     low = np.uint64((1 << 24) - 1)
-    key = (h & ~low) | np.arange(n, dtype=np.uint64)  # the leftmost of equals
-    rows = -(-n // w)
-    grid = np.full(rows * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    grid[:n] = key
-    grid = grid.reshape(rows, w)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    place = (np.minimum(back[:m], ahead[w - 1 : w - 1 + m]) & low).astype(np.int64)
+    least = (h & ~low) | np.arange(n, dtype=np.uint64)  # the leftmost of equals
+    wide = 1
+    while 2 * wide <= w:  # the least of twice as many at each step
+        least = np.minimum(least[:-wide], least[wide:])
+        wide *= 2
+    place = (np.minimum(least[:m], least[w - wide : w - wide + m]) & low).astype(np.int64)
     ends = np.cumsum(lengths)
-    text = np.repeat(np.arange(len(texts)), lengths)
-    valid = np.arange(m) + kind.size <= ends[text[:m]]
-    at = np.flatnonzero(valid)
+    starts = ends - lengths
+    # where a text begins, and where the least gram moves, as far as windows lie in their text
+    at = np.union1d(np.flatnonzero(place[1:] != place[:-1]) + 1, starts[lengths >= kind.size])
+    text = np.searchsorted(ends, at, "right")
+    held = at + kind.size <= ends[text]
+    at, text = at[held], text[held]
     if not len(at):
         return none
-    fresh = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(text[at]) > 0)))
-    moved = np.concatenate(([True], np.diff(place[at]) != 0))
-    other = np.concatenate(([True], h[place[at][1:]] != h[place[at][:-1]]))
-    first = np.flatnonzero(fresh | other)
-    windows = np.diff(np.concatenate((first, [len(at)])))
-    several = np.add.reduceat(moved.astype(np.int64), first) > 1
-    begin = at[first]
-    return text[begin], begin - (ends - lengths)[text[begin]], windows, h[place[begin]].view(np.int64), several
+    anchor = h[place[at]]
+    head = np.concatenate(([True], anchor[1:] != anchor[:-1])) | (at == starts[text])
+    first = np.flatnonzero(head)
+    begin, which = at[first], text[first]
+    stop = ends[which] - kind.size + 1
+    later = np.concatenate((begin[1:], [m]))
+    windows = np.minimum(later, stop) - begin
+    several = np.diff(np.concatenate((first, [len(at)]))) > 1
+    return which, begin - starts[which], windows, anchor[first].view(np.int64), several
 
 
 def _blocks(texts: list[bytes | None], kind: Kind) -> Iterator[tuple[int, list[bytes]]]:
