@@ -382,6 +382,16 @@ def test_templates_go(spark):
     assert got[3] == "Story 3 is told here." and got[99].startswith("Welcome to our site")
 
 
+def test_templates_go_inside_articles(spark):
+    frame = "<body><article><h1>Head {k}</h1><p>Subscribe to our <b>letter</b>.</p><p>Story {k} is told by <b>Acme</b> here.</p>{more}<div><span>Written by our staff</span></div></article></body>"
+    page = lambda k, more="": frame.replace("{k}", str(k)).replace("{more}", more)
+    rows = [(k, f"http://h.example/{k}", page(k, "<p>Shared by some.</p>" if k % 2 else "")) for k in range(30)]
+    rows += [(100 + k, f"http://copies.example/{k}", page(7)) for k in range(30)] + [(200, "http://few.example/", page(200))]
+    got = {r["page_id"]: r["text"] for r in html.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == "Head 4\nStory 4 is told by Acme here." and got[3] == "Head 3\nStory 3 is told by Acme here.\nShared by some."
+    assert got[107] == "Head 7\nSubscribe to our letter.\nStory 7 is told by Acme here.\nWritten by our staff" and "Subscribe" in got[200]
+
+
 def test_main_text_kinds():
     page = (
         "<html><head><title>t</title></head><body><header>h</header><nav>n</nav><div class='cookie-notice'>c</div><article><h1>Head &amp; &#8220;line&#8221;</h1>"

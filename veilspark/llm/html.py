@@ -4,11 +4,13 @@ A page is read once by a small tokenizer into a tree. Elements that aren't main
 what they are go: scripts, styles, forms, nav, header, footer, aside and the like, hidden
 elements, and elements whose class, id or role has a word such as "ad", "cookie",
 "sidebar", "menu" or "comments". Where a page has an article or main element, the main
-text is in it. Elsewhere a site's template is found by counting: every element subtree
-outside such an element is hashed (its tag and all text and elements below), Spark counts on
-how many of a host's pages each hash occurs, and subtrees on at least MIN_PAGES pages and
-SHARE of the host's pages are deleted. Subtrees inside an article or main element aren't
-candidates, as passages that articles share are text.
+text is in it. A site's template is found by counting on all pages: every element subtree
+is hashed (its tag and all text and elements below), Spark counts on how many of a host's
+pages each hash occurs, and subtrees on at least MIN_PAGES pages and SHARE of the host's
+pages are deleted. On pages with an article or main element the subtrees are those in it,
+counted apart from other pages', and the share is INSIDE_SHARE of the host's distinct main
+texts, so that passages that some articles share stay, and copies of an article, however
+many, count once. Inline elements amid a block's own text stay there too.
 
 Counts are summed before they are dealt out, and their key is host and hash, so a host with
 a third of all pages isn't one task's work. A host's template has at most as many
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import as_list
 
-MIN_PAGES, SHARE, MAX_DEPTH = 5, 0.2, 200
+MIN_PAGES, SHARE, INSIDE_SHARE, MAX_DEPTH = 5, 0.2, 0.6, 200
 #: A host's template hashes that may be broadcast, all hosts together.
 BROADCAST_HASHES = 200_000
 
@@ -151,12 +153,12 @@ def has_main(node: Node) -> bool:
     return False
 
 
-def hash_tree(node: Node) -> int:
-    """Sets every element's hash, of its tag and all below; comments and attributes don't count."""
+def hash_tree(node: Node, inside: bool) -> int:
+    """Sets every element's hash, of its tag and all below; comments and attributes don't count. Pages with a main element have hashes of their own."""
     parts = [node.tag]
     for c in node.children:
-        parts.append(str(hash_tree(c)) if isinstance(c, Node) else SPACE.sub(" ", c).strip())
-    node.hash = xxhash.xxh64_intdigest("\x00".join(parts)) - (1 << 63)
+        parts.append(str(hash_tree(c, inside)) if isinstance(c, Node) else SPACE.sub(" ", c).strip())
+    node.hash = xxhash.xxh64_intdigest("\x00".join(parts), int(inside)) - (1 << 63)
     return node.hash
 
 
@@ -164,23 +166,27 @@ def _text_in(node: Node) -> bool:
     return any(c.strip() if isinstance(c, str) else not c.drop and _text_in(c) for c in node.children)
 
 
-def candidates(html: str | None) -> set[int]:
-    """Hashes of subtrees that may be template: those with text, of a page without main element, the page's outermost elements left out."""
+def _amid(node: Node, child: Node) -> bool:
+    """Whether child is an inline element amid node's own text."""
+    return child.tag in INLINE and any(isinstance(c, str) and c.strip() for c in node.children)
+
+
+def candidates(html: str | None) -> tuple[int | None, set[int]]:
+    """The main text's hash, if the page has a main element, and hashes of subtrees that may be template: those with text, in main elements if there are any; the page's outermost elements are left out."""
     if not html:
-        return set()
+        return None, set()
     root = parse(html)
-    if has_main(root):
-        return set()
-    hash_tree(root)
-    out, todo = set(), [root]
+    inside = has_main(root)
+    hash_tree(root, inside)
+    out, todo = set(), [(root, not inside)]
     while todo:
-        n = todo.pop()
+        n, on = todo.pop()
         for c in n.children:
             if isinstance(c, Node) and not c.drop and _text_in(c):
-                if c.tag not in ("html", "body"):
+                if (on or c.main) and c.tag not in ("html", "body") and not (inside and _amid(n, c)):
                     out.add(c.hash)
-                todo.append(c)
-    return out
+                todo.append((c, on or c.main))
+    return (xxhash.xxh64_intdigest(_text_of(root, inside)) - (1 << 63) if inside else None), out
 
 
 def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -189,8 +195,12 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
         return ""
     root = parse(html)
     inside = has_main(root)
-    if template and not inside:
-        hash_tree(root)
+    if template:
+        hash_tree(root, inside)
+    return _text_of(root, inside, template)
+
+
+def _text_of(root: Node, inside: bool, template: frozenset[int] | set[int] = frozenset()) -> str:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -205,7 +215,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
             if isinstance(c, str):
                 if on:
                     run.append(c)
-            elif c.drop or template and not inside and c.hash in template:
+            elif c.drop or c.hash in template and (on or c.main) and not (inside and _amid(node, c)):
                 run.append(" ") if c.tag in INLINE else flush()
             elif c.tag == "br":
                 run.append(" ")
@@ -226,27 +236,36 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
     """host, hash of subtrees that recur across the host's pages."""
+    from veilspark.llm.common import settled
+
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, p, x) for p, h, html in zip(*(as_list(batch, c) for c in ("page_id", "host", "html"))) for x in candidates(html)]
+            rows = []
+            for h, p, html in zip(*(as_list(batch, c) for c in ("host", "page_id", "html"))):
+                text, found = candidates(html)
+                inside = text is not None
+                rows += [(h, inside, text if inside else p, x) for x in (*found, *[None] * inside)]  # None: the main text itself
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], names=["host", "page_id", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], names=["host", "inside", "unit", "hash"])
 
-    found = keyed.mapInArrow(run, "host string, page_id long, hash long").distinct()
+    found = keyed.mapInArrow(run, "host string, inside boolean, unit long, hash long").distinct()
+    recur = settled(found.groupBy("host", "inside", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    texts = recur.where("inside and hash is null").select("host", "inside", F.col("n").alias("pages"))
     of_host = keyed.select("host", "page_id").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    recur = found.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return recur.join(of_host, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    of_all = of_host.select("host", F.lit(False).alias("inside"), "pages").unionByName(texts)
+    least = F.when(F.col("inside"), F.lit(inside_share)).otherwise(F.lit(share)) * F.col("pages")
+    return recur.where("hash is not null").join(of_all, ["host", "inside"]).where(F.col("n") >= least).select("host", "hash")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
     """page_id, url and text, a row for each row of pages."""
     from veilspark.llm.common import settled
 
-    found = settled(templates(pages, min_pages, share))
+    found = settled(templates(pages, min_pages, share, inside_share))
     by_host = found.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
     n = found.count()
