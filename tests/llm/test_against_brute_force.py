@@ -360,6 +360,15 @@ def test_bands_keep_clean_documents(spark):
     assert sum(r["kept"] for r in got) / len(got) > 0.995
 
 
+def test_bands_reject_low_quality_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    got = perplexity.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("quality is not null and not base_failed")
+    by = {(r["lang"], r["quality"]): (r["n"], r["gone"]) for r in got.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.sum((~F.col("kept")).cast("int")).alias("gone")).collect()}
+    print(sorted(by.items()))
+    for lang, least in (("de", 0.9), ("en", 0.9), ("fr", 0.9), ("es", 0.5)):
+        assert by[lang, 0][1] >= least * by[lang, 0][0] and by[lang, 1][1] <= 0.005 * by[lang, 1][0], by
+
+
 # 9 -----------------------------------------------------------------------------------------------
 
 
