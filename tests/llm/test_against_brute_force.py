@@ -96,6 +96,17 @@ def test_damage_is_found():
             records.unframe(bad)
 
 
+def test_odd_pieces_stay_odd(monkeypatch):
+    """However often the cache is turned over."""
+    v = records.default_vocabulary()
+    monkeypatch.setattr(records, "CACHE_PIECES", 8)
+    monkeypatch.setattr(records, "_caches", {})
+    texts = ["wait\u2026!? 5\u20ac. \u201chello\u201d. x", "aa bb cc dd ee ff", "\u201ca \u201cb \u201cc \u201cd \u201ce \u201cf", "wait\u2026!?", "\u201chello\u201d. x", "5\u20ac."]
+    for text in texts * 3:
+        got = np.frombuffer(records.encode_all([text.encode()], v, None)[0][0], "<u2").tolist()
+        assert got == records._caches[v][0].encode(text, add_special_tokens=False).ids, text
+
+
 def test_odd_texts_are_encoded_as_wholes():
     v = records.default_vocabulary()
     records.encode_all([b"x"], v, None)

@@ -52,12 +52,11 @@ CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 
 
 class Pieces(dict):
-    """Ids of pieces, each encoded once. Odd pieces, at which texts can't be cut, are in `odd`."""
+    """Ids of pieces, each encoded once; None for odd pieces, at which texts can't be cut."""
 
     def __init__(self, tokenizer, kind: str):
         self.tokenizer, self.kind = tokenizer, kind
-        self.older: dict[bytes, bytes] = {}
-        self.odd: set[bytes] = set()
+        self.older: dict[bytes, bytes | None] = {}
         marks = [*"abz09", "hello", "'s", *map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))]
         self.direct = all([t.id for t in tokenizer.model.tokenize(x)] == tokenizer.encode(x, add_special_tokens=False).ids for x in marks)
         self.special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
@@ -78,17 +77,17 @@ class Pieces(dict):
             self.clear()
         known = pieces.intersection(self.older)
         self.update((p, self.older[p]) for p in known)
-        new = pieces.difference(self, known)
+        new = list(pieces.difference(self, known))
         tokenize, kind = self.tokenizer.model.tokenize, self.kind
         if self.direct:  # nothing is left to do but to merge
             ascii_ = [p for p in new if p.isascii()]
             self.update((p, array(kind, [t.id for t in tokenize(p.decode())]).tobytes()) for p in ascii_)
             new = [p for p in new if not p.isascii()]
         texts = [p.decode() for p in new]
+        odd = [not x.isascii() and not (x.isalpha() and x.lower().isalpha()) for x in texts]
+        self.update((p, None) for p, o in zip(new, odd) if o)
+        new, texts = ([x for x, o in zip(y, odd) if not o] for y in (new, texts))
         self.update(zip(new, (array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))))
-        self.odd.update(p for p, x in zip(new, texts) if not x.isascii() and not (x.isalpha() and x.lower().isalpha()))
-        if len(self.odd) > CACHE_PIECES:
-            self.odd.intersection_update(self)
 
 
 _caches: dict[str, tuple[object, Pieces | None, bool]] = {}
@@ -147,7 +146,7 @@ def encode_all(texts: list[bytes], vocabulary: str, end_id: int | None) -> tuple
         every = set().union(*cut)
         if len(cache) > CACHE_PIECES or not every <= cache.keys():
             cache.add(every if len(cache) > CACHE_PIECES else every.difference(cache))
-        odd = every & cache.odd
+        odd = {p for p in every if cache[p] is None}
         for text, pieces in zip(texts[at : at + 1024], cut):
             if cache.plain(text) and not (odd and not odd.isdisjoint(pieces)):
                 out.append(b"".join(map(cache.__getitem__, pieces)) + end)
