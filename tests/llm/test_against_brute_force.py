@@ -230,6 +230,20 @@ def test_anchors_of_equal_windows():
         assert len(keys[0]) == 1 and keys[0] == keys[1]
 
 
+@pytest.mark.parametrize("kind", [repeats.bytes_kind(60), repeats.words_kind(20)])
+def test_anchors_beyond_the_packing(kind):
+    """Windows far into a long text have the anchors that they have in short texts."""
+    rng, bits = random.Random(3), 8
+    unit = (lambda: bytes([rng.randrange(97, 123)])) if kind.gram == 16 else (lambda: b"%d " % rng.randrange(1000))
+    shared = [unit() for _ in range(kind.size)]
+    for before in (0, 200, 255, 256, 300, 3000):
+        texts = [b"".join(shared), b"".join([*(unit() for _ in range(before)), *shared, *(unit() for _ in range(500))])]
+        which, first, windows, anchor, _ = repeats.passages(texts, kind, bits)
+        short, long = ({int(a) for k, f, n, a in zip(which, first, windows, anchor) if k == t and f <= at < f + n} for t, at in ((0, 0), (1, before)))
+        assert len(short) == 1 and short == long
+        assert windows[which == 1].sum() == before + 501
+
+
 # 5 -----------------------------------------------------------------------------------------------
 
 

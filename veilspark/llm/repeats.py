@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import as_bytes, as_list, settled, unsettle
 
-#: Bytes of text that are worked on at once.
+#: Bytes of text that are worked on at once; a text is never split.
 BLOCK = 1 << 20
+#: Low bits of a hash that give way to its place; longer texts are gone through in runs of windows.
+PLACE_BITS = 24
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,7 +104,24 @@ def words_kind(size: int) -> Kind:
     return Kind(size, 4, word_grams, _spaced, True)
 
 
-def passages(texts: list[bytes], kind: Kind) -> tuple[np.ndarray, ...]:
+def least_places(h: np.ndarray, w: int, bits: int) -> np.ndarray:
+    """For each run of w hashes the place of the least (the leftmost of equals), as far as all but their low `bits` tell."""
+    m, step = len(h) - w + 1, (1 << bits) - w + 1
+    if step < 1:
+        raise ValueError("a window has more places than bits can tell")
+    low, out = np.uint64((1 << bits) - 1), []
+    for at in range(0, m, step):
+        n = min(step, m - at)
+        least = (h[at : at + n + w - 1] & ~low) | np.arange(n + w - 1, dtype=np.uint64)
+        wide = 1
+        while 2 * wide <= w:  # the least of twice as many at each step
+            least = np.minimum(least[:-wide], least[wide:])
+            wide *= 2
+        out.append((np.minimum(least[:n], least[w - wide : w - wide + n]) & low).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
+def passages(texts: list[bytes], kind: Kind, bits: int = PLACE_BITS) -> tuple[np.ndarray, ...]:
     """Passages of texts: text, first unit, number of windows, anchor, and whether an anchor is at several places in it."""
     h, lengths = kind.grams(texts)
     n, w = len(h), kind.size - kind.gram + 1
@@ -110,13 +129,7 @@ def passages(texts: list[bytes], kind: Kind) -> tuple[np.ndarray, ...]:
     m = n - kind.size + 1
     if m < 1:
         return none
-    low = np.uint64((1 << 24) - 1)
-    least = (h & ~low) | np.arange(n, dtype=np.uint64)  # the leftmost of equals
-    wide = 1
-    while 2 * wide <= w:  # the least of twice as many at each step
-        least = np.minimum(least[:-wide], least[wide:])
-        wide *= 2
-    place = (np.minimum(least[:m], least[w - wide : w - wide + m]) & low).astype(np.int64)
+    place = least_places(h[: m + w - 1], w, bits)
     ends = np.cumsum(lengths)
     starts = ends - lengths
     # where a text begins, and where the least gram moves, as far as windows lie in their text
