@@ -17,8 +17,8 @@ Documents are dealt to tasks by ranges of doc_id and written in ascending order.
 writes under a name of its own attempt and only the files of tasks that ended are listed
 in the manifest, so lost and repeated tasks leave nothing in the dataset. The driver
 gets a row for each file. Where a vocabulary drops white space and case and cuts at marks
-(checked once), texts are cut likewise and each distinct piece is encoded once for many
-documents by the tokenizers library; texts with other than letters beyond ASCII, control
+(checked once), texts are cut at white space, then likewise, and each distinct piece is encoded
+once for many documents by the tokenizers library; texts with other than letters beyond ASCII, control
 characters or special tokens are encoded whole, as all texts are with other
 vocabularies. A test holds this against encoding whole texts.
 
@@ -44,19 +44,20 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import as_bytes, as_list, shared_dir, shuffle_partitions
 
-#: Distinct pieces whose ids a worker keeps; as many older ones stay within reach.
+#: Distinct tokens whose ids a worker keeps; as many older ones stay within reach.
 CACHE_PIECES = 500_000
 #: Pieces of lower-case text: what some English words end in, letters, a digit, marks.
 PIECE = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\x00-\x20\x7fa-z0-9\x80-\xff]+")
-CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
+CONTROL = bytes([*range(9), *range(14, 32), 127])
 
 
-class Pieces(dict):
-    """Ids of pieces, each encoded once; None for odd pieces, at which texts can't be cut."""
+class Tokens(dict):
+    """Ids of the tokens between white space of lower-case text, each worked out once; None for those with an odd piece, whose texts can't be cut."""
 
     def __init__(self, tokenizer, kind: str):
         self.tokenizer, self.kind = tokenizer, kind
         self.older: dict[bytes, bytes | None] = {}
+        self.pieces: dict[bytes, bytes | None] = {}
         marks = [*"abz09", "hello", "'s", *map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))]
         self.direct = all([t.id for t in tokenizer.model.tokenize(x)] == tokenizer.encode(x, add_special_tokens=False).ids for x in marks)
         self.special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
@@ -69,28 +70,44 @@ class Pieces(dict):
         return ids(text) == [i for x in PIECE.findall(text.encode().lower()) for i in ids(x.decode())]
 
     def plain(self, text: bytes) -> bool:
-        return not CONTROL.search(text) and not any(s in text for s in self.special)
+        return len(text.translate(None, CONTROL)) == len(text) and not any(s in text for s in self.special)
 
-    def add(self, pieces: set[bytes]) -> None:
-        if len(self) > CACHE_PIECES:
+    def __missing__(self, token: bytes) -> bytes | None:
+        if len(self) >= CACHE_PIECES:
             self.older = dict(self)
             self.clear()
-        known = pieces.intersection(self.older)
-        self.update((p, self.older[p]) for p in known)
-        new = list(pieces.difference(self, known))
-        tokenize, kind = self.tokenizer.model.tokenize, self.kind
-        if self.direct:  # nothing is left to do but to merge
-            ascii_ = [p for p in new if p.isascii()]
-            self.update((p, array(kind, [t.id for t in tokenize(p.decode())]).tobytes()) for p in ascii_)
-            new = [p for p in new if not p.isascii()]
-        texts = [p.decode() for p in new]
-        odd = [not x.isascii() and not (x.isalpha() and x.lower().isalpha()) for x in texts]
-        self.update((p, None) for p, o in zip(new, odd) if o)
-        new, texts = ([x for x, o in zip(y, odd) if not o] for y in (new, texts))
-        self.update(zip(new, (array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))))
-
-
-_caches: dict[str, tuple[object, Pieces | None, bool]] = {}
+        if token in self.older:
+            got = self.older[token]
+        else:
+            each = [self._piece(p) for p in PIECE.findall(token)]
+            got = None if None in each else b"".join(each)
+        self[token] = got
+        return got
+
+    def _piece(self, piece: bytes) -> bytes | None:
+        if piece not in self.pieces:
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = self._encoded(piece)
+        return self.pieces[piece]
+
+    def _encoded(self, piece: bytes) -> bytes | None:
+        text = piece.decode()
+        if piece.isascii() and self.direct:  # nothing is left to do but to merge
+            return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
+        if not piece.isascii() and not (text.isalpha() and text.lower().isalpha()):
+            return None
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, text: bytes) -> bytes | None:
+        """Ids of a text; None if it has to be encoded as a whole."""
+        if not self.plain(text):
+            return None
+        found = list(map(self.__getitem__, text.lower().split()))
+        return None if None in found else b"".join(found)
+
+
+_caches: dict[str, tuple[object, Tokens | None, bool]] = {}
 
 
 def masked(data: bytes) -> int:
@@ -130,29 +147,19 @@ def encode_all(texts: list[bytes], vocabulary: str, end_id: int | None) -> tuple
             raise RuntimeError("ids are packed in the machine's own order, which must be little-endian")
         new = Tokenizer.from_file(vocabulary)
         large = new.get_vocab_size(with_added_tokens=True) > 1 << 16
-        _caches[vocabulary] = (new, Pieces(new, "I" if large else "H") if Pieces.fits(new) else None, large)
+        _caches[vocabulary] = (new, Tokens(new, "I" if large else "H") if Tokens.fits(new) else None, large)
     tokenizer, cache, wide = _caches[vocabulary]
     if (end_id or 0) > 0xFFFF and not wide:
         raise ValueError("the end id is beyond the vocabulary")
     kind = "<u4" if wide else "<u2"
     end = b"" if end_id is None else np.array([end_id], kind).tobytes()
-    out = []
-    for at in range(0, len(texts), 1024):
-        if cache is None:
-            found = tokenizer.encode_batch_fast([t.decode() for t in texts[at : at + 1024]], add_special_tokens=False)
-            out += [np.array(e.ids, kind).tobytes() + end for e in found]
-            continue
-        cut = [PIECE.findall(t.lower()) for t in texts[at : at + 1024]]
-        every = set().union(*cut)
-        if len(cache) > CACHE_PIECES or not every <= cache.keys():
-            cache.add(every if len(cache) > CACHE_PIECES else every.difference(cache))
-        odd = {p for p in every if cache[p] is None}
-        for text, pieces in zip(texts[at : at + 1024], cut):
-            if cache.plain(text) and not (odd and not odd.isdisjoint(pieces)):
-                out.append(b"".join(map(cache.__getitem__, pieces)) + end)
-            else:
-                out.append(np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, kind).tobytes() + end)
-    return out, wide
+    out = [None if cache is None else cache.ids(t) for t in texts]
+    whole = [k for k, ids in enumerate(out) if ids is None]
+    for at in range(0, len(whole), 256):
+        some = whole[at : at + 256]
+        for k, e in zip(some, tokenizer.encode_batch_fast([texts[k].decode() for k in some], add_special_tokens=False)):
+            out[k] = np.array(e.ids, kind).tobytes()
+    return [ids + end for ids in out], wide
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 2) -> list[dict]:
