@@ -156,52 +156,153 @@ def project_warning(catalog: Catalog, skip_paths: tuple[str, ...] = ()) -> tuple
 _BOUNDARY = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
 
-def _tokens(rx: str):
-    """(text, in a class) for each escape, class bracket or character."""
-    inside, k = False, 0
+#: RE2's named classes.
+POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z",
+    "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+_NOT_POSIX = {
+    "alnum": r"\x00-/:-@\[-`{-\U0010FFFF", "alpha": r"\x00-@\[-`{-\U0010FFFF", "blank": r"\x00-\x08\x0A-\x1F!-\U0010FFFF", "digit": r"\x00-/:-\U0010FFFF", "lower": r"\x00-`{-\U0010FFFF",
+    "space": r"\x00-\x08\x0E-\x1F!-\U0010FFFF", "upper": r"\x00-@\[-\U0010FFFF", "word": r"\x00-/:-@\[-^`{-\U0010FFFF",
+}
+_FLAGS = re.compile(r"\(\?([a-zA-Z-]*)([:)])")
+_CODE = re.compile(r"\\x\{([0-9A-Fa-f]+)\}")
+
+
+def _named_class(name: str) -> str:
+    table, key = (_NOT_POSIX, name[1:]) if name.startswith("^") else (POSIX, name)
+    if key not in table:
+        raise ValueError(f"this class isn't known: [:{name}:]")
+    return table[key]
+
+
+def _class(rx: str, k: int) -> tuple[str, int]:
+    """A bracketed class that begins at k, for Java and Python alike, and where it ends."""
+    out, k = "[", k + 1
+    if rx[k : k + 1] == "^":
+        out, k = "[^", k + 1
+    first = True
+    while first or rx[k : k + 1] != "]":
+        if k >= len(rx):
+            raise ValueError("a class isn't closed")
+        first = False
+        if rx.startswith("[:", k) and (end := rx.find(":]", k)) > 0:
+            out, k = out + _named_class(rx[k + 2 : end]), end + 2
+        elif rx[k] == "\\":
+            m = _CODE.match(rx, k)
+            t = m[0] if m else rx[k : k + 2]
+            out, k = out + (_point(m[1]) if m else {r"\s": r"\t\n\f\r ", r"\S": r"\x00-\x08\x0B\x0E-\x1F!-\U0010FFFF", r"\v": r"\x0B"}.get(t, t)), k + len(t)
+        else:
+            out, k = out + ("\\" + rx[k] if rx[k] in "[]&~|" else rx[k]), k + 1
+    return out + "]", k + 1
+
+
+def _point(code: str) -> str:
+    return rf"\U{int(code, 16):08X}"
+
+
+def _rewritten(rx: str, java: bool) -> str:
+    """An RE2 regex in another dialect. Flags m and s are worked into what they act on; ValueError for what only RE2 has."""
+    out, k = [], 0
+    depth: list[tuple[dict, int]] = []
+    flags = {"i": False, "m": False, "s": False}
+    opened, begins = 0, True  # groups that a flag opened at this depth; whether nothing has come at this depth yet
     while k < len(rx):
-        t = rx[k : k + 2] if rx[k] == "\\" else rx[k]
-        k += len(t)
-        if not inside and t == "[":
-            inside = True
-            if rx[k : k + 1] == "^":
-                t, k = "[^", k + 1
-            if rx[k : k + 1] == "]":
-                t, k = t + "\\]", k + 1
-            yield t, False
-        elif inside and t == "]":
-            inside = False
-            yield t, False
+        c, was, begins = rx[k], begins, False
+        if c == "\\":
+            m = _CODE.match(rx, k)
+            t = m[0] if m else rx[k : k + 2]
+            k += len(t)
+            if m:
+                t = _point(m[1])
+            elif t in (r"\Q", r"\E", r"\C", r"\p", r"\P", r"\R", r"\X", r"\h", r"\H", r"\V", r"\G", r"\Z", r"\K", r"\N", r"\k"):
+                raise ValueError(f"{t} isn't taken")
+            out.append({r"\s": r"[\t\n\f\r ]", r"\S": r"[^\t\n\f\r ]", r"\b": _BOUNDARY, r"\B": f"(?!{_BOUNDARY})", r"\v": r"\x0B"}.get(t, t))
+        elif c == "[":
+            t, k = _class(rx, k)
+            out.append(t)
+        elif c == "(":
+            m = _FLAGS.match(rx, k)
+            name = re.match(r"\(\?P?<[A-Za-z_]\w*>", rx[k:])
+            if m and m[2] == ")":
+                on, _, off = m[1].partition("-")
+                if set(on + off) - set("ims"):
+                    raise ValueError(f"{m[0]} isn't taken")
+                before = flags["i"]
+                flags = flags | dict.fromkeys(on, True) | dict.fromkeys(off, False)
+                if flags["i"] != before:
+                    if java:
+                        out.append("(?iu)" if flags["i"] else "(?-iu)")
+                    else:
+                        out.append("(?i:" if flags["i"] else "(?-i:")
+                        opened += 1
+                        if not was and "|" in _rest_of_group(rx[m.end() :]):
+                            raise ValueError("a flag amid alternatives isn't taken")
+                k, begins = m.end(), was
+            else:
+                depth.append((flags, opened))
+                opened, begins = 0, True
+                if m:
+                    on, _, off = m[1].partition("-")
+                    if set(on + off) - set("ims"):
+                        raise ValueError(f"{m[0]} isn't taken")
+                    before = flags["i"]
+                    flags = flags | dict.fromkeys(on, True) | dict.fromkeys(off, False)
+                    out.append("(?:" if flags["i"] == before else ("(?iu:" if java else "(?i:") if flags["i"] else ("(?-iu:" if java else "(?-i:"))
+                    k = m.end()
+                elif name:
+                    out.append("(")
+                    k += name.end()
+                else:
+                    out.append("(")
+                    k += 1
+        elif c == ")":
+            out.append(")" * (opened + 1))
+            if not depth:
+                raise ValueError("a bracket isn't opened")
+            flags, opened = depth.pop()
+            k += 1
         else:
-            yield t, inside
+            if c == ".":
+                c = r"[\x00-\U0010FFFF]" if flags["s"] else r"[^\n]"
+            elif c == "$":
+                c = (r"(?=\n|\z)" if flags["m"] else r"\z") if java else r"(?=\n|\Z)" if flags["m"] else r"\Z"
+            elif c == "^":
+                c = r"(?<![^\n])" if flags["m"] else r"\A"
+            out.append(c)
+            k += 1
+    out.append(")" * opened)
+    made = "".join(out)
+    return re.sub(r"\\U([0-9A-F]{8})", lambda m: rf"\x{{{int(m[1], 16):X}}}", made) if java else made.replace(r"\z", r"\Z")
+
+
+def _rest_of_group(rx: str) -> str:
+    """What follows in the same group, less what's in brackets."""
+    out, level, k = [], 0, 0
+    while k < len(rx):
+        if rx[k] == "\\":
+            k += 2
+            continue
+        if rx[k] == "[":
+            k = _class(rx, k)[1]
+            continue
+        level += (rx[k] == "(") - (rx[k] == ")")
+        if level < 0:
+            break
+        if not level:
+            out.append(rx[k])
+        k += 1
+    return "".join(out)
 
 
 def to_java(rx: str) -> str:
     """An RE2 regex for java.util.regex with the same matches."""
-    lines = "(?m)" in rx
-    out = []
-    for t, inside in _tokens(rx):
-        if t == r"\s":
-            t = r"\t\n\f\r " if inside else r"[\t\n\f\r ]"
-        elif t == r"\b" and not inside:
-            t = _BOUNDARY
-        elif t == "$" and not inside:
-            t = r"(?=\n|\z)" if lines else r"\z"
-        elif t == "^" and not inside and lines:
-            t = r"(?<![^\n])"
-        elif inside and t == "[":
-            t = r"\["
-        elif inside and t == "&":
-            t = r"\&"
-        out.append(t)
-    return "".join(out).replace("(?i)", "(?iu)")
+    return _rewritten(rx, True)
 
 
 def to_python(rx: str) -> str:
     """An RE2 regex for re with re.ASCII and the same matches, but for case folding beyond ASCII."""
-    out = to_java(rx).replace("(?iu)", "(?i)").replace(r"\z", r"\Z").replace("(?m)", "").replace(r"\x{", r"\x{")
-    at = out.find("(?i)", 1)
-    return out if at < 0 else f"{out[:at]}(?i:{out[at + 4 :]})"
+    return _rewritten(rx, False)
 
 
 # Discard filters ------------------------------------------------------------------------

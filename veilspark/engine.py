@@ -33,6 +33,9 @@ _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|U\+[0-9A-Fa-f]{4} ?)+")
 #: Whether any of the above can find anything, as one pattern that Java reads too.
 MAY_BE_ENCODED = r"[A-Za-z0-9+/_-]{16}|(?:[0-9A-Fa-f]{2}){8}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|U\+[0-9A-Fa-f]{4}"
 
+#: Texts without any of these, and without a rule's keyword, hold nothing to find.
+_HIDING = re.compile(f"{MAY_BE_ENCODED}|{HEX_RUN[4:].replace('a-f', 'a-fA-F')}|{ENTITY}|[\x1b{''.join(map(chr, INVISIBLE))}]")
+
 
 @dataclass(frozen=True)
 class Finding:
@@ -115,6 +118,8 @@ class Engine:
 
     def __post_init__(self) -> None:
         self._memo: dict[tuple[str, bool], tuple[str, tuple[str, ...]]] = {}
+        gates = [k for r in self.rules for k in r.keywords]
+        self._gated = re.compile("" if any(not r.keywords for r in self.rules) else "|".join(map(re.escape, gates)) or r"(?!)")
         self._compiled = [(r, re.compile(to_python(r.regex), re.ASCII), [(t, [re.compile(to_python(v), re.ASCII) for v in t.values] if t.kind == "any" else t.values) for t in terms_of(r)], [re.compile(to_python(x), re.ASCII) for x in r.allow]) for r in self.rules]
 
     def _dropped(self, terms, secret: str) -> bool:
@@ -195,6 +200,8 @@ class Engine:
         return out, list(ids)
 
     def _redact(self, text: str, authored: bool) -> tuple[str, list[str]]:
+        if not _HIDING.search(text) and not self._gated.search(text.lower()):
+            return text, []
         found = self._kept(bare := strip_ansi(text), self.find(bare), authored)
         out = self.splice(text, found)
         ids = list(dict.fromkeys(f.rule_id for f in found if not leaks(out, f.forms)))
@@ -209,62 +216,69 @@ class Engine:
 
     # Trees -------------------------------------------------------------------------
 
-    def leaves(self, node, path: str = "", depth: int = 0):
-        """(path, string) in order of keys; keys themselves are no leaves."""
-        if depth > TREE_DEPTH:
-            return
-        if isinstance(node, str):
-            if node:
-                yield path, node
-        elif isinstance(node, dict):
-            for k in sorted(node):
-                yield from self.leaves(node[k], f"{path}.{k}" if path else k, depth + 1)
-        elif isinstance(node, list):
-            for k, x in enumerate(node):
-                yield from self.leaves(x, f"{path}[{k}]", depth + 1)
-
-    def first_hit(self, node, authored: bool = False) -> tuple[str, list[str]] | None:
-        for path, s in self.leaves(node):
-            if ids := self.redact(s, authored)[1]:
-                return path, ids
-        return None
-
-    def all_hits(self, node, authored: bool = False) -> tuple[list[str], list[str]]:
-        """Distinct ids and distinct paths, the root's being (root)."""
-        ids: dict[str, None] = {}
-        paths: dict[str, None] = {}
-        for path, s in self.leaves(node):
-            if found := self.redact(s, authored)[1]:
-                ids.update(dict.fromkeys(found))
-                paths[path or "(root)"] = None
-        return list(ids), list(paths)
-
-    def redact_tree(self, node, authored: bool = False, depth: int = 0) -> tuple[object, list[str]]:
-        if depth > TREE_DEPTH:
+    def scan(self, node, authored: bool = False, at: tuple = (), path: str = "") -> tuple[object, list[tuple[tuple, str, list[str]]]]:
+        """node with its strings redacted, and (place, path, ids) of those that held a finding, in document order; keys are never scanned."""
+        if len(at) > TREE_DEPTH:
             return node, []
         if isinstance(node, str):
-            return self.redact(node, authored)
+            out, ids = self.redact(node, authored)
+            return out, [(at, path, ids)] if ids else []
         if isinstance(node, dict):
-            got = {k: self.redact_tree(v, authored, depth + 1) for k, v in node.items()}
-            return {k: v for k, (v, _) in got.items()}, list(dict.fromkeys(i for _, ids in got.values() for i in ids))
+            each = [(k, *self.scan(v, authored, (*at, k), f"{path}.{k}" if path else k)) for k, v in node.items()]
+            return {k: v for k, v, _ in each}, [h for _, _, hits in each for h in hits]
         if isinstance(node, list):
-            each = [self.redact_tree(v, authored, depth + 1) for v in node]
-            return [v for v, _ in each], list(dict.fromkeys(i for _, ids in each for i in ids))
+            each = [(k, *self.scan(v, authored, (*at, k), f"{path}[{k}]")) for k, v in enumerate(node)]
+            return [v for _, v, _ in each], [h for _, _, hits in each for h in hits]
         return node, []
 
-    def redact_json(self, text: str, authored: bool = False, unwrap: bool = False) -> tuple[str, list[str], str]:
-        """A JSON text redacted (unchanged if clean), rule ids and the first hit's path; a text that isn't JSON is redacted as one string."""
+    def first_hit(self, node, authored: bool = False) -> tuple[str, list[str]] | None:
+        """Path and ids of the first hit in order of keys."""
+        hits = self.scan(node, authored)[1]
+        return min(hits)[1:] if hits else None
+
+    def all_hits(self, node, authored: bool = False) -> tuple[list[str], list[str]]:
+        """Distinct ids and distinct paths in order of keys, the root's being (root)."""
+        hits = sorted(self.scan(node, authored)[1])
+        return list(dict.fromkeys(i for _, _, ids in hits for i in ids)), list(dict.fromkeys(path or "(root)" for _, path, _ in hits))
+
+    def redact_tree(self, node, authored: bool = False) -> tuple[object, list[str]]:
+        out, hits = self.scan(node, authored)
+        return out, list(dict.fromkeys(i for _, _, ids in hits for i in ids))
+
+    def redact_json(self, text: str, mode: str = "") -> dict:
+        """A JSON text in one walk: text (unchanged if clean), rules, path and first (the first hit's path and ids), fields (all paths).
+
+        A text that isn't JSON is redacted as one string. mode holds any of: a (authored), u (a JSON string in a JSON
+        string counts as the inner one), j (text that isn't JSON passes), f (a form: strings at the top alone, ids and
+        fields sorted), s (the top's values apart: ids of each one after the other, and only changed ones in text).
+        """
+        authored = "a" in mode
+        clean = {"text": text, "rules": [], "path": "", "first": [], "fields": []}
         try:
             tree = json.loads(text)
-            if unwrap and isinstance(tree, str):
+            if "u" in mode and isinstance(tree, str):
                 try:
                     tree = json.loads(tree)
                 except ValueError:
                     pass
         except (ValueError, RecursionError):
+            if "j" in mode or "f" in mode:
+                return clean
             out, ids = self.redact(text, authored)
-            return out, ids, ""
-        out, ids = self.redact_tree(tree, authored)
-        if not ids:
-            return text, [], ""
-        return json.dumps(out, ensure_ascii=False, separators=(",", ":")), ids, self.all_hits(tree, authored)[1][0]
+            return clean | {"text": out, "rules": ids, "first": ids, "fields": ["(root)"]} if ids else clean
+        if ("f" in mode or "s" in mode) and not isinstance(tree, dict):
+            return clean
+        if "f" in mode:
+            tree = {k: v for k, v in sorted(tree.items()) if isinstance(v, str)}
+        out, hits = self.scan(tree, authored)
+        if not hits:
+            return clean
+        ids = list(dict.fromkeys(i for _, _, found in hits for i in found))
+        if "f" in mode:
+            ids.sort()
+        if "s" in mode:
+            of = {k: [i for i in dict.fromkeys(i for at, _, found in hits for i in found if at[0] == k)] for k in tree}
+            out, ids = {k: v for k, v in out.items() if of[k]}, [i for k in of for i in of[k]]
+        hits.sort()
+        fields = list(dict.fromkeys(path or "(root)" for _, path, _ in hits))
+        return {"text": json.dumps(out, ensure_ascii=False, separators=(",", ":")), "rules": ids, "path": hits[0][1], "first": hits[0][2], "fields": fields}

@@ -1,35 +1,38 @@
 """Decisions on agent events: allow, deny, rewrite or observe.
 
 An event is (harness, event, tool, payload): payload is JSON whose field names differ by
-harness. A table of routes says, for each harness and event, what is scanned, whether as
-authored or untrusted text, and what a finding leads to. Rows are routed by one CASE, the
-chosen text is scanned once, and the decision is made from its result.
+harness. A table of routes says, for each harness and event, what is scanned, as what kind
+of text, and what a finding leads to. Rows are routed by one CASE, the chosen text is
+scanned once by one UDF, and the decision is made from its result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.catalog import Rule
-from veilspark.functions.paths import of_server, sends_out, skipped, tool_matches
-from veilspark.functions.text import already_wrapped, shell_quote
+from veilspark.functions.paths import SKIP, of_server, sends_out, skipped, tool_matches, write_shaped
+from veilspark.functions.text import already_wrapped, wrap_command
 from veilspark.operators.redact import tree_udf, worth_scanning
 
 PRIMING_MARK = "secret redaction is active in this session"
 PRIMING = f"Note: {PRIMING_MARK}. Values shown as <REDACTED:...> were removed; refer to secrets by variable name."
+BANNER = "[veilspark] paused: nothing is redacted or blocked"
 
 
 @dataclass(frozen=True)
 class Settings:
     runner: str = "veilspark"
-    paused_until: str | None = None  # a time; while it's in the future nothing is scanned
+    paused_until: str | None = None  # a time; while it's in the future nothing is scanned, and if it can't be read neither
     allow_tools: tuple[str, ...] = ()  # globs of tools whose output passes with a warning
     skip: tuple[str, ...] = ()
     warn_only: bool = False  # denials of writes, fetches and other servers' tools become warnings
+    scan_output: bool = True  # off: tool output of claudecode passes
+    copies: str = ""  # folder for redacted copies of files that are read; see sources.text.write_copies
 
 
 @dataclass(frozen=True)
@@ -38,19 +41,23 @@ class Route:
     event: str
     when: str  # which tools: a name of TOOLS
     part: str  # what is scanned: a name of PARTS
-    authored: bool
-    verdict: str  # deny, warn, rewrite, notice, wrap, prime, pass
-    field: str = ""
+    mode: str  # as what kind of text: see Engine.redact_json
+    verdict: str  # deny, warn, rewrite, wrap, prime, observe
+    field: str = ""  # what a finding is said to be in; "*" for all paths, "" for the first one's
     may_warn: bool = False  # Settings.warn_only applies
+    log: str = ""  # the audit log's word for a finding, where it isn't the verdict's own
 
 
 #: Which tools a route is for.
-TOOLS = {
+TOOLS: dict[str, Callable[[Column], Column]] = {
     "any": lambda t: F.lit(True),
-    "shell": lambda t: t.isin("Bash", "Shell", "bash"),
+    "bash": lambda t: t == "Bash",
+    "shell": lambda t: t == "Shell",
     "read": lambda t: t == "Read",
+    "write": lambda t: t == "Write",
     "fetch": lambda t: t == "WebFetch",
     "server": of_server,
+    "mcp": lambda t: t.startswith("mcp__"),
     "agent": lambda t: t.isin("Agent", "Task"),
     "patch": lambda t: t.isin("Bash", "apply_patch"),
     "out": sends_out,
@@ -62,71 +69,97 @@ def _get(path: str) -> Column:
     return F.get_json_object("payload", path)
 
 
-def _without(path_fields: Sequence[str]) -> Column:
+def _json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+
+
+def _raw(name: str) -> Column:
+    """A top-level value of the payload as JSON, a string with its quotes; null if it's missing."""
+    return F.to_json(F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "variant"))
+
+
+def _written() -> Column:
     """Fields that are shaped like what a write brings: content, *_string, *_source, at the top and in edits."""
-    top = F.map_filter(F.from_json(_get("$.tool_input"), "map<string,string>"), lambda k, _: k.rlike(r"\Acontent\z|_(?:string|source)\z"))
-    edits = F.transform(F.from_json(_get("$.tool_input.edits"), "array<map<string,string>>"), lambda m: F.map_filter(m, lambda k, _: k.rlike(r"\Acontent\z|_(?:string|source)\z")))
-    return F.to_json(F.struct(F.coalesce(top, F.create_map().cast("map<string,string>")).alias("top"), edits.alias("edits")))
+    shaped = lambda m: F.map_filter(m, lambda k, _: write_shaped(k))
+    top = shaped(F.from_json(_get("$.tool_input"), "map<string,string>"))
+    edits = F.transform(F.from_json(_get("$.tool_input.edits"), "array<map<string,string>>"), shaped)
+    return _json(top=F.coalesce(top, F.create_map().cast("map<string,string>")), edits=edits)
 
 
 #: JSON text that is scanned.
-PARTS = {
-    "command": lambda: F.to_json(F.struct(_get("$.tool_input.command").alias("command"))),
-    "file": lambda: F.to_json(F.struct(F.col("file_text").alias("file_text"))),
-    "written": lambda: _without(()),
-    "fetch": lambda: F.to_json(F.struct(_get("$.tool_input.prompt").alias("prompt"), _get("$.tool_input.url").alias("url"))),
-    "input": lambda: _get("$.tool_input"),
-    "response": lambda: F.coalesce(_get("$.tool_response"), _get("$.tool_output")),
-    "prompt": lambda: F.to_json(F.struct(_get("$.prompt").alias("prompt"))),
-    "transcript": lambda: F.to_json(F.struct(F.col("file_text").alias("transcript"))),
-    "form": lambda: F.to_json(F.map_filter(F.from_json(_get("$.content"), "map<string,string>"), lambda _, v: v.isNotNull())),
-    "payload": lambda: _get("$.payload"),
-    "tool_call": lambda: _get("$.input"),
-    "args": lambda: _get("$.args"),
-    "output": lambda: F.to_json(F.struct(F.from_json(F.to_json(F.struct(_get("$.output").alias("o"))), "o string").o.alias("output"), _get("$.metadata").alias("metadata"))),
+PARTS: dict[str, Callable[[], Column]] = {
+    "command": lambda: _json(command=_get("$.tool_input.command")),
+    "content": lambda: _json(content=_get("$.tool_input.content")),
+    "file": lambda: _json(file_text=F.col("file_text")),
+    "written": _written,
+    "fetch": lambda: _json(prompt=_get("$.tool_input.prompt"), url=_get("$.tool_input.url")),
+    "input": lambda: _raw("tool_input"),
+    "response": lambda: F.coalesce(_raw("tool_response"), _get("$.tool_response")),
+    "output": lambda: _raw("tool_output"),
+    "prompt": lambda: _json(prompt=_get("$.prompt")),
+    # a form counts only once it's accepted, and not where the value goes another way
+    "form": lambda: F.when((F.coalesce(_get("$.mode"), F.lit("")) != "url") & (_get("$.action") == "accept"), _raw("content")),
+    "payload": lambda: _raw("payload"),
+    "tool_call": lambda: _raw("input"),
+    "args": lambda: _raw("args"),
+    "result": lambda: F.to_json(F.map_filter(F.from_json("payload", "map<string,variant>"), lambda k, _: k.isin("output", "metadata"))),
     "nothing": lambda: F.lit(None).cast("string"),
 }
 
+#: The first that fits an event is its route.
 ROUTES = (
-    Route("claudecode", "pre_tool", "shell", "command", True, "wrap", "command"),
-    Route("claudecode", "pre_tool", "read", "file", False, "rewrite", "file_path"),
-    Route("claudecode", "pre_tool", "fetch", "fetch", True, "deny", may_warn=True),
-    Route("claudecode", "pre_tool", "server", "input", True, "deny", may_warn=True),
-    Route("claudecode", "pre_tool", "agent", "nothing", True, "prime", "prompt"),
-    Route("claudecode", "pre_tool", "any", "written", True, "deny", may_warn=True),
-    Route("claudecode", "post_tool", "other", "response", False, "rewrite"),
-    Route("claudecode", "prompt", "any", "prompt", True, "deny", "prompt"),
-    Route("claudecode", "session_start", "any", "nothing", True, "prime"),
-    Route("claudecode", "pre_compact", "any", "transcript", False, "warn"),
-    Route("claudecode", "post_compact", "any", "transcript", False, "warn"),
-    Route("claudecode", "elicitation", "any", "nothing", True, "observe"),
-    Route("claudecode", "elicitation_result", "any", "form", True, "warn"),
-    Route("codex", "pre_tool", "patch", "command", True, "deny", "command"),
-    Route("codex", "pre_tool", "server", "input", True, "deny"),
-    Route("codex", "post_tool", "any", "response", False, "deny"),
-    Route("codex", "prompt", "any", "prompt", True, "deny", "prompt"),
-    Route("codex", "session_start", "any", "nothing", True, "prime"),
-    Route("cursor", "pre_tool", "shell", "command", True, "deny", "command"),
-    Route("cursor", "pre_tool", "read", "file", False, "rewrite", "file_path"),
-    Route("cursor", "pre_tool", "server", "input", True, "deny"),
-    Route("cursor", "pre_tool", "any", "written", True, "deny"),
-    Route("cursor", "post_tool", "any", "response", False, "rewrite"),
-    Route("cursor", "prompt", "any", "prompt", True, "deny", "prompt"),
-    Route("cursor", "session_start", "any", "nothing", True, "prime"),
-    Route("pi", "provider_request", "any", "payload", False, "rewrite"),
-    Route("pi", "tool_call", "server", "tool_call", True, "deny"),
-    Route("pi", "agent_start", "any", "nothing", True, "prime"),
-    Route("opencode", "before", "out", "args", True, "deny"),
-    Route("opencode", "after", "any", "output", False, "rewrite"),
-    Route("aider", "preflight", "any", "transcript", True, "warn"),
+    Route("claudecode", "pre_tool", "bash", "command", "a", "wrap", "command"),
+    Route("claudecode", "pre_tool", "read", "file", "", "rewrite", "file_path"),
+    Route("claudecode", "pre_tool", "fetch", "fetch", "a", "deny", may_warn=True),
+    Route("claudecode", "pre_tool", "mcp", "input", "a", "deny", may_warn=True),
+    Route("claudecode", "pre_tool", "agent", "nothing", "a", "prime", "prompt"),
+    Route("claudecode", "pre_tool", "any", "written", "a", "deny", may_warn=True),
+    Route("claudecode", "post_tool", "other", "response", "", "rewrite"),
+    Route("claudecode", "prompt", "any", "prompt", "a", "deny", "prompt"),
+    Route("claudecode", "session_start", "any", "nothing", "a", "prime"),
+    Route("claudecode", "session_end", "any", "nothing", "a", "pass"),
+    Route("claudecode", "pre_compact", "any", "file", "", "warn", "transcript", log="transcript-scan"),
+    Route("claudecode", "post_compact", "any", "file", "", "warn", "transcript", log="post-summary-scan"),
+    Route("claudecode", "elicitation", "any", "nothing", "a", "observe"),
+    Route("claudecode", "elicitation_result", "any", "form", "af", "warn", "*", log="form-credential-detected"),
+    Route("codex", "pre_tool", "patch", "command", "a", "deny", "command"),
+    Route("codex", "pre_tool", "mcp", "input", "a", "deny"),
+    Route("codex", "post_tool", "any", "response", "", "deny", "*"),
+    Route("codex", "prompt", "any", "prompt", "a", "deny", "prompt"),
+    Route("codex", "session_start", "any", "nothing", "a", "prime"),
+    Route("cursor", "pre_tool", "shell", "command", "a", "deny", "command"),
+    Route("cursor", "pre_tool", "read", "file", "", "rewrite", "file_path", log="redirected"),
+    Route("cursor", "pre_tool", "write", "content", "a", "deny", "content"),
+    Route("cursor", "pre_tool", "server", "input", "a", "deny"),
+    Route("cursor", "post_tool", "any", "output", "uj", "rewrite"),
+    Route("cursor", "prompt", "any", "prompt", "a", "deny", "prompt"),
+    Route("cursor", "session_start", "any", "nothing", "a", "prime"),
+    Route("pi", "provider_request", "any", "payload", "", "rewrite"),
+    Route("pi", "tool_call", "mcp", "tool_call", "a", "deny", "*"),
+    Route("pi", "agent_start", "any", "nothing", "a", "prime"),
+    Route("opencode", "before", "out", "args", "a", "deny", "*"),
+    Route("opencode", "after", "any", "result", "s", "rewrite"),
+    Route("aider", "preflight", "any", "file", "a", "warn", "file_path"),
 )
 
 
+def _changed(field: str, value: Column) -> Column:
+    """The tool's input with one of its fields put anew, as JSON."""
+    of = F.from_json(_get("$.tool_input"), "map<string,variant>")
+    return F.to_json(F.map_concat(F.map_filter(of, lambda k, _: k != field), F.create_map(F.lit(field), value.cast("variant"))))
+
+
+def copy_path(folder: str, path: Column, text: Column) -> Column:
+    """Where a redacted copy goes: a folder of its own for each path and text, under the file's own name."""
+    return F.concat(F.lit(f"{folder.rstrip('/')}/"), F.left(F.sha2(F.concat_ws("\x00", path, text), 256), F.lit(32)), F.lit("/"), F.regexp_extract(path, r"([^/\\]*)\z", 1))
+
+
 def decide(events: DataFrame, rules: Sequence[Rule], settings: Settings = Settings(), routes: Sequence[Route] = ROUTES) -> DataFrame:
-    """events with action, rules, field, reason and updated (JSON, where something is to be put in place of the input).
+    """events with action, rules, fields, field, reason, updated (JSON that's to be put in place), copy and copy_text (of a file that was read) and log (the audit log's word; null if nothing is logged).
 
-    events: harness, event, tool, payload (JSON text), and file_text where a file or transcript that the event names has been
-    joined. An event without a route passes; so does everything while paused. Actions: pass, deny, warn, rewrite, wrap, prime, observe.
+    events: harness, event, tool, payload (JSON text), and file_text where a file or transcript that the event names has
+    been joined. An event without a route passes; so does everything while paused, but that prompts and sessions get a
+    banner and that forms are still observed in the log. Actions: pass, deny, warn, rewrite, wrap, prime, notice, observe.
     """
     if "file_text" not in events.columns:
         events = events.withColumn("file_text", F.lit(None).cast("string"))
@@ -134,72 +167,132 @@ def decide(events: DataFrame, rules: Sequence[Rule], settings: Settings = Settin
     route = F.lit(-1)
     for k, r in reversed(list(enumerate(routes))):
         route = F.when((F.col("harness") == r.harness) & (F.col("event") == r.event) & TOOLS[r.when](tool), k).otherwise(route)
+    # a time that can't be read pauses
+    paused = F.coalesce(F.try_to_timestamp(F.lit(settings.paused_until)) > F.current_timestamp(), F.lit(True)) if settings.paused_until is not None else F.lit(False)
+    if not settings.scan_output:
+        route = F.when((F.col("harness") == "claudecode") & (F.col("event") == "post_tool"), -1).otherwise(route)
     path = F.coalesce(_get("$.tool_input.file_path"), _get("$.tool_input.notebook_path"))
-    paused = F.coalesce(F.lit(settings.paused_until).cast("timestamp") > F.current_timestamp(), F.lit(False)) if settings.paused_until else F.lit(False)
-    from veilspark.functions.paths import SKIP
-
-    df = events.withColumn("_route", F.when(paused, F.lit(-1)).otherwise(route)).withColumn("_skip", skipped(path, (*SKIP, *settings.skip)))
+    df = events.withColumn("_route", route).withColumn("_paused", paused)
 
     def chosen(pick) -> Column:
-        out = F.lit(None).cast("string")
+        """What the route of a row says, null without one."""
         by: dict = {}
         for k, r in enumerate(routes):
             by.setdefault(pick(r), []).append(k)
+        out = F.lit(None)
         for value, ks in by.items():
             out = F.when(F.col("_route").isin(*ks), value() if callable(value) else F.lit(value)).otherwise(out)
         return out
 
-    part = chosen(lambda r: PARTS[r.part])
-    by_path = [k for k, r in enumerate(routes) if r.part in ("file", "written")]
-    df = df.withColumn("_part", F.when(~(F.col("_skip") & F.col("_route").isin(*by_path)), part))
-    authored = F.col("_route").isin(*[k for k, r in enumerate(routes) if r.authored])
-    worth = worth_scanning(rules, F.col("_part"))
-    df = df.withColumn("_a", tree_udf(rules, True)(F.when(worth & authored, F.col("_part")))).withColumn("_u", tree_udf(rules, False, unwrap=True)(F.when(worth & ~authored, F.col("_part"))))
-    df = df.withColumn("_f", F.coalesce("_a", "_u"))
+    by_path = [k for k, r in enumerate(routes) if r.part in ("file", "written", "content") and r.event == "pre_tool"]
+    passed_over = F.col("_route").isin(*by_path) & skipped(path, (*SKIP, *settings.skip))
+    df = df.withColumn("_part", F.when(~F.col("_paused") & ~passed_over, chosen(lambda r: PARTS[r.part]).cast("string")))
+    df = df.withColumn("_f", tree_udf(rules)(F.when(worth_scanning(rules, F.col("_part")), F.col("_part")), chosen(lambda r: r.mode).cast("string")))
     hit = F.coalesce(F.size("_f.rules"), F.lit(0)) > 0
-    verdict = F.coalesce(chosen(lambda r: r.verdict), F.lit("pass"))
-    can_warn = F.col("_route").isin(*[k for k, r in enumerate(routes) if r.may_warn])
+    verdict = F.when(~F.col("_paused"), chosen(lambda r: r.verdict)).otherwise(F.lit(None))
+    verdict = F.coalesce(verdict, F.lit("pass"))
     allowed = (F.col("event") == "post_tool") & (F.col("harness") == "claudecode") & tool_matches(tool, settings.allow_tools)
-    command, prompt = _get("$.tool_input.command"), _get("$.tool_input.prompt")
+    command, prompt = F.coalesce(_get("$.tool_input.command"), F.lit("")), F.coalesce(_get("$.tool_input.prompt"), F.lit(""))
+    told = (F.col("event") == "prompt") & (F.coalesce(_get("$.prompt"), F.lit("")) != "") & F.col("_route").isin(*range(len(routes)))
     action = (
-        F.when(verdict.isin("pass", "observe"), verdict)
-        .when(verdict == "prime", F.when((F.col("event") == "pre_tool") & ((F.coalesce(prompt, F.lit("")) == "") | prompt.contains(PRIMING_MARK)), "pass").otherwise("prime"))
+        F.when(F.col("_paused") & told, "notice")
+        .when(F.col("_paused") & (F.col("event") == "session_start") & (F.col("_route") >= 0), "prime")
+        .when(verdict.isin("pass", "observe"), verdict)
+        .when(verdict == "prime", F.when((F.col("event") == "pre_tool") & ((prompt == "") | prompt.contains(PRIMING_MARK)), "pass").otherwise("prime"))
         .when((verdict == "wrap") & hit, "deny")
-        .when(verdict == "wrap", F.when((F.coalesce(command, F.lit("")) == "") | already_wrapped(settings.runner, command), "pass").otherwise("wrap"))
+        .when(verdict == "wrap", F.when((command == "") | already_wrapped(settings.runner, command), "pass").otherwise("wrap"))
         .when(~hit, "pass")
         .when(allowed, "warn")
-        .when((verdict == "deny") & can_warn & F.lit(settings.warn_only), "warn")
+        .when((verdict == "deny") & F.coalesce(chosen(lambda r: r.may_warn), F.lit(False)) & F.lit(settings.warn_only), "warn")
         .otherwise(verdict)
     )
-    field = F.coalesce(F.nullif(F.coalesce(chosen(lambda r: r.field), F.lit("")), F.lit("")), F.regexp_replace(F.coalesce(F.col("_f.path"), F.lit("")), r"\A(?:top\.|file_text|output\.)", ""))
-    ids = F.coalesce(F.col("_f.rules"), F.array().cast("array<string>"))
-    df = df.withColumn("action", action).withColumn("rules", ids).withColumn("field", F.when(hit, field).otherwise(F.lit("")))
-    reason = F.when(F.col("action").isin("deny", "warn") & hit, F.concat(F.lit("field "), F.col("field"), F.lit(" of "), F.when(tool == "", F.col("event")).otherwise(tool), F.lit(" contains an apparent "), F.array_join("rules", ", "))).otherwise(F.lit(""))
+    df = df.withColumn("action", action).withColumn("fields", F.coalesce(F.transform("_f.fields", lambda x: F.regexp_replace(x, r"\Atop\.", "")), F.array().cast("array<string>")))
+    named = F.coalesce(chosen(lambda r: r.field).cast("string"), F.lit(""))
+    field = F.when(named == "*", F.array_join("fields", ",")).when(named == "", F.regexp_replace(F.coalesce(F.col("_f.path"), F.lit("")), r"\Atop\.", "")).otherwise(named)
+    # what's told of a first hit are that one's rules
+    first = (named == "") & chosen(lambda r: r.verdict).isin("deny", "rewrite") & F.col("event").isin("pre_tool", "post_tool") & ~F.coalesce(chosen(lambda r: r.mode) == "uj", F.lit(False))
+    ids = F.coalesce(F.when(F.coalesce(first, F.lit(False)), F.col("_f.first")).otherwise(F.col("_f.rules")), F.array().cast("array<string>"))
+    df = df.withColumn("rules", ids).withColumn("field", F.when(hit, field).otherwise(F.lit("")))
+    what = F.when(tool == "", F.col("event")).otherwise(tool)
+    reason = F.when(F.col("action").isin("deny", "warn", "rewrite") & hit, F.concat(F.lit("field "), F.col("field"), F.lit(" of "), what, F.lit(" contains an apparent "), F.array_join("rules", ", ")))
+    reason = F.when(F.col("action") == "notice", F.lit(BANNER)).otherwise(F.coalesce(reason, F.lit("")))
     stream = F.coalesce(_get("$.tool_input.run_in_background") == "true", F.lit(False))
-    wrapped = F.concat(shell_quote(F.lit(settings.runner)), F.when(stream, F.lit(" run --stream -- bash -c ")).otherwise(F.lit(" run -- bash -c ")), shell_quote(command))
+    is_file = (F.col("action") == "rewrite") & F.col("_route").isin(*[k for k, r in enumerate(routes) if r.part == "file"])
+    df = df.withColumn("copy_text", F.when(is_file, F.get_json_object("_f.text", "$.file_text")))
+    df = df.withColumn("copy", F.when(is_file, copy_path(settings.copies, path, F.col("copy_text"))))
+    primed = F.concat(F.when(F.col("_paused"), F.lit(f"{BANNER}\n\n")).otherwise(F.lit("")), F.lit(PRIMING))
     updated = (
-        F.when(F.col("action") == "rewrite", F.col("_f.text"))
-        .when(F.col("action") == "wrap", F.to_json(F.struct(wrapped.alias("command"))))
-        .when(F.col("action") == "prime", F.to_json(F.struct(F.concat(F.lit(PRIMING), F.when(prompt.isNotNull(), F.concat(F.lit("\n\n---\n\n"), prompt)).otherwise(F.lit(""))).alias("prompt"))))
+        F.when(is_file, _changed("file_path", F.col("copy")))
+        .when(F.col("action") == "rewrite", F.col("_f.text"))
+        .when(F.col("action") == "wrap", _changed("command", wrap_command(settings.runner, command, stream)))
+        .when((F.col("action") == "prime") & (F.col("event") == "pre_tool"), _changed("prompt", F.concat(F.lit(f"{PRIMING}\n\n---\n\n"), prompt)))
+        .when((F.col("action") == "prime") & (F.col("event") == "agent_start"), _json(systemPrompt=F.concat(F.coalesce(_get("$.systemPrompt"), F.lit("")), F.lit("\n\n"), primed)))
+        .when(F.col("action") == "prime", _json(context=primed))
+    )
+    words = F.create_map(*[F.lit(x) for kv in (("deny", "blocked"), ("rewrite", "redacted"), ("wrap", "wrapped"), ("warn", "warned"), ("observe", "observed")) for x in kv])
+    log = (
+        F.when(chosen(lambda r: r.verdict) == "observe", "observed")
+        .when((F.col("action") == "warn") & allowed, "warned-suppressed")
+        .when((F.col("action") == "warn") & (chosen(lambda r: r.verdict) == "deny"), "blocked-downgraded")
+        .when((F.col("action") == "prime") & (F.col("event") == "pre_tool"), "primed")
+        .when(hit, F.coalesce(F.nullif(chosen(lambda r: r.log).cast("string"), F.lit("")), F.try_element_at(words, F.col("action"))))
+        .when(F.col("event").isin("pre_compact", "post_compact") & F.col("file_text").isNotNull() & ~F.col("_paused") & (F.col("_route") >= 0), "clean")
+        .otherwise(F.try_element_at(words, F.col("action")))
+    )
+    server = F.coalesce(_get("$.mcp_server_name"), F.lit(""))
+    mode = F.coalesce(F.nullif(_get("$.mode"), F.lit("")), F.lit(""))
+    place = (
+        F.when(F.col("event") == "elicitation", F.concat(server, F.when(mode != "", F.concat(F.lit("("), mode, F.lit(")"))).otherwise(F.lit(""))))
+        .when(F.col("event") == "elicitation_result", F.concat(server, F.lit(":"), F.col("field")))
+        .when(F.col("harness").isin("pi", "opencode") & (F.col("action") == "deny"), F.concat(tool, F.lit(":"), F.col("field")))
+        .otherwise(F.col("field"))
     )
-    return df.withColumn("reason", reason).withColumn("updated", updated).drop("_route", "_skip", "_part", "_a", "_u", "_f")
+    df = df.withColumn("reason", reason).withColumn("updated", updated).withColumn("log", log).withColumn("log_field", F.when(F.col("log").isNotNull(), place))
+    return df.drop("_route", "_paused", "_part", "_f")
 
 
-def decision_json(harness: Column, action: Column, reason: Column, updated: Column) -> Column:
-    """The decision as the harness expects it."""
-    denied = F.when(harness == "cursor", F.to_json(F.struct(F.lit("deny").alias("permission"), reason.alias("user_message")))).otherwise(
-        F.to_json(F.struct(F.struct(F.lit("deny").alias("permissionDecision"), reason.alias("permissionDecisionReason")).alias("hookSpecificOutput")))
+def decision_json(harness: Column, event: Column, action: Column, reason: Column, updated: Column) -> Column:
+    """The decision in the shape that the harness expects; {} where it changes nothing."""
+    put = F.try_parse_json(F.coalesce(updated, F.lit("null")))
+    context = F.get_json_object(updated, "$.context")
+    pre = F.lit("PreToolUse").alias("hookEventName")
+    own = lambda *fields: F.to_json(F.struct(F.struct(*fields).alias("hookSpecificOutput")))
+    like_claude = harness.isin("claudecode", "codex")
+    told = lambda name, text: own(F.lit(name).alias("hookEventName"), text.alias("additionalContext"))
+    return F.coalesce(
+        F.when(
+            like_claude,
+            F.when((event == "pre_tool") & (action == "deny"), own(pre, F.lit("deny").alias("permissionDecision"), reason.alias("permissionDecisionReason")))
+            .when((event == "pre_tool") & (action == "warn"), own(pre, F.lit("allow").alias("permissionDecision"), F.concat(F.lit("would have been blocked: "), reason).alias("permissionDecisionReason")))
+            .when((event == "pre_tool") & action.isin("rewrite", "wrap", "prime"), own(pre, put.alias("updatedInput")))
+            .when((event == "post_tool") & (action == "rewrite"), own(F.lit("PostToolUse").alias("hookEventName"), reason.alias("additionalContext"), put.alias("updatedToolOutput")))
+            .when(action == "deny", _json(decision=F.lit("block"), reason=reason))
+            .when(action == "notice", told("UserPromptSubmit", reason))
+            .when(action == "prime", told("SessionStart", context))
+            .when((action == "warn") & (event != "post_tool"), _json(systemMessage=reason)),
+        )
+        .when(
+            harness == "cursor",
+            F.when((event == "prompt") & action.isin("deny", "notice"), _json(**{"continue": action == "notice"}, user_message=reason))
+            .when(action == "deny", _json(permission=F.lit("deny"), user_message=reason))
+            .when((event == "pre_tool") & (action == "rewrite"), _json(permission=F.lit("allow"), user_message=reason, updated_input=put))
+            .when(action == "rewrite", _json(updated_mcp_tool_output=put))
+            .when(action == "prime", _json(additional_context=context)),
+        )
+        .when(harness.isin("pi", "opencode") & (action == "deny"), _json(block=F.lit(True), reason=reason))
+        .when((harness == "pi") & (action == "rewrite"), _json(payload=put))
+        .when(harness.isin("pi", "opencode") & action.isin("rewrite", "prime"), updated)
+        .when((harness == "aider") & (action == "warn"), _json(warning=reason)),
+        F.lit("{}"),
     )
-    noticed = F.to_json(F.struct(reason.alias("systemMessage")))
-    put = F.concat(F.lit('{"updated":'), F.coalesce(updated, F.lit("null")), F.lit("}"))
-    return F.when(action == "deny", denied).when(action == "warn", noticed).when(action.isin("rewrite", "wrap", "prime"), put).otherwise(F.lit("{}"))
 
 
 def audit_entries(decided: DataFrame, ts: str) -> DataFrame:
     """Entries for the audit log of events that led to anything: ts, tool, action, rules, count, field."""
-    did = decided.where(~F.col("action").isin("pass"))
-    named = F.when(F.col("action") == "deny", "blocked").when(F.col("action") == "rewrite", "redacted").when(F.col("action") == "wrap", "wrapped").when(F.col("action") == "prime", "primed").when(F.col("action") == "warn", "warned").otherwise("observed")
-    return did.select(F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.col("tool"), named.alias("action"), "rules", F.size("rules").alias("count"), "field")
+    tool = F.coalesce(F.nullif(F.col("tool"), F.lit("")), F.col("event"))
+    named = F.when(F.col("harness") == "claudecode", tool).otherwise(F.concat("harness", F.lit("/"), tool))
+    when = F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return decided.where(F.col("log").isNotNull()).select(when.alias("ts"), named.alias("tool"), F.col("log").alias("action"), "rules", F.size("rules").alias("count"), F.col("log_field").alias("field"))
 
 
-__all__ = ["PRIMING", "ROUTES", "Route", "Settings", "audit_entries", "decide", "decision_json", "replace"]
+__all__ = ["BANNER", "PRIMING", "ROUTES", "Route", "Settings", "audit_entries", "copy_path", "decide", "decision_json", "replace"]

@@ -15,7 +15,7 @@ from veilspark.operators.detect import any_gate, redact_surface
 
 RESULT = "struct<text: string, rules: array<string>>"
 _RESULT = pa.struct([("text", pa.string()), ("rules", pa.list_(pa.string()))])
-_TREE = pa.struct([("text", pa.string()), ("rules", pa.list_(pa.string())), ("path", pa.string()), ("fields", pa.list_(pa.string()))])
+_TREE = pa.struct([("text", pa.string()), ("rules", pa.list_(pa.string())), ("path", pa.string()), ("first", pa.list_(pa.string())), ("fields", pa.list_(pa.string()))])
 
 
 def worth_scanning(rules: Sequence[Rule], text: Column) -> Column:
@@ -46,32 +46,18 @@ def redact(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = F
     return done.withColumn(out, F.coalesce(F.col("_v_done.text"), text)).withColumn(hits, F.coalesce(F.col("_v_done.rules"), F.array().cast("array<string>"))).drop("_v_done")
 
 
-def tree_udf(rules: Sequence[Rule], authored: bool, unwrap: bool = False):
-    """JSON text to struct(text, rules, path, fields)."""
+def tree_udf(rules: Sequence[Rule]):
+    """(JSON text, mode) to struct(text, rules, path, first, fields); see Engine.redact_json. One for all modes: a plan with several would read its input once for each."""
     rules = tuple(rules)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import json
-
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         engine = Engine(rules)
-        for texts in batches:
-            rows = []
-            for t in texts.to_pylist():
-                if t is None:
-                    rows.append(None)
-                    continue
-                text, ids, path = engine.redact_json(t, authored, unwrap)
-                fields = []
-                if ids:
-                    try:
-                        fields = engine.all_hits(json.loads(t), authored)[1]
-                    except (ValueError, RecursionError):
-                        fields = []
-                rows.append({"text": text, "rules": ids, "path": path, "fields": fields})
+        for texts, modes in batches:
+            rows = [None if t is None else engine.redact_json(t, m or "") for t, m in zip(texts.to_pylist(), modes.to_pylist())]
             yield pa.array(rows, _TREE)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<text: string, rules: array<string>, path: string, fields: array<string>>")
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "struct<text: string, rules: array<string>, path: string, first: array<string>, fields: array<string>>")
 
 
 __all__ = ["redact", "redact_surface", "tree_udf", "worth_scanning"]

@@ -1,71 +1,43 @@
 """Walks and rewrites of nested values.
 
-`walk` lists a JSON column's string leaves with their paths, in one pass without a level
-or row limit of a recursive query, and the leaves are then scanned natively; `redact_typed` rewrites declared structs, arrays and maps by expressions made
-from the schema; `redact_json` rewrites JSON of any shape through the Arrow path.
+JSON of any shape is walked once in Arrow batches: hits, their paths and the rewritten text
+come from the same walk, and rows in which nothing can hide never reach Python.
+`redact_typed` rewrites declared structs, arrays and maps by expressions made from the schema.
 Keys are never scanned. Levels deeper than 64 are neither scanned nor rewritten.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.catalog import Rule
-from veilspark.engine import TREE_DEPTH, Engine
+from veilspark.engine import TREE_DEPTH
 from veilspark.functions.text import strip_ansi
-from veilspark.operators.detect import any_gate, findings, redact_surface, splice
+from veilspark.operators.detect import findings, splice
 from veilspark.operators.redact import tree_udf, worth_scanning
 
 
-def walk(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key, path, leaf of every string in a JSON text column that isn't empty, in one pass; a text that isn't JSON is one leaf at the root."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = Engine(())
-        for batch in batches:
-            keys, paths, leaves = [], [], []
-            for n, t in enumerate(batch.column(1).to_pylist()):
-                if not t:
-                    continue
-                try:
-                    tree = json.loads(t)
-                except (ValueError, RecursionError):
-                    tree = t
-                for path, leaf in engine.leaves(tree):
-                    keys.append(n)
-                    paths.append(path)
-                    leaves.append(leaf)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(paths, pa.string()), pa.array(leaves, pa.string())], names=[key, "path", "leaf"])
-
-    own = df.select(F.col(key), F.col(column).cast("string").alias("_v_text"))
-    return own.mapInArrow(run, f"`{key}` {own.schema[key].dataType.simpleString()}, path string, leaf string")
-
-
-def _scanned(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool) -> DataFrame:
-    """key, path, rules of leaves that may hold a finding. Callers aggregate before they filter on rules: a filter here would be pushed below and have all the expressions worked out again."""
-    leaves = walk(df, key, column)
-    return redact_surface(leaves.where(any_gate(rules, F.lower(strip_ansi(F.col("leaf"))))), "leaf", rules, authored)
+def scanned(df: DataFrame, column: str, rules: Sequence[Rule], mode: str, name: str) -> DataFrame:
+    """df with a struct (text, rules, path, first, fields) of a JSON text column, null where there's nothing to scan. A map: rows stay apart, whatever their keys."""
+    text = F.col(column).cast("string")
+    return df.withColumn(name, tree_udf(rules)(F.when(worth_scanning(rules, text), text), F.lit(mode)))
 
 
 def all_hits(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False) -> DataFrame:
-    """key, rules, fields: distinct rule ids and paths, sorted, of rows with any."""
-    field = F.when(F.col("path") == "", "(root)").otherwise(F.col("path"))
-    found = _scanned(df, key, column, rules, authored).select(key, "rules", field.alias("field"))
-    each = found.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"), F.array_sort(F.collect_set(F.when(F.size("rules") > 0, F.col("field")))).alias("fields"))
-    return each.where(F.size("fields") > 0)
+    """key, rules, fields: distinct rule ids and paths, sorted, of rows with any; leaves are redacted by all passes."""
+    found = scanned(df.select(key, column), column, rules, "a" * authored, "_v_tree")
+    found = found.select(key, F.array_sort("_v_tree.rules").alias("rules"), F.array_sort("_v_tree.fields").alias("fields"))
+    return found.where(F.size("fields") > 0)
 
 
 def first_hit(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False) -> DataFrame:
-    """key, field, rules: of the first path, in order of paths, with a finding."""
-    found = _scanned(df, key, column, rules, authored).select(key, "path", "rules")
-    each = found.groupBy(key).agg(F.min(F.when(F.size("rules") > 0, F.struct("path", "rules"))).alias("f")).where("f is not null")
-    return each.select(key, F.col("f.path").alias("field"), F.col("f.rules").alias("rules"))
+    """key, field, rules: of the first path, in order of keys, with a finding."""
+    found = scanned(df.select(key, column), column, rules, "a" * authored, "_v_tree")
+    return found.select(key, F.col("_v_tree.path").alias("field"), F.col("_v_tree.first").alias("rules")).where(F.size("rules") > 0)
 
 
 def rewrite(kind: T.DataType, value: Column, leaf: Callable[[Column], Column], depth: int = 0) -> Column:
@@ -96,7 +68,7 @@ def redact_typed(df: DataFrame, column: str, rules: Sequence[Rule], out: str = "
 def redact_json(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = False, unwrap: bool = False, out: str = "redacted") -> DataFrame:
     """df with a JSON text column redacted (unchanged where clean) and columns rules, path (of the first hit) and fields. unwrap: text that is JSON in a JSON string counts as the inner one."""
     text = F.col(column)
-    done = df.withColumn("_v_tree", tree_udf(rules, authored, unwrap)(F.when(worth_scanning(rules, text), text)))
+    done = scanned(df, column, rules, "a" * authored + "u" * unwrap, "_v_tree")
     none = F.array().cast("array<string>")
     return (
         done.withColumn(out, F.coalesce(F.col("_v_tree.text"), text))
