@@ -20,10 +20,11 @@ from urllib.parse import unquote_to_bytes
 
 from veilspark.catalog import Rule, terms_of, to_python
 from veilspark.functions.text import ANSI, ENTITY, HEX_RUN, INVISIBLE, TAIL_BYTES
-from veilspark.operators.detect import MARKER_BYTES, MARKERS, SHORT_BYTES
+from veilspark.operators.detect import ALPHABET, MARKER_BYTES, MARKERS, ONE_LETTER, SHORT_BYTES
 
 DECODE_DEPTH, TREE_DEPTH = 8, 64
 _ANSI, _ENTITY, _HEX_RUN = re.compile(ANSI), re.compile(ENTITY), re.compile(HEX_RUN)
+_ONE_LETTER = re.compile(ONE_LETTER.replace(r"\z", r"\Z"), re.ASCII)
 _INVISIBLE = dict.fromkeys(INVISIBLE)
 #: Segments that may be encoded. Padding and length are checked by decoding.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -132,7 +133,7 @@ class Engine:
                 continue
             for m in regex.finditer(text):
                 secret = (m[1] if regex.groups else None) or m[0]
-                if terms and self._dropped(terms, secret):
+                if ALPHABET in secret or _ONE_LETTER.match(secret) or terms and self._dropped(terms, secret):
                     continue
                 if allow:
                     start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())

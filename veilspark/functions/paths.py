@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Paths of test material that are passed over.
-SKIP = ("**/testdata/**", "**/fixtures/**", "**/__fixtures__/**", "**/cassettes/**", "**/tests/**", "**/test/**", "**/spec/**", "*_test.*", "test_*.py", "*.test.*", "*.spec.*", "*.fixture.*", "*.golden", "*.snap")
+SKIP = ("**/testdata/**", "**/fixtures/**", "**/__fixtures__/**", "**/cassettes/**", "**/tests/**", "**/test/**", "**/spec/**", "*_test.*", "test_*.py", "*.test.*", "*.spec.*", "*.fixture.*", "*.golden", "*.snap", "**/.veilspark/**")
 #: Tools that stay on the machine, and built-in tools that don't.
 LOCAL_TOOLS = ("bash", "read", "write", "edit", "apply_patch", "grep", "glob", "ls", "todoread", "todowrite", "task")
 NETWORK_TOOLS = ("webfetch", "websearch")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -12,6 +14,7 @@ ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)|\x1b[@-Z\\-
 #: Fixed value: zero-width, soft hyphen, marks and bidi controls.
 INVISIBLE = (0x00AD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2067, 0x2068, 0x2069, 0xFEFF)
 INVISIBLE_CLASS = "[" + "".join(f"\\x{{{c:04X}}}" for c in INVISIBLE) + "]"
+#: Runs of hex pairs, and HTML entities.
 HEX_RUN = r"(?i)[0-9a-f]{2}(?:[-: ][0-9a-f]{2}){3,}"
 ENTITY = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]+);"
 #: A secret of so many bytes has its last four characters in its placeholder.
@@ -60,16 +63,16 @@ def decode_entities(s: Column, named: bool = True) -> Column:
     mark = "\ue000"
     out = F.aggregate(numeric, s, lambda acc, e: F.replace(acc, e, F.when(_numeric(e) == "&", F.lit(mark)).otherwise(_numeric(e))))
     if named:
-        table = F.create_map(*[F.lit(x) for name, text in sorted(_named().items()) for x in (name, text)])
+        table = F.from_json(F.lit(_named()), "map<string,string>")  # folded to a literal
         names = F.filter(found, lambda e: ~e.startswith("&#"))
         out = F.aggregate(names, out, lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(table, e), e)))
     return F.when(s.rlike(ENTITY), F.replace(out, F.lit(mark), F.lit("&"))).otherwise(s)
 
 
-def _named() -> dict[str, str]:
-    """Names that text and pages use: those of ISO 8859-1 and the common symbols; the rest are left to the Arrow path."""
-    latin = {f"&{k}": v for k, v in html5.items() if k.endswith(";") and len(v) == 1 and (0xA0 <= ord(v) <= 0xFF or ord(v) in (34, 39, 60, 62, 38, 0x20AC, 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026, 0x2022))}
-    return {k: ("\ue000" if v == "&" else v) for k, v in latin.items()}
+@lru_cache(maxsize=1)
+def _named() -> str:
+    """HTML's names with a closing semicolon and their characters, as JSON."""
+    return json.dumps({f"&{k}": "\ue000" if v == "&" else v for k, v in html5.items() if k.endswith(";")})
 
 
 def normalized_views(line: Column) -> Column:

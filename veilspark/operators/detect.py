@@ -7,18 +7,23 @@ join, so patterns are compiled once and nothing is multiplied.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.catalog import Rule, Term, terms_of, to_java
+from veilspark.catalog import Rule, Term, terms_of, to_java, to_python
 from veilspark.functions.text import entropy, placeholder, strip_ansi
 
 #: Notes that mark a value as intended, honoured in authored text alone.
 MARKERS = ("veilspark:fixture", "veilspark:allow", "gitleaks:allow", "betterleaks:allow")
 MARKER_BYTES, SHORT_BYTES = 120, 12
+#: What made-up secrets look like.
+ALPHABET, ONE_LETTER = "abcdefghijklmnopqrstuvwxyz", r"\A([A-Za-z])(?i:\1)*\z"
+#: What depends on the text around a match: look-around and the text's ends.
+_CONTEXT = re.compile(r"\(\?<?[=!]|\\[Az]")
 FINDING = "struct<rule_id string, match string, secret string>"
 
 
@@ -39,6 +44,11 @@ def discarded(term: Term, secret: Column) -> Column:
     return reduce(lambda a, b: a | b, [secret.contains(v) for v in term.values])
 
 
+def dummy(secret: Column) -> Column:
+    """Whether a secret holds the whole alphabet or is one letter repeated: such values are made up, whatever the rule."""
+    return secret.contains(ALPHABET) | secret.rlike(ONE_LETTER)
+
+
 def line_of(text: Column, match: Column) -> Column:
     """The lines that the first occurrence of match lies on."""
     at = F.instr(text, match)
@@ -49,13 +59,17 @@ def line_of(text: Column, match: Column) -> Column:
 
 def rule_findings(rule: Rule, text: Column, lowered: Column) -> Column:
     """array<struct<rule_id, match, secret>> of one rule."""
-    regex = F.lit(to_java(rule.regex))
-    group = 1 if _has_group(rule.regex) else 0
-    pairs = F.zip_with(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        F.regexp_extract_all(text, regex, F.lit(group)),
-        lambda m, s: F.struct(F.lit(rule.id).alias("rule_id"), m.alias("match"), F.when(s == "", m).otherwise(s).alias("secret")),
-    )
+    regex = to_java(rule.regex)
+    groups = re.compile(to_python(rule.regex), re.ASCII).groups
+    matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    made = lambda m, s: F.struct(F.lit(rule.id).alias("rule_id"), m.alias("match"), F.when(s == "", m).otherwise(s).alias("secret"))
+    if not groups:
+        pairs = F.transform(matches, lambda m: made(m, m))
+    elif _CONTEXT.search(regex):
+        pairs = F.zip_with(matches, F.regexp_extract_all(text, F.lit(regex), F.lit(1)), made)
+    else:  # a match by itself matches as it did in the text, so the text is gone through once
+        pairs = F.transform(matches, lambda m: made(m, F.regexp_extract(m, rf"\A(?:{regex})\z", 1)))
+    pairs = F.filter(pairs, lambda f: ~dummy(f["secret"]))
     terms = terms_of(rule)
     if terms:
         pairs = F.filter(pairs, lambda f: ~reduce(lambda a, b: a | b, [discarded(t, f["secret"]) for t in terms]))
@@ -64,12 +78,6 @@ def rule_findings(rule: Rule, text: Column, lowered: Column) -> Column:
     return F.when(gate(rule, lowered), pairs).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
-def _has_group(regex: str) -> bool:
-    import re
-
-    return re.search(r"(?<!\\)(?:\\\\)*\((?!\?)", regex) is not None
-
-
 def findings(rules: Sequence[Rule], text: Column, lowered: Column) -> Column:
     return F.concat(*[rule_findings(r, text, lowered) for r in rules])
 

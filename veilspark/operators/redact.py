@@ -57,7 +57,8 @@ def tree_udf(rules: Sequence[Rule]):
             yield pa.array(rows, _TREE)
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<text: string, rules: array<string>, path: string, first: array<string>, fields: array<string>>")
+    # said to be nondeterministic so that a filter on its result isn't pushed below it, which would run it twice
+    return F.arrow_udf(run, "struct<text: string, rules: array<string>, path: string, first: array<string>, fields: array<string>>").asNondeterministic()
 
 
 __all__ = ["redact", "redact_surface", "tree_udf", "worth_scanning"]

@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
     """A new path under spark.checkpoint.dir; under the machine's temporary folder if that's unset and Spark runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has machines of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "veilspark-shared")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+#: Tables up to this size are dealt out anew, as they may lie in one row group, which is one task's work.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores before costly work on its rows; a larger one as it's read, since its row groups do that."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
