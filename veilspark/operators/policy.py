@@ -151,7 +151,7 @@ def _changed(field: str, value: Column) -> Column:
 
 def copy_path(folder: str, path: Column, text: Column) -> Column:
     """Where a redacted copy goes: a folder of its own for each path and text, under the file's own name."""
-    return F.concat(F.lit(f"{folder.rstrip('/')}/"), F.left(F.sha2(F.concat_ws("\x00", path, text), 256), F.lit(32)), F.lit("/"), F.regexp_extract(path, r"([^/\\]*)\z", 1))
+    return F.concat(F.lit(f"{folder.rstrip('/')}/"), F.left(F.sha2(F.concat_ws("\n", path, text), 256), F.lit(32)), F.lit("/"), F.regexp_extract(path, r"([^/\\]*)\z", 1))
 
 
 def decide(events: DataFrame, rules: Sequence[Rule], settings: Settings = Settings(), routes: Sequence[Route] = ROUTES) -> DataFrame:

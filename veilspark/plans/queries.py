@@ -152,9 +152,9 @@ def _suppressed(spark, sf_dir):
     return detect.suppressed(_seeded(spark, sf_dir, _MARKED), "c", [RULES["aws-access-key"]]).select("k", F.array_join("suppressed", ",").alias("suppressed"))
 
 
-@query("hint_line", f"select k, case k % 4 when 0 then null when 2 then '[veilspark] redacted 2 secret(s) (aws-access-key, github-pat-classic)' when 1 then '[veilspark] redacted 1 secret(s) (aws-access-key)' end as hint from {KEYED} where k % 4 <> 3")
+@query("hint_line", f"select o_orderkey as k, case when rules <> '' then '[veilspark] redacted ' || len(string_split(rules, ',')) || ' secret(s) (' || replace(rules, ',', ', ') || ')' end as hint from ({_CORE_ORACLE})")
 def _hint(spark, sf_dir):
-    df = redact_surface(_seeded(spark, sf_dir, MIXED).where("k % 4 <> 3"), "c", MIXED_RULES)
+    df = redact_surface(_seeded(spark, sf_dir, MIXED), "c", MIXED_RULES)
     return df.select("k", text.hint("veilspark", F.col("rules")).alias("hint"))
 
 
@@ -457,11 +457,21 @@ def _policy_calls(spark, sf_dir):
     return decided.groupBy("k").agg(action("pi"), action("opencode"))
 
 
-@query("decision_json", f"""select k, case k % 7 when 1 then '{{"hookSpecificOutput":{{"permissionDecision":"deny","permissionDecisionReason":"field command of Bash contains an apparent aws-access-key"}}}}' when 3 then '{{}}' end as decision from {KEYED} where k % 7 in (1, 3)""")
+def _denied(field: str, tool: str) -> str:
+    return f"""'{{"hookSpecificOutput":{{"hookEventName":"PreToolUse","permissionDecision":"deny","permissionDecisionReason":"field {field} of {tool} contains an apparent aws-access-key"}}}}'"""
+
+
+_DECIDED = f"""select k, case k % 7
+  when 0 then '{{"hookSpecificOutput":{{"hookEventName":"PreToolUse","updatedInput":{{"command":"veilspark run -- bash -c ''echo ' || h || '''"}}}}}}'
+  when 1 then {_denied('command', 'Bash')} when 2 then {_denied('content', 'Write')} when 3 then '{{}}' when 4 then {_denied('a.b', 'mcp__s__t')} when 5 then {_denied('url', 'WebFetch')}
+  else '{{"hookSpecificOutput":{{"hookEventName":"PreToolUse","updatedInput":{{"prompt":"{policy.PRIMING}\\n\\n---\\n\\ndo it"}}}}}}' end as decision from {KEYED}"""
+
+
+@query("decision_json", _DECIDED)
 def _decision_json(spark, sf_dir):
-    df = _seeded(spark, sf_dir, _EVENT).where("k % 7 in (1, 3)").select("k", F.lit("claudecode").alias("harness"), F.lit("pre_tool").alias("event"), F.expr(_EVENT_TOOL).alias("tool"), F.col("c").alias("payload"))
+    df = _seeded(spark, sf_dir, _EVENT).select("k", F.lit("claudecode").alias("harness"), F.lit("pre_tool").alias("event"), F.expr(_EVENT_TOOL).alias("tool"), F.col("c").alias("payload"))
     d = policy.decide(df, [RULES["aws-access-key"]])
-    return d.select("k", policy.decision_json(F.col("harness"), F.col("action"), F.col("reason"), F.col("updated")).alias("decision"))
+    return d.select("k", policy.decision_json(F.col("harness"), F.col("event"), F.col("action"), F.col("reason"), F.col("updated")).alias("decision"))
 
 
 @query("language_prefix", f"select k, case when k % 2 = 0 then 'sh:' else '' end as prefix, h as rest from {KEYED}")
@@ -487,12 +497,12 @@ chain as (select log, line_no, event_id, head || '","hash":"' || sha256(head ||
   from chain c join e on e.log = c.log and e.line_no = c.line_no + 1)"""
 
 
-def _chained(spark, sf_dir):
+def _chained(spark, sf_dir, raw: bool = False):
     e = _table(spark, sf_dir, "events").select(
         "user_id", "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.col("event_type").alias("tool"), F.lit("redacted").alias("action"),
         F.when(F.col("event_id") % 2 == 0, F.array(F.lit("a<b"))).alias("rules"), F.when(F.col("event_id") % 2 == 0, 1).alias("count"), F.lit("").alias("field"),
     )
-    return audit.chain(e, "user_id", "event_id")
+    return e if raw else audit.chain(e, "user_id", "event_id")
 
 
 @query("audit_chain", f"with recursive {_CHAIN_SQL} select log, line_no, line from chain")
@@ -543,3 +553,6 @@ def _stream(spark, sf_dir):
     q = run(redact_lines(stream, MIXED_RULES, "c", deep=False), lambda batch, _: batch.write.mode("append").parquet(f"{at}/out"), f"{at}/state")
     q.awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.col("k").alias("o_orderkey"), "redacted", F.array_join("rules", ",").alias("rules"))
+
+
+from veilspark.plans import routes  # noqa: E402, F401  registers its queries

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MAX_LINE_BYTES, MAX_PARENTS = 4 << 20, 32
 
@@ -22,23 +28,66 @@ def events(spark: SparkSession, path: str, harness: str, event: str) -> DataFram
     return raw.select(F.lit(harness).alias("harness"), F.lit(event).alias("event"), tool.alias("tool"), "payload")
 
 
-def with_files(events: DataFrame, files: DataFrame, path: str = "$.tool_input.file_path") -> DataFrame:
-    """events with file_text: the text of the file that each names. files: path, text."""
-    named = files.select(F.regexp_replace("path", "^file:/*", "/").alias("_path"), F.col("text").alias("file_text"))
-    return events.join(named, F.get_json_object("payload", path) == F.col("_path"), "left").drop("_path")
+def local_path(path: Column) -> Column:
+    """A path without the scheme and host of a local file's address, its percent signs decoded."""
+    return F.when(path.rlike("^file:"), F.replace(F.try_url_decode(F.replace(F.regexp_replace(path, "^file:(?://[^/]*)?/*", "/"), F.lit("+"), F.lit("%2B"))), F.lit("\\"), F.lit("/"))).otherwise(path)
+
+
+#: Where events name the file that is read, and the transcript.
+FILE, TRANSCRIPT = "$.tool_input.file_path", "$.transcript_path"
+
+
+def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
+    """events with file_text: the text of the file or transcript that each names. files: path, text; one row for each path."""
+    named = files.select(local_path(F.col("path")).alias("_path"), F.col("text").alias("file_text"))
+    wanted = F.coalesce(F.get_json_object("payload", FILE), F.get_json_object("payload", TRANSCRIPT))
+    return events.join(named, local_path(wanted) == F.col("_path"), "left").drop("_path")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """log, line_no, line of audit logs, one partition for each file; blank lines count in the numbers. A longer line than 4 MiB is cut off as unreadable."""
-    files = whole(spark, path).withColumnRenamed("path", "log")
-    numbered = files.select("log", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n\z", ""), "\r?\n", -1)).alias("n", "line"))
-    return numbered.select("log", (F.col("n") + 1).cast("long").alias("line_no"), F.when(F.octet_length("line") <= MAX_LINE_BYTES, F.col("line")).otherwise(F.lit("unreadable")).alias("line"))
+    """log, line_no, line of audit logs; blank lines count in the numbers. A longer line than 4 MiB is cut off as unreadable.
+
+    Files are read in Spark's own splits. A line's number is its place in its split, which its
+    task knows, and the lines of the splits before, of which there are few.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("_at"), "value")
+    held = raw.groupBy("log", "_at").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("log").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select("log", "_at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed = raw.withColumn("_id", F.monotonically_increasing_id())
+    numbered = placed.withColumn("_n", F.row_number().over(Window.partitionBy("log", "_at").orderBy("_id")))
+    line = F.regexp_replace("value", r"\r\z", "")
+    out = numbered.join(offsets, ["log", "_at"])
+    return out.select("log", (F.col("_before") + F.col("_n")).alias("line_no"), F.when(F.octet_length(line) <= MAX_LINE_BYTES, line).otherwise(F.lit("unreadable")).alias("line"))
 
 
 def write_lines(df: DataFrame, path: str, column: str = "redacted") -> None:
     df.select(F.col(column).alias("value")).write.mode("error").text(path)
 
 
+def write_copies(decided: DataFrame) -> DataFrame:
+    """Writes the redacted copies of files that policy.decide() redirects to, and returns copy and n_bytes for each.
+
+    A copy's path follows from its file's path and text, so a repeated task writes the same file again; it's written
+    under another name first, so that it's never met half written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{quote(path)}")
+                fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                own = f"{at}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(own) as f:
+                    f.write(text.encode())
+                fs.move(own, at)
+                sizes.append(len(text.encode()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["copy", "n_bytes"])
+
+    return decided.where("copy is not null").select("copy", "copy_text").distinct().mapInArrow(run, "copy string, n_bytes long")
+
+
 def dotenv_files(start: str) -> list[str]:
     """.env of start and of the git root above it, each once."""
     here = os.path.realpath(start)

@@ -41,3 +41,35 @@ def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
 
     q = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     return (q.trigger(availableNow=True) if once else q).start()
+
+
+def audit_writer(spark: SparkSession, folder: str, log: str, order: str) -> Callable[[DataFrame, int], None]:
+    """A writer for `run` that chains each batch of audit entries (see audit.chain) after what the logs end in.
+
+    It's the logs' only writer. Batch n writes lines/batch=n and heads/batch=n (log, prev, line_no of every log so far), and
+    reads the last heads before it; a batch that's repeated after a failure puts the same files again.
+    """
+    from veilspark.operators import audit
+
+    def heads_before(number: int) -> DataFrame | None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/heads")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return None
+        done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        last = max((n for n in done if n < number), default=None)
+        return None if last is None else spark.read.parquet(f"{folder}/heads/batch={last}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        heads = heads_before(number)
+        lines = audit.chain(batch, log, order, None if heads is None else heads.select("log", "prev"))
+        if heads is not None:
+            lines = lines.join(heads.select("log", F.col("line_no").alias("_at")), "log", "left").select("log", (F.col("line_no") + F.coalesce("_at", F.lit(0))).alias("line_no"), "line")
+        lines.write.mode("overwrite").parquet(f"{folder}/lines/batch={number}")
+        new = spark.read.parquet(f"{folder}/lines/batch={number}")
+        ends = audit.last_hash(new).join(new.groupBy("log").agg(F.max("line_no").alias("line_no")), "log")
+        if heads is not None:
+            ends = ends.unionByName(heads.join(ends, "log", "left_anti"))
+        ends.write.mode("overwrite").parquet(f"{folder}/heads/batch={number}")
+
+    return write
