@@ -325,3 +325,46 @@ def test_queries_have_oracles(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_classes_dots_and_flags():
+    from veilspark.catalog import BadRule, check, to_java
+
+    assert to_java(r"a.[[:alpha:]]$") == r"a[^\n][A-Za-z]\z"
+    assert to_java("(?s)a.(?-s:.)") == r"a[\x00-\x{10FFFF}](?:[^\n])"
+    for bad in (r"\pL", r"(?U)a+", r"\Qa\E", "[[:nope:]]", "a(?i)b|c"):
+        with pytest.raises(BadRule):
+            check(Rule("x", bad))
+
+
+def test_malformed_pause_and_forms(spark):
+    j = json.dumps
+    form = lambda **x: ("claudecode", "elicitation_result", "", j({"action": "accept", "mode": "form", "content": {"b": KEY, "a": KEY, "n": {"x": KEY}}} | x), None)
+    assert decide(spark, [form()]) == [("warn", "a,b")]
+    assert [a for a, _ in decide(spark, [form(mode="url"), form(action="decline"), form(content=None)])] == ["pass"] * 3
+    assert decide(spark, [form()], paused_until="soon") == [("pass", "")]
+
+
+def test_rows_with_equal_keys_stay_apart(spark):
+    df = spark.createDataFrame([(1, json.dumps({"a": KEY})), (1, json.dumps({"b": KEY}))], "k int, j string")
+    assert sorted(r["fields"] for r in tree.all_hits(df, "k", "j", [AWS]).collect()) == [["a"], ["b"]]
+    assert sorted(r["field"] for r in tree.first_hit(df, "k", "j", [AWS]).collect()) == ["a", "b"]
+
+
+def test_audit_entries_and_writer(spark, tmp_path):
+    from veilspark.streaming.lines import audit_writer
+
+    rows = [("claudecode", "pre_tool", "Bash", json.dumps({"tool_input": {"command": KEY}}), None), ("pi", "tool_call", "mcp__a", json.dumps({"input": {"z": KEY}}), None), ("claudecode", "elicitation", "", "{}", None), ("claudecode", "pre_compact", "", "{}", "clean")]
+    df = spark.createDataFrame(rows, "harness string, event string, tool string, payload string, file_text string")
+    entries = policy.audit_entries(policy.decide(df, [AWS]).withColumn("ts", F.lit("2026-01-01 00:00:00")), "ts")
+    got = {r["tool"]: (r["action"], r["count"], r["field"]) for r in entries.collect()}
+    assert got == {"Bash": ("blocked", 1, "command"), "pi/mcp__a": ("blocked", 1, "mcp__a:z"), "elicitation": ("observed", 0, ""), "pre_compact": ("clean", 0, "")}
+    write = audit_writer(spark, str(tmp_path / "log"), "log", "n")
+    for batch in (0, 1, 1, 2):  # a batch that's repeated changes nothing
+        write(entries.withColumn("log", F.lit("l")).withColumn("n", F.monotonically_increasing_id()), batch)
+    lines = spark.read.parquet(str(tmp_path / "log" / "lines"))
+    assert {r["kind"] for r in audit.verify(lines).collect()} == {"ok"} and lines.count() == 12 == lines.agg(F.max("line_no")).first()[0]
+
+
+def test_all_entities(spark):
+    assert one(spark, ["&hearts;&Alpha;&NotEqualTilde;&AMP;lt;"], text.decode_entities) == ["♥Α≂̸&lt;"]

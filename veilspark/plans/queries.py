@@ -187,6 +187,8 @@ _encoded(f"base64(cast({_PADDED} as binary))", "", "decoded_base64")
 _encoded(f"lower(hex({_PADDED}))", "", "decoded_hex")
 _encoded(f"base64(cast(base64(cast({_PADDED} as binary)) as binary))", "", "decoded_base64_twice")
 _encoded(f"regexp_replace(hex({_KEY}), '(..)', '%$1')", "", "decoded_percent")
+_encoded(f"regexp_replace(hex({_KEY}), '(..)', 'U+00$1')", "", "decoded_unicode")
+_encoded(f"base64(cast(base64(cast(lower(hex({_KEY})) as binary)) as binary))", "", "decoded_three_deep")
 
 _OBFUSCATED = {
     "normalized_zero_width": f"'n ' || substr({_KEY}, 1, 6) || '​' || substr({_KEY}, 7, 14)",
@@ -217,11 +219,20 @@ def _findings_documents(spark, sf_dir):
     return found.groupBy("doc_id", F.col("f.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
 
 
-@query("findings_core_all_texts", " union all ".join(f"select '{t}' as tbl, {_q(r.id)} as rule_id, sum(len({duck_findings(r, 'text')}))::bigint as n from {t} group by all having n > 0" for t in _TEXTS for r in CORE))
+# the tables hold no credentials of their own, so each text gets one, of the rule whose turn it is
+_PLANTED = "text || chr(10) || case k % " + str(len(CORE)) + "".join(f" when {n} then {SEEDS[r.id]}" for n, r in enumerate(CORE)) + " end"
+
+
+def _planted_duck(table: str, key: str) -> str:
+    return f"(select k, {_PLANTED} as text from (select {key} as k, md5(cast({key} as varchar)) as h, text from {table}))"
+
+
+@query("findings_core_all_texts", " union all ".join(f"select '{t}' as tbl, {_q(r.id)} as rule_id, sum(len({duck_findings(r, 'text')}))::bigint as n from {_planted_duck(t, key)} group by all having n > 0" for t, key in _TEXTS.items() for r in CORE))
 def _findings_all(spark, sf_dir):
     out = None
-    for name in _TEXTS:
-        df = _table(spark, sf_dir, name).withColumn("low", F.lower("text"))
+    for name, key in _TEXTS.items():
+        df = _table(spark, sf_dir, name).select(F.col(key).alias("k"), F.md5(F.col(key).cast("string")).alias("h"), "text")
+        df = df.select(F.expr(_PLANTED).alias("text")).withColumn("low", F.lower("text"))
         # no filter on the gates: below it, each would lower the text anew
         df = df.select(F.lit(name).alias("tbl"), F.explode(detect.findings(CORE, F.col("text"), F.col("low"))).alias("f"))
         out = df if out is None else out.unionByName(df)
@@ -384,6 +395,37 @@ def _first_hit(spark, sf_dir):
     return tree.first_hit(_seeded(spark, sf_dir, _TREE), "k", "c", _TREE_RULES).select("k", "field", F.array_join("rules", ",").alias("rules"))
 
 
+_HIDDEN = f"""'{{"a":["x","' || regexp_replace(regexp_replace(hex({_KEY}), '(..)', '$1-'), '-$', '') || '"],"b":{{"c":"' || lower(hex('key ' || {_KEY})) || '","d":"' || h || '"}}}}'"""
+
+
+@query("tree_hidden_hits", f"select k, 'aws-access-key' as rules, 'a[1],b.c' as fields, 'a[1]' as first_field from {KEYED}")
+def _hidden_hits(spark, sf_dir):
+    """Leaves whose secrets only views and decoding show."""
+    df = _seeded(spark, sf_dir, _HIDDEN)
+    every = tree.all_hits(df, "k", "c", _TREE_RULES).select("k", F.array_join("rules", ",").alias("rules"), F.array_join("fields", ",").alias("fields"))
+    return every.join(tree.first_hit(df, "k", "c", _TREE_RULES).select("k", F.col("field").alias("first_field")), "k")
+
+
+@query("tree_depth", f"select k, case when k % 2 = 0 then 'aws-access-key' else '' end as rules from {KEYED}")
+def _depth(spark, sf_dir):
+    """Strings at levels 64 and 65."""
+    df = _seeded(spark, sf_dir, f"repeat('[', 64) || case when k % 2 = 0 then '' else '[' end || '\"' || {_KEY} || '\"' || repeat(']', 64) || case when k % 2 = 0 then '' else ']' end")
+    return tree.redact_json(df, "c", _TREE_RULES).select("k", F.array_join("rules", ",").alias("rules"))
+
+
+@query("tree_not_json", f"select k, 'got ' || {_PH} || ' {{' as redacted from {KEYED}")
+def _not_json(spark, sf_dir):
+    return tree.redact_json(_seeded(spark, sf_dir, f"'got ' || {_KEY} || ' {{'"), "c", _TREE_RULES).select("k", "redacted")
+
+
+@query("short_secret", f"select k, '<REDACTED:pin>' || chr(10) || 'x' || lpad(cast(k % 10000 as varchar), 4, '0') || '_ ok' as redacted from {KEYED}")
+def _short_secret(spark, sf_dir):
+    """A secret of a few bytes counts as left only where it's a word of its own."""
+    pin = "lpad(cast(k % 10000 as string), 4, '0')"
+    df = _seeded(spark, sf_dir, f"'pin=' || {pin} || ' and ' || {pin} || chr(10) || 'x' || {pin} || '_ ok'")
+    return redact_surface(df, "c", [Rule("pin", r"pin=([0-9]{4})")]).select("k", "redacted")
+
+
 _PAT_PH = duck_placeholder("github-pat-classic", "('ghp_' || h || '0123')")
 
 
