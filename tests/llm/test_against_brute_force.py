@@ -379,6 +379,117 @@ def test_model_sums_to_one(docs, rows):
     assert counts == want
 
 
+def _kneser_ney(grams):
+    """Log probability of a 4-gram's last class, by the formulas, over counts of 4-gram tuples."""
+    import math
+
+    levels = {4: grams}
+    for k in (3, 2, 1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    cuts, sums, kinds = {}, {}, {}
+    for k, c in levels.items():
+        n1, n2, n3, n4 = (max(1, sum(v == j for v in c.values())) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cuts[k] = [0, *(min(max(d, 0.1), j) for j, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))]
+        sums[k], kinds[k] = collections.Counter(), collections.Counter()
+        for g, v in c.items():
+            sums[k][g[:-1]] += v
+            kinds[k][g[:-1]] += cuts[k][min(v, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / perplexity.CLASSES
+        k = len(g)
+        below = p(g[1:])
+        if not sums[k][g[:-1]]:
+            return below
+        v = levels[k][g]
+        return (v - cuts[k][min(v, 3)] if v else 0) / sums[k][g[:-1]] + kinds[k][g[:-1]] / sums[k][g[:-1]] * below
+
+    return lambda g: math.log(p(g))
+
+
+def _tuples(text):
+    c = [0, 0, 0, *(int(perplexity._CLASS[b]) for b in text)]
+    return [tuple(c[i : i + 4]) for i in range(len(text))]
+
+
+def test_probabilities(rows):
+    texts = [t.encode() for _, t in rows[:40] if t]
+    want = _kneser_ney(collections.Counter(g for t in texts for g in _tuples(t)))
+    n = perplexity.counts(texts)
+    at = np.flatnonzero(n)
+    table = perplexity.Model(at, n[at]).table()
+    rng = random.Random(8)
+    some = [g for t in texts[:5] for g in _tuples(t)[:200]] + [tuple(rng.randrange(32) for _ in range(4)) for _ in range(300)]
+    got = [float(table[((g[0] * 32 + g[1]) * 32 + g[2]) * 32 + g[3]]) for g in some]
+    assert np.allclose(got, [want(g) for g in some], atol=1e-4)
+
+
+def test_long_texts_are_counted_whole(monkeypatch):
+    rng = random.Random(9)
+    texts = [bytes(rng.choice(b"ab &9") for _ in range(n)) for n in (0, 1, 63, 64, 65, 700, 5)]
+    want = perplexity.counts(texts)
+    assert want.sum() == sum(map(len, texts))
+    table = np.log(np.random.default_rng(1).random(1 << 20)).astype(np.float32)
+    logs = [perplexity.log_ppl(t, table, table) for t in texts if t]
+    monkeypatch.setattr(perplexity, "BLOCK", 64)
+    monkeypatch.setattr(perplexity, "STRETCH", 16)
+    assert (perplexity.counts(texts) == want).all()
+    assert np.allclose([perplexity.log_ppl(t, table, table) for t in texts if t], logs)
+
+
+def test_verdicts(spark, docs, monkeypatch):
+    """The whole operator, worked out plainly."""
+    monkeypatch.setattr(perplexity, "MIN_MODEL", 25)
+    monkeypatch.setattr(perplexity, "MIN_BAND", 10)
+    rows = [(r["doc_id"], r["lang"], (r["text"] or "").encode()) for r in docs.collect()]
+    often = collections.Counter(lang for _, lang, _ in rows)
+    langs = [lang for lang, n in often.items() if n >= 25]
+    passed = [r for r in rows if not perplexity.fails(*perplexity.base_of(r[2]))]
+
+    def model(some):
+        out = {}
+        for lang in [*langs, "*"]:
+            n = perplexity.counts([t for _, x, t in some if lang in ("*", x)])
+            at = np.flatnonzero(n)
+            out[lang] = perplexity.Model(at, n[at]).table() if len(at) else None
+        return {k: out["*"] if v is None else v for k, v in out.items()}
+
+    def log(models, lang, text):
+        both = [t[perplexity.codes(text)].astype(np.float64) for t in (models.get(lang, models["*"]), models["*"])]
+        return -sum(max(x[a : a + perplexity.STRETCH].sum() for x in both) for a in range(0, len(text), perplexity.STRETCH)) / len(text)
+
+    def ranges(models, width):
+        by = collections.defaultdict(list)
+        for _, lang, text in passed:
+            b = np.floor(log(models, lang, text) / perplexity.STEP)
+            by["*"].append(b)
+            by[lang if lang in langs else None].append(b)
+
+        def band(x):
+            x = sorted(x)
+            low, high = (x[max(0, int(np.ceil(q * len(x))) - 1)] * perplexity.STEP for q in (0.25, 0.75))
+            room = width * max(high - low, 0.01)
+            return low - room, high + room + perplexity.STEP
+
+        return {k: band(x) for k, x in by.items() if len(x) >= 10 or k == "*"}
+
+    models = model(rows)
+    for _ in range(perplexity.ROUNDS):
+        middle = ranges(models, 0.0)
+        inside = lambda lang, t: (b := middle.get(lang if lang in langs else None, (-np.inf, np.inf)))[0] <= log(models, lang, t) <= b[1]  # noqa: B023, E731
+        models = model([r for r in passed if inside(r[1], r[2])])
+    final = ranges(models, perplexity.WIDTH)
+    ids = {i for i, _, _ in passed}
+    want = {}
+    for i, lang, text in rows:
+        low, high = final.get(lang if lang in langs else "*", final["*"])
+        want[i] = i in ids and low <= log(models, lang, text) <= high
+    got = {r["doc_id"]: r["kept"] for r in perplexity.report(docs).collect()}
+    assert got == want and 0 < sum(want.values()) < len(ids)
+
+
 def test_bands_keep_clean_documents(spark):
     sf = "/root/testdata/sf0.1"
     got = perplexity.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("quality = 1 and not base_failed").collect()
