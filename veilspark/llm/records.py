@@ -103,8 +103,10 @@ class Tokens(dict):
         """Ids of a text; None if it has to be encoded as a whole."""
         if not self.plain(text):
             return None
-        found = list(map(self.__getitem__, text.lower().split()))
-        return None if None in found else b"".join(found)
+        try:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        except TypeError:  # one of them is None
+            return None
 
 
 _caches: dict[str, tuple[object, Tokens | None, bool]] = {}
