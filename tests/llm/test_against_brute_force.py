@@ -257,6 +257,50 @@ def test_toxicity_held_out(spark):
     assert auc > 0.9 and all(0 <= s <= 1 for s in pos + neg)
 
 
+def test_kernel_of_words():
+    """The hashed sums against the kernel's definition."""
+    from itertools import product
+
+    def kernel(a, b):
+        def weights(w):
+            w, out = f"^{w}$", collections.Counter()
+            for at, more in product(range(len(w)), toxicity.SUBSEQUENCES):
+                if at + more[-1] < len(w):
+                    out[w[at] + "".join(w[at + k] for k in more)] += toxicity.DECAY ** (more[-1] + 1)
+            return out
+
+        x, y = weights(a), weights(b)
+        return sum(v * y[k] for k, v in x.items()) / (own(a) * own(b))
+
+    own = lambda w: float(toxicity._norms(np.array([len(w) + 2]))[0])
+    words = ["idiot", "idxiot", "trash", "thrash", "rash", "ab", "abcabc"]
+    got = toxicity.mapped(words) @ toxicity.mapped(words).T
+    assert np.allclose(got, [[kernel(a, b) for b in words] for a in words], atol=2e-3)
+    assert np.allclose(toxicity.dot(words, toxicity.mapped(words).T), got, atol=1e-5)
+
+
+def test_toxic_documents_and_altered_ones(spark):
+    """Held out on sf0.1: recall, clean documents, and documents whose insults all have an arbitrary letter put in."""
+    sf, rng = "/root/testdata/sf0.1", random.Random(4)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(docs, labels)
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").where(quality.held_out(F.col("doc_id"))).select("doc_id", "text", "toxic").collect()
+    insults = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"}
+    alter = lambda w: (lambda k: w[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[k:])(rng.randrange(1, len(w))) if w.strip(".,").lower() in insults else w
+    changed = [(r["doc_id"], " ".join(map(alter, r["text"].split()))) for r in rows if r["toxic"] and insults & {w.strip(".,").lower() for w in (r["text"] or "").split()}]
+    gapped = [(i, " ".join(" ".join(w) if w.strip(".,").lower() in insults else w for w in (t or "").split())) for i, t, y in rows if y and insults & {w.strip(".,").lower() for w in (t or "").split()}]
+
+    def share(some):
+        got = toxicity.score(spark.createDataFrame(some, "doc_id long, text string"), model).collect()
+        return sum(r["score"] >= 0.5 for r in got) / len(got)
+
+    toxic, clean = share([(i, t) for i, t, y in rows if y]), share([(i, t) for i, t, y in rows if not y])
+    found = share(changed), share(gapped)
+    print(toxic, clean, found)
+    assert toxic >= 0.88 and clean < 0.01 and found[0] >= 0.75 and found[1] >= 0.9
+
+
 def test_altered_insults():
     rng = random.Random(1)
     syllables = ["ta", "re", "no", "mi", "sol", "en", "un", "er", "th", "an"]

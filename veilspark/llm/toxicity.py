@@ -8,12 +8,14 @@ The kernel is scaled by the words' own sums of squares. Landmark words give the
 map K^(-1/2) k(x); a linear machine on it is one weight for each (hashed) subsequence, so
 any word is scored by looking its subsequences up.
 
-Labels are on documents, so the labelled sentences' words are learnt from as bags: words
-that toxic documents hold far more often than others start as positives, with copies that have
-a character inserted or doubled; words of documents without the label are negatives. In
-each round the machine's errors on clean documents become negatives and the best words
-of toxic documents it missed become positives. A document's score is that of its most toxic
-word, through a logistic curve fitted on the training documents. White space between
+Labels are on documents, so the labelled texts' words are learnt from as bags: words
+that toxic documents hold far more often than others start as positives, weighed by how
+telling they are, the most telling with every one-letter insertion; words of documents
+without the label are negatives. In each round the machine's errors on clean documents become
+negatives and the best words of toxic documents it missed become positives. A document's
+score comes from its TOP most toxic distinct words, through a logistic curve fitted on the
+training documents and on toxic ones with their insults altered: one strong insult or
+several weak ones are toxic, one word that merely resembles an insult isn't. White space between
 single characters, and characters other than letters inside a word, are taken out first.
 
 It's fitted on at most `max_rows` labelled rows for each label (those whose doc_id hashes
@@ -41,7 +43,11 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import as_bytes, as_list
 from veilspark.llm.quality import held_out
 
-MAX_ROWS, LANDMARKS, ROUNDS = 2500, 240, 3
+MAX_ROWS, LANDMARKS, ROUNDS = 2500, 400, 2
+#: Insults of which all one-letter insertions are positives, and what these weigh together beside the word itself.
+VARIED, VARIED_WEIGHT = 15, 0.5
+#: What a toxic document with its insults altered weighs in the curve.
+ALTERED_WEIGHT = 0.1
 PLACES, DECAY, LONGEST = 1 << 16, 0.8, 24
 #: Offsets of a subsequence's further characters.
 SUBSEQUENCES = [(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4), (1, 3, 5), (2, 3, 5), (2, 4, 5)]
@@ -104,7 +110,8 @@ def mapped(words: list[str]) -> np.ndarray:
     for h, inside, weight in _occurrences(words):
         at, n = np.unique(np.broadcast_to(rows, h.shape)[inside] * PLACES + h[inside], return_counts=True)
         out.reshape(-1)[at] += weight * n
-    return out / _norms(np.array([len(w) + 2 for w in words]))[:, None].astype(np.float32)
+    out /= _norms(np.array([len(w) + 2 for w in words]))[:, None].astype(np.float32)
+    return out
 
 
 def dot(words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -120,9 +127,10 @@ def dot(words: list[str], weights: np.ndarray) -> np.ndarray:
     return out / (norms[:, None] if out.ndim == 2 else norms)
 
 
-def machine(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss, classes balanced; by accelerated gradient."""
-    w = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+def machine(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with squared hinge loss, each class' weights w scaled to a half; by accelerated gradient."""
+    up, down = w[y > 0].sum(), w[y <= 0].sum()
+    w = w * np.where(y > 0, 0.5 / up if up else 0, 0.5 / down if down else 0)
     x1 = np.concatenate((x, np.ones((len(x), 1))), axis=1)
     bound = 2 * np.linalg.norm((x1 * w[:, None]).T @ x1, 2) + 2 * penalty
     p = q = np.zeros(x1.shape[1])
@@ -136,37 +144,50 @@ def machine(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int = 30
     return p[:-1], float(p[-1])
 
 
+FLOOR, TOP = -2.0, 3
+
+
+def evidence(tops: np.ndarray) -> np.ndarray:
+    """What the curve sees of a document's TOP most toxic distinct words, best first: the best as it is and beyond the margin, the others as far as they're on the toxic side."""
+    return np.concatenate((tops[:, :1], np.maximum(tops[:, :1] - 1, 0), np.maximum(tops[:, 1:], 0)), axis=1)
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # of each place
     bias: float
-    slope: float
-    shift: float
+    curve: np.ndarray  # of evidence(), and a constant
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         return dot(words, self.weights) + self.bias if words else np.zeros(0)
 
-    def probability(self, best: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -40, 40)))
-
-
-FLOOR = -2.0
+    def probability(self, best) -> np.ndarray:
+        """Of documents by the scores of their most toxic words: TOP each, or the best alone."""
+        tops = np.full((np.size(best) if np.ndim(best) < 2 else len(best), TOP), FLOOR)
+        if np.ndim(best) < 2:
+            tops[:, 0] = best
+        else:
+            tops[:] = best
+        z = evidence(np.maximum(tops, FLOOR)) @ self.curve[:-1] + self.curve[-1]
+        out = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return out if np.ndim(best) else out[0]
 
 
 def _order(word: str) -> int:
     return xxhash.xxh64_intdigest(word, 11)
 
 
-def variants(word: str) -> list[str]:
-    """Copies with a character inserted or doubled, for words that have some length."""
+def inserted(word: str) -> list[str]:
+    """A word with each letter put in at each place inside it, its own included."""
     if len(word) < 4:
         return []
-    h = _order(word)
-    out = []
-    for k in range(1, len(word)):
-        out.append(word[:k] + chr(97 + (h >> (3 * k)) % 26) + word[k:])
-    out += [word[:k] + word[k] + word[k:] for k in range(1, len(word) - 1)][:4]
-    return out
+    return list(dict.fromkeys(word[:k] + c + word[k:] for k in range(1, len(word)) for c in sorted(set("abcdefghijklmnopqrstuvwxyz") | set(word))))
+
+
+def altered(word: str) -> str:
+    """A word with one letter put in, always the same."""
+    every = inserted(word)
+    return every[_order(word) % len(every)] if every else word
 
 
 def distinct_bags(bags: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
@@ -206,67 +227,78 @@ def fit(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: in
     told = {w: surprise(w) for w in pos}
     # beyond what the largest of so many words would reach by chance
     clear = [w for w, g in told.items() if g > 2 * np.log(len(told) / 0.05) and pos[w] / len(toxic) > 20 * neg[w] / len(clean)]
-    seeds = set(sorted(clear, key=lambda w: (-told[w], _order(w)))[:400])
-    if not seeds:
-        seeds = set(sorted(pos, key=lambda w: (-told[w], _order(w)))[:20])
+    first = sorted(clear, key=lambda w: (-told[w], _order(w)))[:400] or sorted(pos, key=lambda w: (-told[w], _order(w)))[:20]
+    seeds = {w: np.sqrt(max(told[w], 1e-3)) for w in first}  # and their weights
+    leading = set(first[:VARIED])
     usual = sorted((w for w in neg if w not in seeds), key=lambda w: (-min(neg[w], 5), _order(w)))
-    others = set(usual[:2000]) | set(sorted(usual, key=_order)[:3000])
+    others = set(usual[:3000]) | set(sorted(usual, key=_order)[:5000])
     pool = sorted((w for w in neg if w not in seeds), key=_order)[:60_000]
     for _ in range(rounds):
-        good = sorted(seeds, key=_order)
-        more = [v for w in sorted(good, key=lambda w: (-pos[w], w)) for v in variants(w) if v not in neg][:1500]
-        bad = sorted(others, key=_order)
-        marks = sorted(good, key=lambda w: (-pos[w], w))[: landmarks // 2]
+        good, bad = sorted(seeds, key=_order), sorted(others, key=_order)
+        more = [[v for v in inserted(w) if v not in neg] for w in good if w in leading]
+        weight = [seeds[w] for w in good] + [VARIED_WEIGHT * seeds[w] / len(vs) for w, vs in zip([w for w in good if w in leading], more) for _ in vs] + [1.0] * len(bad)
+        marks = sorted(good, key=lambda w: (-seeds[w], w))[: landmarks // 2]
         marks += bad[: landmarks - len(marks)]
         own = mapped(marks)
         value, vector = np.linalg.eigh((own @ own.T).astype(np.float64))
         keep = value > 1e-6 * value[-1]
         root = vector[:, keep] / np.sqrt(value[keep])  # K^(-1/2), in its own axes
         nystrom = own.T @ root.astype(np.float32)  # PLACES x rank
-        x = dot(good + more + bad, nystrom)
-        y = np.concatenate((np.ones(len(good) + len(more)), -np.ones(len(bad))))
-        w, bias = machine(x, y)
-        model = Model((nystrom @ w.astype(np.float32)).astype(np.float32), bias, 4.0, 0.0)
+        words = good + [v for vs in more for v in vs]
+        x = dot(words + bad, nystrom)
+        y = np.concatenate((np.ones(len(words)), -np.ones(len(bad))))
+        w, bias = machine(x, y, np.array(weight)) if len(bad) else (np.zeros(x.shape[1]), 0.0)
+        model = Model((nystrom @ w.astype(np.float32)).astype(np.float32), bias, np.zeros(TOP + 2))
         # its errors on clean documents
         s = model.word_scores(pool)
-        others |= {pool[k] for k in np.argsort(-s, kind="stable")[:1500] if s[k] > -0.6}
+        others |= {pool[k] for k in np.argsort(-s, kind="stable")[:3000] if s[k] > -0.6}
         # toxic documents that hold no positive: their best word, if it's near enough
-        missed = [b for b in toxic if not b & seeds]
+        missed = [b for b in toxic if not b & seeds.keys()]
         by = dict(zip(words := sorted(set().union(*missed)), model.word_scores(words).tolist()))
         for b in missed:
             new = [w for w in b if not neg[w] and by[w] > 0]
             if new:
-                seeds.add(max(new, key=lambda w: (by[w], w)))
-    best = _best_of([b for b, _ in bags], model)
-    slope, shift = _curve(best, np.array([label for _, label in bags], np.float64))
-    return Model(model.weights, model.bias, slope, shift)
+                seeds.setdefault(max(new, key=lambda w: (by[w], w)), min(seeds.values()))
+    # toxic documents come again with their insults altered
+    again = [({altered(w) if w in leading else w for w in b}, 1) for b, y in bags if y == 1 and b & leading]
+    every = [*bags, *again]
+    x = evidence(_tops_of([b for b, _ in every], model))
+    weights = np.concatenate((np.ones(len(bags)), np.full(len(again), ALTERED_WEIGHT)))
+    return Model(model.weights, model.bias, _curve(x, np.array([label for _, label in every], np.float64), weights))
 
 
-def _best_of(bags: list[set[str]], model: Model) -> np.ndarray:
+def _tops_of(bags: list[set[str]], model: Model) -> np.ndarray:
     words = sorted({w for b in bags for w in b})
     by = dict(zip(words, np.maximum(model.word_scores(words), FLOOR).tolist()))
-    return np.array([max((by[w] for w in b), default=FLOOR) for b in bags])
-
-
-def _curve(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (above 0) and shift of the logistic curve through (s, y), by Newton steps with a little penalty."""
-    x = np.stack((s, np.ones_like(s)), axis=1)
-
-    def loss(p: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(2 * y - 1) * (x @ p)).sum() + 0.005 * p @ p)
-
-    p = np.array([1.0, 0.0])
-    for _ in range(100):
-        q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
-        g = x.T @ (q - y) + 0.01 * p
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.01 * np.eye(2)
-        step, size = np.linalg.solve(h, g), 1.0
-        while size > 1e-6 and loss(p - size * step) > loss(p) - 1e-4 * size * (g @ step):
-            size /= 2
-        p = p - size * step
-        if np.abs(size * step).max() < 1e-8:
+    return np.array([sorted((by[w] for w in b), reverse=True)[:TOP] + [FLOOR] * max(0, TOP - len(b)) for b in bags])
+
+
+def _curve(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights of the columns of s, none below 0, and a constant, of the logistic curve through (s, y), rows weighed by w; by Newton steps with a little penalty."""
+    keep = list(range(s.shape[1]))
+    while True:
+        x = np.concatenate((s[:, keep], np.ones((len(s), 1))), axis=1)
+
+        def loss(p: np.ndarray) -> float:
+            return float((w * np.logaddexp(0, -(2 * y - 1) * (x @ p))).sum() + 0.005 * p @ p)  # noqa: B023
+
+        p = np.zeros(x.shape[1])
+        for _ in range(100):
+            q = 1 / (1 + np.exp(-np.clip(x @ p, -30, 30)))
+            g = x.T @ (w * (q - y)) + 0.01 * p
+            h = (x * (w * q * (1 - q))[:, None]).T @ x + 0.01 * np.eye(len(p))
+            step, size = np.linalg.solve(h, g), 1.0
+            while size > 1e-6 and loss(p - size * step) > loss(p) - 1e-4 * size * (g @ step):
+                size /= 2
+            p = p - size * step
+            if np.abs(size * step).max() < 1e-8:
+                break
+        if not keep or p[:-1].min() >= 0:
             break
-    return max(float(p[0]), 0.1), float(p[1])
+        del keep[int(p[:-1].argmin())]  # a more toxic word never makes a text less toxic
+    out = np.zeros(s.shape[1] + 1)
+    out[keep], out[-1] = p[:-1], p[-1]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
@@ -283,7 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return fit([(set(b.split(" ")) - {""}, y) for _, y, b in found])
 
 
-_scores: dict[int, dict[str, float]] = {}
+_scores: dict[int, tuple[dict[str, float], dict[str, str]]] = {}
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -294,7 +326,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         model = sent.value
         if id(model) not in _scores:
             _scores.clear()
-        cache = _scores.setdefault(id(model), {})
+        cache, toxic = _scores.setdefault(id(model), ({}, {}))  # scores of words, and the letters of those on the toxic side
         for batch in batches:
             texts, out = as_list(batch, "text"), []
             for at in range(0, len(texts), 200):
@@ -304,6 +336,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     continue
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
+                    toxic.clear()
                 new = list(set().union(*bags).difference(cache))
                 for k in range(0, len(new), 20_000):
                     some = new[k : k + 20_000]
@@ -311,10 +344,18 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     flat = [p for ps in pieces for p in ps]
                     got, i = model.word_scores(flat).tolist(), 0
                     for w, ps in zip(some, pieces):
-                        cache[w] = max(got[i : i + len(ps)], default=FLOOR)
+                        best = max(range(i, i + len(ps)), key=got.__getitem__, default=None)
+                        cache[w] = FLOOR if best is None else max(got[best], FLOOR)
+                        if cache[w] > 0:
+                            toxic[w] = flat[best]
                         i += len(ps)
-                best = np.array([max(map(cache.__getitem__, b), default=FLOOR) for b in bags])
-                out += model.probability(np.maximum(best, FLOOR)).tolist()
+                tops = np.full((len(bags), TOP), FLOOR)
+                for k, b in enumerate(bags):
+                    tops[k, 0] = max(map(cache.__getitem__, b), default=FLOOR)
+                    if tops[k, 0] > 0:  # words that differ in marks alone are one
+                        each = sorted({toxic[w]: cache[w] for w in b if w in toxic}.values(), reverse=True)[:TOP]
+                        tops[k, : len(each)] = each
+                out += model.probability(tops).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
