@@ -205,6 +205,39 @@ def test_repeated_words(spark, large):
     assert sorted(tuple(r) for r in automaton.report(df, 12, large).collect()) == _words_brute(rows, 12)
 
 
+@pytest.mark.parametrize("settings", [{"large_words": 40}, {"large_words": 40, "shard_words": 100, "rounds": 1000}, {"large_words": 0, "rounds": 0}])
+def test_large_anchors(spark, settings):
+    """By one broadcast automaton, by many, and by digests."""
+    rows = _made_up(random.Random(10), 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in automaton.report(df, 12, **settings).collect()) == _words_brute(rows, 12)
+
+
+def test_periodic_documents(spark):
+    """Periods make passages of whole documents; beyond the bounds they don't meet in a task."""
+    rows = [(k, " ".join(f"w{k % 7}_{j}" for j in range(3)) + (" " + " ".join(f"w{k % 7}_{j}" for j in range(3))) * (60 + k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in automaton.report(df, 12, large_words=1000).collect()) == _words_brute(rows, 12)
+    want = _bytes_brute([(k, t.encode()) for k, t in rows], 40)
+    assert sorted(tuple(r) for r in suffix_array.report(df, 40, large_bytes=2000).collect()) == want
+
+
+def test_least_marks():
+    """States know the smallest mark of all sequences that hold them."""
+    rng = random.Random(11)
+    for _ in range(40):
+        seqs = [([rng.randrange(2) for _ in range(rng.randrange(1, 14))], rng.randrange(6)) for _ in range(4)]
+        a = automaton.Automaton()
+        for items, mark in seqs:
+            a.add(items, mark)
+        a.settle()
+        for size in (1, 2, 3, 5):
+            for items, mark in seqs:
+                first = lambda w: min(m for x, m in seqs if any(x[i : i + size] == w for i in range(len(x) - size + 1)))  # noqa: B023, E731
+                want = [i for i in range(len(items) - size + 1) if first(items[i : i + size]) < mark]
+                assert automaton.windows_in(a, items, size, mark).tolist() == want
+
+
 def test_repeated_words_sf(docs, rows):
     assert sorted(tuple(r) for r in automaton.report(docs).collect()) == _words_brute(rows, 50)
 

@@ -170,28 +170,28 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
-    """doc_id, th, anchor, n (2 if it's at several places) for documents that have windows."""
+    """doc_id, th, anchor, n (2 if it's at several places), units (of the passage) for documents that have windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = batch.column(0), batch.column(1)
             for at, texts in _blocks(as_bytes(batch, "text"), kind):
-                which, _, _, anchor, several = passages(texts, kind)
+                which, _, windows, anchor, several = passages(texts, kind)
                 if len(which):
                     rows = pa.array(which + at)
-                    yield pa.RecordBatch.from_arrays([ids.take(rows), ths.take(rows), pa.array(anchor), pa.array(1 + several.astype(np.int64))], names=["doc_id", "th", "anchor", "n"])
+                    yield pa.RecordBatch.from_arrays([ids.take(rows), ths.take(rows), pa.array(anchor), pa.array(1 + several.astype(np.int64)), pa.array(windows + kind.size - 1)], names=["doc_id", "th", "anchor", "n", "units"])
 
-    return docs.mapInArrow(run, "doc_id long, th long, anchor long, n long")
+    return docs.mapInArrow(run, "doc_id long, th long, anchor long, n long, units long")
 
 
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary()), ("first", pa.int64()), ("windows", pa.int64()), ("several", pa.bool_()), ("large", pa.bool_()), ("data", pa.binary())])
 
 
-def candidates(docs: DataFrame, kind: Kind, large: int) -> DataFrame:
-    """Passages whose anchor occurs more than once: doc_id, th, anchor, digest, first, windows, several (its anchor is at several places in it), large (its anchor occurs more than `large` times), and data (null where the task has met the passage before). docs: of keyed(). Written to the shared folder."""
+def candidates(docs: DataFrame, kind: Kind, large: int, large_units: int) -> DataFrame:
+    """Passages whose anchor occurs more than once: doc_id, th, anchor, digest, first, windows, several (its anchor is at several places in it), large (its anchor occurs more than `large` times, or in more than `large_units` units of passages, so that what meets in a task is bounded in both), and data (null where the task has met the passage before). docs: of keyed(). Written to the shared folder."""
     found = settled(anchors(docs, kind))
-    repeated = found.groupBy("anchor").agg(F.sum("n").alias("_n")).where("_n > 1").select("anchor", (F.col("_n") > large).alias("large"))
-    wanted = found.join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "large")).alias("wanted"))
+    repeated = found.groupBy("anchor").agg(F.sum("n").alias("_n"), F.sum("units").alias("_units")).where("_n > 1").select("anchor", ((F.col("_n") > large) | (F.col("_units") > large_units)).alias("large"))
+    wanted = found.drop("n", "units").join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "large")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), "wanted")
     both = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc_id"]) & (docs["th"] == wanted["_th"])).select("doc_id", "th", "text", "wanted")
 

@@ -8,7 +8,7 @@ suffix left out of later rounds; common prefixes of neighbours follow by Kasai's
 (along a diagonal the prefix shrinks by one, so only where a diagonal begins is anything
 compared). Windows with a neighbour that shares `size` bytes are repeated. Shards need
 no merging, as equal windows never lie in two; the passages of an anchor that occurs more than
-LARGE times, which would outgrow a shard, never meet in a task: digests of their windows are
+LARGE times or in more than LARGE_BYTES of passages, which would outgrow a shard, never meet in a task: digests of their windows are
 merged by Spark's sorted aggregation and join instead of by binary search in shards.
 
 Defined results: null and empty texts have no bytes. Matches never cross documents; rows
@@ -32,8 +32,8 @@ from veilspark.llm.common import as_bytes, as_list, dealt, settled
 from veilspark.llm.repeats import bytes_kind, candidates, keyed
 
 SIZE, SHARD_BYTES = 400, 1 << 20
-#: Occurrences of an anchor beyond which its passages are told by window digests.
-LARGE = 5_000
+#: Occurrences of an anchor, and bytes of its passages, beyond which these are told by window digests.
+LARGE, LARGE_BYTES = 5_000, 1 << 20
 
 
 def suffix_array(data: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,9 +214,9 @@ def repeated_runs(found: DataFrame, size: int, shard_bytes: int = SHARD_BYTES) -
     return out.unionByName(windows.join(twice, "w").select("digest", "a", F.col("a").alias("b")))
 
 
-def spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE) -> DataFrame:
+def spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE, large_bytes: int = LARGE_BYTES) -> DataFrame:
     """doc_id, th, spans (array of a, b: bytes a .. b - 1 go); docs: of keyed(). For documents that lose any."""
-    found = candidates(docs, bytes_kind(size), large)
+    found = candidates(docs, bytes_kind(size), large, large_bytes)
     parts = settled(repeated_runs(found, size, shard_bytes))
     times = found.groupBy("digest").agg(F.count("*").alias("times"))
     inside = parts.groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
@@ -243,7 +243,7 @@ def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc_id"]) & (docs["th"] == found["_th"]), "left").select("doc_id", "text", "spans")
 
 
-def deduplicate(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE, large_bytes: int = LARGE_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes), a row for each row of docs."""
     own = keyed(docs)
 
@@ -260,8 +260,8 @@ def deduplicate(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTE
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return with_spans(own, spans(own, size, shard_bytes, large)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_spans(own, spans(own, size, shard_bytes, large, large_bytes)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def report(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE) -> DataFrame:
-    return deduplicate(docs, size, shard_bytes, large).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def report(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE, large_bytes: int = LARGE_BYTES) -> DataFrame:
+    return deduplicate(docs, size, shard_bytes, large, large_bytes).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
