@@ -9,8 +9,8 @@ those, other documents that have the same passage lose all of it.
 
 An automaton of all references would grow with the corpus, so references are sharded by
 anchor: equal windows share an anchor, and an anchor's automaton holds its distinct passages
-alone and meets just the passages that have the anchor. Passages of an anchor that occurs more than
-LARGE times or in more than LARGE_WORDS words of passages never meet in a task: their references
+alone and meets just the passages that have the anchor. Passages of an anchor that has more than
+LARGE different ones or more than LARGE_WORDS words of them never meet in a task: their references
 are cut to shards of SHARD_WORDS, whose automata are broadcast one after the other while the
 passages stream by where they lie. Where that would take more than ROUNDS shards, the digests
 of these anchors' windows are aggregated and joined in Spark, with the same result. `against` does the like
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import as_bytes, as_list, dealt, settled
 from veilspark.llm.repeats import candidates, keyed, words_kind
-from veilspark.llm.suffix_array import merge, runs, with_spans
+from veilspark.llm.suffix_array import as_runs, merge, runs, with_spans
 
 SIZE = 50
-#: Occurrences of an anchor, and words of its passages, beyond which these don't meet in one task.
+#: Different passages of an anchor, and words of them, beyond which these don't meet in one task.
 LARGE, LARGE_WORDS = 5_000, 1 << 17
 #: Words of references in a broadcast automaton, and how many such are broadcast at most.
 SHARD_WORDS, ROUNDS = 1 << 17, 4
@@ -218,23 +218,24 @@ def _of_large(found: DataFrame, of: DataFrame, size: int, shard_words: int, roun
             words += text.count(b" ") + 1
         parts = [_streamed(dated, references, size) for references in shards]
         return reduce(DataFrame.unionByName, parts)
-    windows = settled(dated.select("digest", "data").mapInArrow(_window_digests(size), "digest binary, w binary, a long")).join(large.select("digest", "least"), "digest")
+    windows = settled(dated.mapInArrow(_window_digests(size), "digest binary, least long, w binary, a long"))
     first = windows.groupBy("w").agg(F.min("least").alias("earliest"), F.max("least").alias("latest")).where("earliest < latest").select("w", "earliest")
-    return windows.join(first, "w").where("earliest < least").select("digest", "a", F.col("a").alias("b"))
+    return as_runs(windows.join(first, "w").where("earliest < least"))
 
 
 def _window_digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, w, at = [], [], []
-            for digest, data in zip(*(as_list(batch, c) for c in ("digest", "data"))):
+            digests, leasts, w, at = [], [], [], []
+            for digest, least, data in zip(*(as_list(batch, c) for c in ("digest", "least", "data"))):
                 words = data.split(b" ")
                 ends = np.concatenate(([0], np.cumsum([len(x) + 1 for x in words]))).tolist()
                 n = len(words) - size + 1
                 digests += [digest] * n
+                leasts += [least] * n
                 w += [xxhash.xxh3_128_digest(data[ends[k] : ends[k + size] - 1]) for k in range(n)]
                 at += range(n)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(w, pa.binary()), pa.array(at, pa.int64())], names=["digest", "w", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(leasts, pa.int64()), pa.array(w, pa.binary()), pa.array(at, pa.int64())], names=["digest", "least", "w", "a"])
 
     return run
 

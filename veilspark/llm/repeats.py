@@ -123,9 +123,14 @@ def least_places(h: np.ndarray, w: int, bits: int) -> np.ndarray:
 
 def passages(texts: list[bytes], kind: Kind, bits: int = PLACE_BITS) -> tuple[np.ndarray, ...]:
     """Passages of texts: text, first unit, number of windows, anchor, and whether an anchor is at several places in it."""
+    return printed_passages(texts, kind, bits)[:5]
+
+
+def printed_passages(texts: list[bytes], kind: Kind, bits: int = PLACE_BITS) -> tuple[np.ndarray, ...]:
+    """As passages(), and the sum of each one's gram hashes, by which different ones can be counted."""
     h, lengths = kind.grams(texts)
     n, w = len(h), kind.size - kind.gram + 1
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool, np.int64))
     m = n - kind.size + 1
     if m < 1:
         return none
@@ -147,7 +152,9 @@ def passages(texts: list[bytes], kind: Kind, bits: int = PLACE_BITS) -> tuple[np
     later = np.concatenate((begin[1:], [m]))
     windows = np.minimum(later, stop) - begin
     several = np.diff(np.concatenate((first, [len(at)]))) > 1
-    return which, begin - starts[which], windows, anchor[first].view(np.int64), several
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
+    prints = sums[begin + windows + w - 1] - sums[begin]
+    return which, begin - starts[which], windows, anchor[first].view(np.int64), several, prints.view(np.int64)
 
 
 def _blocks(texts: list[bytes | None], kind: Kind) -> Iterator[tuple[int, list[bytes]]]:
@@ -170,28 +177,45 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
-    """doc_id, th, anchor, n (2 if it's at several places), units (of the passage) for documents that have windows."""
+    """doc_id, th, anchor, n (2 if it's at several places), units and print (of the passage) for documents that have windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ths = batch.column(0), batch.column(1)
             for at, texts in _blocks(as_bytes(batch, "text"), kind):
-                which, _, windows, anchor, several = passages(texts, kind)
+                which, _, windows, anchor, several, prints = printed_passages(texts, kind)
                 if len(which):
                     rows = pa.array(which + at)
-                    yield pa.RecordBatch.from_arrays([ids.take(rows), ths.take(rows), pa.array(anchor), pa.array(1 + several.astype(np.int64)), pa.array(windows + kind.size - 1)], names=["doc_id", "th", "anchor", "n", "units"])
+                    yield pa.RecordBatch.from_arrays([ids.take(rows), ths.take(rows), pa.array(anchor), pa.array(1 + several.astype(np.int64)), pa.array(windows + kind.size - 1), pa.array(prints)], names=["doc_id", "th", "anchor", "n", "units", "print"])
+
+    return docs.mapInArrow(run, "doc_id long, th long, anchor long, n long, units long, print long")
+
+
+#: Anchors that may be broadcast to be looked at more closely.
+BROADCAST_ANCHORS = 500_000
+
 
-    return docs.mapInArrow(run, "doc_id long, th long, anchor long, n long, units long")
+def repeated_anchors(found: DataFrame, large: int, large_units: int) -> DataFrame:
+    """anchor, large: of anchors that occur more than once. found: of anchors()."""
+    repeated = settled(found.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("units").alias("units")).where("n > 1"))
+    # copies count once, so anchors that exceed a bound with them are looked at again
+    suspects = repeated.where((F.col("n") > large) | (F.col("units") > large_units)).select("anchor")
+    n = suspects.count()
+    if not n:
+        return repeated.select("anchor", F.lit(False).alias("large"))
+    each = found.join(F.broadcast(suspects) if n <= BROADCAST_ANCHORS else suspects, "anchor").groupBy("anchor", "print").agg(F.max("units").alias("units"))
+    sizes = each.groupBy("anchor").agg(F.count("*").alias("_n"), F.sum("units").alias("_units")).where((F.col("_n") > large) | (F.col("_units") > large_units)).select("anchor", F.lit(True).alias("large"))
+    return repeated.select("anchor").join(F.broadcast(sizes) if n <= BROADCAST_ANCHORS else sizes, "anchor", "left").select("anchor", F.coalesce("large", F.lit(False)).alias("large"))
 
 
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary()), ("first", pa.int64()), ("windows", pa.int64()), ("several", pa.bool_()), ("large", pa.bool_()), ("data", pa.binary())])
 
 
 def candidates(docs: DataFrame, kind: Kind, large: int, large_units: int) -> DataFrame:
-    """Passages whose anchor occurs more than once: doc_id, th, anchor, digest, first, windows, several (its anchor is at several places in it), large (its anchor occurs more than `large` times, or in more than `large_units` units of passages, so that what meets in a task is bounded in both), and data (null where the task has met the passage before). docs: of keyed(). Written to the shared folder."""
+    """Passages whose anchor occurs more than once: doc_id, th, anchor, digest, first, windows, several (its anchor is at several places in it), large (its anchor has more than `large` different passages, or more than `large_units` units of them, so that what meets in a task is bounded in both), and data (null where the task has met the passage before). docs: of keyed(). Written to the shared folder."""
     found = settled(anchors(docs, kind))
-    repeated = found.groupBy("anchor").agg(F.sum("n").alias("_n"), F.sum("units").alias("_units")).where("_n > 1").select("anchor", ((F.col("_n") > large) | (F.col("_units") > large_units)).alias("large"))
-    wanted = found.drop("n", "units").join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "large")).alias("wanted"))
+    repeated = repeated_anchors(found, large, large_units)
+    wanted = found.select("doc_id", "th", "anchor").join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "large")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), "wanted")
     both = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc_id"]) & (docs["th"] == wanted["_th"])).select("doc_id", "th", "text", "wanted")
 

@@ -7,8 +7,8 @@ Larsson-Sadakane refinement, in numpy and down to `size` bytes, with groups that
 suffix left out of later rounds; common prefixes of neighbours follow by Kasai's rule
 (along a diagonal the prefix shrinks by one, so only where a diagonal begins is anything
 compared). Windows with a neighbour that shares `size` bytes are repeated. Shards need
-no merging, as equal windows never lie in two; the passages of an anchor that occurs more than
-LARGE times or in more than LARGE_BYTES of passages, which would outgrow a shard, never meet in a task: digests of their windows are
+no merging, as equal windows never lie in two; the passages of an anchor that has more than
+LARGE different ones or more than LARGE_BYTES of them, which would outgrow a shard, never meet in a task: digests of their windows are
 merged by Spark's sorted aggregation and join instead of by binary search in shards.
 
 Defined results: null and empty texts have no bytes. Matches never cross documents; rows
@@ -32,7 +32,7 @@ from veilspark.llm.common import as_bytes, as_list, dealt, settled
 from veilspark.llm.repeats import bytes_kind, candidates, keyed
 
 SIZE, SHARD_BYTES = 400, 1 << 20
-#: Occurrences of an anchor, and bytes of its passages, beyond which these are told by window digests.
+#: Different passages of an anchor, and bytes of them, beyond which these are told by window digests.
 LARGE, LARGE_BYTES = 5_000, 1 << 20
 
 
@@ -211,7 +211,19 @@ def repeated_runs(found: DataFrame, size: int, shard_bytes: int = SHARD_BYTES) -
     # tasks may have sent a passage twice: a window is a digest and a place
     windows = settled(found.where("data is not null and large").select("digest", "data").mapInArrow(_window_digests(size), "digest binary, w binary, a long").distinct())
     twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    return out.unionByName(windows.join(twice, "w").select("digest", "a", F.col("a").alias("b")))
+    return out.unionByName(as_runs(windows.join(twice, "w")))
+
+
+def as_runs(windows: DataFrame) -> DataFrame:
+    """digest, a, b: runs of consecutive windows of a passage, from single ones (digest, a)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(digest, a, b) for digest, at in zip(as_list(batch, "digest"), as_list(batch, "at")) for a, b in zip(*(x.tolist() for x in runs(np.unique(np.array(at, np.int64)))))]
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()))], names=["digest", "a", "b"])
+
+    return windows.groupBy("digest").agg(F.collect_list("a").alias("at")).mapInArrow(run, "digest binary, a long, b long")
 
 
 def spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE, large_bytes: int = LARGE_BYTES) -> DataFrame:
