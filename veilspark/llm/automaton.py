@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, as_list, dealt, settled
+from veilspark.llm.common import as_bytes, as_list, dealt, settled, unsettle
 from veilspark.llm.repeats import candidates, keyed, words_kind
 from veilspark.llm.suffix_array import as_runs, merge, runs, with_spans
 
@@ -250,7 +250,8 @@ def spans(docs: DataFrame, size: int = SIZE, large: int = LARGE, large_words: in
     few = few.unionByName(found.where("data is not null and not large").select("anchor", "digest", nothing("long").alias("least"), "data"))
     parts_of = dealt(few, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size), "digest binary, a long, b long")
     parts_of = parts_of.unionByName(_of_large(found, of, size, shard_words, rounds))
-    inside = settled(parts_of).groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    parts = settled(parts_of)
+    inside = parts.groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     judged = of.where("least < most").select("digest", "least").join(inside, "digest", "full")
     judged = judged.select(F.col("digest").alias("_digest"), "least", "runs")
     hit = found.select("doc_id", "th", "digest", "first", "windows").join(judged, found["digest"] == judged["_digest"])
@@ -258,7 +259,10 @@ def spans(docs: DataFrame, size: int = SIZE, large: int = LARGE, large_words: in
     # a passage's first document loses just what others had before it, the rest lose all
     later = F.col("least").isNotNull() & (own > F.col("least"))
     each = hit.select("doc_id", "th", "first", F.explode(F.when(later, whole).otherwise(F.col("runs"))).alias("r"))
-    return each.groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + size).alias("b"))).alias("spans"))
+    out = settled(each.groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + size).alias("b"))).alias("spans")))
+    for table in (found, of, parts):
+        unsettle(table)
+    return out
 
 
 def _kept(texts: list[bytes], spans_of: list, ids: pa.Array) -> pa.RecordBatch:

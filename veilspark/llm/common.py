@@ -49,6 +49,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def unsettle(df: DataFrame) -> None:
+    """Deletes a settled table, once nothing reads it any more."""
     if path := df.__dict__.get("settled_at"):
         drop_dir(df.sparkSession, path)
 

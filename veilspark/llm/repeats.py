@@ -195,17 +195,18 @@ def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
 BROADCAST_ANCHORS = 500_000
 
 
-def repeated_anchors(found: DataFrame, large: int, large_units: int) -> DataFrame:
-    """anchor, large: of anchors that occur more than once. found: of anchors()."""
+def repeated_anchors(found: DataFrame, large: int, large_units: int) -> tuple[DataFrame, DataFrame]:
+    """anchor, large: of anchors that occur more than once; and the table that this reads. found: of anchors()."""
     repeated = settled(found.groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("units").alias("units")).where("n > 1"))
     # copies count once, so anchors that exceed a bound with them are looked at again
     suspects = repeated.where((F.col("n") > large) | (F.col("units") > large_units)).select("anchor")
     n = suspects.count()
     if not n:
-        return repeated.select("anchor", F.lit(False).alias("large"))
+        return repeated.select("anchor", F.lit(False).alias("large")), repeated
     each = found.join(F.broadcast(suspects) if n <= BROADCAST_ANCHORS else suspects, "anchor").groupBy("anchor", "print").agg(F.max("units").alias("units"))
     sizes = each.groupBy("anchor").agg(F.count("*").alias("_n"), F.sum("units").alias("_units")).where((F.col("_n") > large) | (F.col("_units") > large_units)).select("anchor", F.lit(True).alias("large"))
-    return repeated.select("anchor").join(F.broadcast(sizes) if n <= BROADCAST_ANCHORS else sizes, "anchor", "left").select("anchor", F.coalesce("large", F.lit(False)).alias("large"))
+    both = repeated.select("anchor").join(F.broadcast(sizes) if n <= BROADCAST_ANCHORS else sizes, "anchor", "left")
+    return both.select("anchor", F.coalesce("large", F.lit(False)).alias("large")), repeated
 
 
 _PASSAGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.int64()), ("digest", pa.binary()), ("first", pa.int64()), ("windows", pa.int64()), ("several", pa.bool_()), ("large", pa.bool_()), ("data", pa.binary())])
@@ -214,7 +215,7 @@ _PASSAGE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("anchor", pa.
 def candidates(docs: DataFrame, kind: Kind, large: int, large_units: int) -> DataFrame:
     """Passages whose anchor occurs more than once: doc_id, th, anchor, digest, first, windows, several (its anchor is at several places in it), large (its anchor has more than `large` different passages, or more than `large_units` units of them, so that what meets in a task is bounded in both), and data (null where the task has met the passage before). docs: of keyed(). Written to the shared folder."""
     found = settled(anchors(docs, kind))
-    repeated = repeated_anchors(found, large, large_units)
+    repeated, counted = repeated_anchors(found, large, large_units)
     wanted = found.select("doc_id", "th", "anchor").join(repeated, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "large")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), "wanted")
     both = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_doc_id"]) & (docs["th"] == wanted["_th"])).select("doc_id", "th", "text", "wanted")
@@ -250,4 +251,5 @@ def candidates(docs: DataFrame, kind: Kind, large: int, large_units: int) -> Dat
 
     out = settled(both.mapInArrow(run, "doc_id long, th long, anchor long, digest binary, first long, windows long, several boolean, large boolean, data binary"))
     unsettle(found)
+    unsettle(counted)
     return out

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, as_list, dealt, settled
+from veilspark.llm.common import as_bytes, as_list, dealt, settled, unsettle
 from veilspark.llm.repeats import bytes_kind, candidates, keyed
 
 SIZE, SHARD_BYTES = 400, 1 << 20
@@ -205,13 +205,15 @@ def _window_digests(size: int):
 
 
 def repeated_runs(found: DataFrame, size: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """digest, a, b: runs of windows a .. b of a passage that occur elsewhere. found: of candidates()."""
+    """digest, a, b: runs of windows a .. b of a passage that occur elsewhere. found: of candidates(). Written to the shared folder."""
     few = found.where("data is not null and not large").select("anchor", "digest", "several", "data")
     out = dealt(few, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(size, shard_bytes), "digest binary, a long, b long")
     # tasks may have sent a passage twice: a window is a digest and a place
     windows = settled(found.where("data is not null and large").select("digest", "data").mapInArrow(_window_digests(size), "digest binary, w binary, a long").distinct())
     twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    return out.unionByName(as_runs(windows.join(twice, "w")))
+    parts = settled(out.unionByName(as_runs(windows.join(twice, "w"))))
+    unsettle(windows)
+    return parts
 
 
 def as_runs(windows: DataFrame) -> DataFrame:
@@ -229,14 +231,17 @@ def as_runs(windows: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = SHARD_BYTES, large: int = LARGE, large_bytes: int = LARGE_BYTES) -> DataFrame:
     """doc_id, th, spans (array of a, b: bytes a .. b - 1 go); docs: of keyed(). For documents that lose any."""
     found = candidates(docs, bytes_kind(size), large, large_bytes)
-    parts = settled(repeated_runs(found, size, shard_bytes))
+    parts = repeated_runs(found, size, shard_bytes)
     times = found.groupBy("digest").agg(F.count("*").alias("times"))
     inside = parts.groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     judged = times.join(inside, "digest", "left").where("times > 1 or runs is not null")
     hit = found.select("doc_id", "th", "digest", "first", "windows").join(judged, "digest")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("windows") - 1).alias("b")))
     each = hit.select("doc_id", "th", "first", F.explode(F.when(F.col("times") > 1, whole).otherwise(F.col("runs"))).alias("r"))
-    return each.groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + size).alias("b"))).alias("spans"))
+    out = settled(each.groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("first") + F.col("r.a")).alias("a"), (F.col("first") + F.col("r.b") + size).alias("b"))).alias("spans")))
+    unsettle(found)
+    unsettle(parts)
+    return out
 
 
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
