@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.llm import decontaminate, mixing, quality, records, simhash
-from veilspark.llm.common import shared_dir, table
+from veilspark.llm.common import drop_dir, shared_dir, table
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +41,20 @@ STAGES = [
     ("token-ID / binary output", write_records),
 ]
 
-#: SQL has neither the classifier nor the tokenizer; tests hold each stage against a brute-force version.
+#: SQL has neither the classifier nor the tokenizer; tests/llm/test_pipeline.py holds each stage, and all of them, against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    """All stages over documents, each written as Parquet and read again; a stage's table goes once the next one is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
         path = shared_dir(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            drop_dir(spark, last)
+        last = path
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its files are written, and what's returned reads them
+    drop_dir(spark, last)
+    return out
