@@ -74,9 +74,69 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint)
 from d left join lost using (r) left join kept using (r)
 """
 
+OP13 = r"""
+with d as (select doc_id, row_number() over () as r, string_split(coalesce(text, ''), chr(10)) as l from documents),
+lines as (select r, doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as pos from d),
+keys as (select *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+shared as (select key, max(doc_id) as last from keys where length(key) >= 40 group by key having count(distinct r) >= 5),
+judged as (select keys.*, last is not null and doc_id is distinct from last as gone from keys left join shared using (key))
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from judged group by r
+"""
+
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+OP11 = rf"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, {_CRC} as h from documents),
+g as (select doc_id, r, w, h % 10 = 0 and len(w) > 0 as hit, case when len(w) > 0 then (h // 10) % len(w) end as a, 3 + (h // 10) % 8 as k from d),
+t as (select doc_id, r, case when hit then list_transform(range(0, len(w)), lambda i: case when i >= a then w[a + (i - a) % (1 + (len(w) - a) // k) + 1] else w[i + 1] end) else w end as w from g),
+n as (select r, len(w) as n from t),
+words as (select r, unnest(w) as word, unnest(range(0, len(w))) as i from t),
+pairs as (select x.r, x.i, y.i - x.i as p from words x join words y on x.r = y.r and x.word = y.word and y.i > x.i join n on n.r = x.r where 4 * (y.i - x.i) <= n.n),
+isles as (select r, p, i, i - row_number() over (partition by r, p order by i) as isle from pairs),
+stretches as (select r, p, min(i) as a, max(i) + 1 + p as b from isles group by r, p, isle having count(*) + p >= greatest(6, 4 * p)),
+runs as (select r, a, b, min(p) as p from stretches group by r, a, b),
+sums as (select r, count(*) as n_runs, string_agg(a || ',' || (b - a) || ',' || p || chr(10), '' order by a, p) as listed from runs group by r),
+best as (select r, a, b, p from runs qualify row_number() over (partition by r order by cast(b - a as double) / p desc, a, p) = 1),
+gone as (select distinct r, unnest(range(a + p, b)) as i from runs),
+kept as (select r, string_agg(word, ' ' order by i) as s from words anti join gone using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0) as n_runs, a as start, b - a as length, p as period, 1000 * (b - a) // p as exponent_milli,
+       sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(s, '')) as collapsed_sha256
+from t left join sums using (r) left join best using (r) left join kept using (r)
+"""
+
+
+def _op12() -> str:
+    step = """
+near{n} as (select v.r, v.p, arg_min(c.k, c.k + 64 * list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))) as k,
+                   min(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))) as d
+            from parts v join c{n} c using (p) group by v.r, v.p)"""
+    mean = """,
+sums{n} as (select p, k, i, cast(floor(sum(x) / count(*)) as bigint) as m from (select near{n}.p, k, unnest(x) as x, unnest(range(1, len(x) + 1)) as i from near{n} join parts using (r, p)) group by p, k, i),
+means{n} as (select p, k, list(m order by i) as m from sums{n} group by p, k),
+c{next} as (select p, k, coalesce(m, x) as x from c{n} left join means{n} using (p, k)),"""
+    return (
+        """
+with e as (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+           from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select r, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) as x from (select r, v, unnest(range(0, 16)) as p from e)),
+c0 as (select p, k, x from parts join (select r, row_number() over (order by vec_id, v) - 1 as k from e qualify k < 64) using (r)),"""
+        + step.format(n=0) + mean.format(n=0, next=1) + step.format(n=1) + mean.format(n=1, next=2) + step.format(n=2)
+        + """,
+coded as (select vec_id, label, string_agg(printf('%02x', k), '' order by p) as code, cast(sum(d) as bigint) as error from near2 join e using (r) group by r, vec_id, label),
+book as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, k)) as codebooks_sha256 from c2)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded, book
+"""
+    )
+
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": OP1,
     "op4_suffix_array": OP4,
     "op6_mixing": OP6,
     "op10_automaton": OP10,
+    "op11_periodic": OP11,
+    "op12_vector_codes": _op12(),
+    "op13_line_dedup": OP13,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import automaton, decontaminate, html, mixing, perplexity, quality, records, simhash, suffix_array, toxicity
+from veilspark.llm import automaton, decontaminate, html, line_dedup, mixing, periodic, perplexity, quality, records, simhash, suffix_array, toxicity, vector_codes
 from veilspark.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -61,4 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_perplexity": op8_perplexity,
     "op9_html": op9_html,
     "op10_automaton": op10_automaton,
+    "op11_periodic": op11_periodic,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_line_dedup": op13_line_dedup,
 }

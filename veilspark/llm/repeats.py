@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import as_bytes, as_list, settled, unsettle
@@ -170,10 +170,10 @@ def _blocks(texts: list[bytes | None], kind: Kind) -> Iterator[tuple[int, list[b
         yield at, held
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash that tells rows with one doc_id apart) and text."""
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, th (a hash that tells rows with one doc_id apart), text, and more."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
 def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
