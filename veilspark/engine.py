@@ -1,8 +1,8 @@
 """The whole redaction of one string, for the texts that native expressions can't finish.
 
-Column expressions cover surface matches (operators/detect.py). What they can't unroll is
-recursive decoding, views of obfuscated lines and the rewriting of trees of unknown
-shape; those texts, and only those, pass an Arrow UDF that runs this module.
+Column expressions cover surface matches, two levels of decoding and views of obfuscated lines
+(operators/deep.py). What they can't unroll is deeper decoding and the rewriting of trees of
+unknown shape; those texts, and only those, pass an Arrow UDF that runs this module.
 """
 
 from __future__ import annotations
@@ -20,22 +20,20 @@ from urllib.parse import unquote_to_bytes
 
 from veilspark.catalog import Rule, terms_of, to_python
 from veilspark.functions.text import ANSI, ENTITY, HEX_RUN, INVISIBLE, TAIL_BYTES
+from veilspark.operators.decode import BASE64, CODE, HEX, MAY_BE_ENCODED, PERCENT, UNICODE
 from veilspark.operators.detect import ALPHABET, MARKER_BYTES, MARKERS, ONE_LETTER, SHORT_BYTES
 
 DECODE_DEPTH, TREE_DEPTH = 8, 64
 _ANSI, _ENTITY, _HEX_RUN = re.compile(ANSI), re.compile(ENTITY), re.compile(HEX_RUN)
 _ONE_LETTER = re.compile(ONE_LETTER.replace(r"\z", r"\Z"), re.ASCII)
 _INVISIBLE = dict.fromkeys(INVISIBLE)
-#: Segments that may be encoded. Padding and length are checked by decoding.
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){8,}(?![0-9A-Fa-f])")
-_PERCENT = re.compile(r"(?:[A-Za-z0-9_.~+/=:-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9_.~+/=:-]*")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|U\+[0-9A-Fa-f]{4} ?)+")
-#: Whether any of the above can find anything, as one pattern that Java reads too.
-MAY_BE_ENCODED = r"[A-Za-z0-9+/_-]{16}|(?:[0-9A-Fa-f]{2}){8}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|U\+[0-9A-Fa-f]{4}"
-
+_BASE64, _HEX, _PERCENT, _CODE = (re.compile(p) for p in (BASE64, HEX, PERCENT, CODE))
+_UNICODE = [re.compile(p) for p in UNICODE]
+_PRINTABLE = bytes([9, 10, 13, *range(32, 127)])
 #: Texts without any of these, and without a rule's keyword, hold nothing to find.
 _HIDING = re.compile(f"{MAY_BE_ENCODED}|{HEX_RUN[4:].replace('a-f', 'a-fA-F')}|{ENTITY}|[\x1b{''.join(map(chr, INVISIBLE))}]")
+#: What a JSON text is cut at.
+_TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[{}\[\],:]', re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -51,13 +49,23 @@ class Finding:
         return (self.encoded,) if self.encoded else tuple(dict.fromkeys(x for x in (self.match, self.secret) if x))
 
 
+def utf8(s: str) -> bytes:
+    """A string's bytes; JSON may bring halves of surrogate pairs, which UTF-8 hasn't."""
+    return s.encode("utf-8", "surrogatepass")
+
+
+def whole(s: str) -> str:
+    """s with a replacement character for each half of a surrogate pair."""
+    return s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def strip_ansi(s: str) -> str:
     return _ANSI.sub("", s) if "\x1b" in s else s
 
 
 def placeholder(f: Finding) -> str:
     secret = f.secret or f.match
-    tail = f":{secret[-4:]}" if len(secret.encode()) >= TAIL_BYTES else ""
+    tail = f":{secret[-4:]}" if len(utf8(secret)) >= TAIL_BYTES else ""
     return f"<REDACTED:{f.rule_id.lower().replace(' ', '-') or 'secret'}{tail}>"
 
 
@@ -66,14 +74,14 @@ def entropy(s: str) -> float:
 
 
 def views(line: str) -> list[str]:
-    every = [line.translate(_INVISIBLE), _HEX_RUN.sub(lambda m: re.sub("[-: ]", "", m[0]), line), html.unescape(line) if _ENTITY.search(line) else line]
+    every = [line.translate(_INVISIBLE), _HEX_RUN.sub(lambda m: re.sub("[-: ]", "", m[0]), line), _ENTITY.sub(lambda m: html.unescape(m[0]), line)]
     return [v for v in dict.fromkeys(every) if v != line]
 
 
 def survives(text: str, form: str) -> bool:
     if form not in text:
         return False
-    return len(form.encode()) > SHORT_BYTES or re.search(rf"(?<![A-Za-z0-9_-]){re.escape(form)}(?![A-Za-z0-9_-])", text) is not None
+    return len(utf8(form)) > SHORT_BYTES or re.search(rf"(?<![A-Za-z0-9_-]){re.escape(form)}(?![A-Za-z0-9_-])", text) is not None
 
 
 def leaks(text: str, forms: Sequence[str]) -> bool:
@@ -82,29 +90,32 @@ def leaks(text: str, forms: Sequence[str]) -> bool:
 
 
 def _printable(raw: bytes) -> str | None:
-    return raw.decode("ascii") if raw and all(32 <= b < 127 or b in (9, 10, 13) for b in raw) else None
+    return raw.decode("ascii") if raw and not raw.translate(None, _PRINTABLE) else None
+
+
+def _from_base64(s: str) -> bytes:
+    raw = s.rstrip("=").translate(str.maketrans("-_", "+/"))
+    try:
+        return base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return b""
+
+
+def _from_codes(s: str) -> bytes:
+    codes = [int(x, 16) for x in _CODE.findall(s)]
+    return bytes(codes) if max(codes) < 127 else b""
 
 
 def decodings(text: str) -> list[tuple[str, str]]:
-    """(segment, decoded) for the segments of text that decode to printable ASCII."""
+    """(segment, decoded) for the segments of text that decode to printable ASCII; in time linear in the text."""
     out = []
-    for m in _BASE64.finditer(text):
-        raw = m[0].rstrip("=").translate(str.maketrans("-_", "+/"))
-        try:
-            got = _printable(base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True))
-        except (binascii.Error, ValueError):
-            got = None
-        if got:
-            out.append((m[0], got))
-    for m in _HEX.finditer(text):
-        if got := _printable(bytes.fromhex(m[0])):
-            out.append((m[0], got))
-    for m in _PERCENT.finditer(text):
-        if (got := _printable(unquote_to_bytes(m[0]))) and got != m[0]:
-            out.append((m[0], got))
-    for m in _UNICODE.finditer(text):
-        if got := _printable("".join(chr(int(x, 16)) for x in re.findall(r"(?:\\u|U\+)([0-9A-Fa-f]{4})", m[0])).encode("utf-8", "replace")):
-            out.append((m[0].rstrip(" "), got))
+    made = [(m[0], _from_base64(m[0])) for m in _BASE64.finditer(text)]
+    made += [(m[0], bytes.fromhex(m[0])) for m in _HEX.finditer(text) if len(m[0]) % 2 == 0]
+    made += [(m[0], unquote_to_bytes(m[0])) for m in _PERCENT.finditer(text)]
+    made += [(m[0], _from_codes(m[0])) for p in _UNICODE for m in p.finditer(text)]
+    for segment, raw in made:
+        if (got := _printable(raw)) and got != segment:
+            out.append((segment, got))
     return out
 
 
@@ -126,7 +137,8 @@ class Engine:
     def _dropped(self, terms, secret: str) -> bool:
         return any(entropy(secret) <= t.limit if t.kind == "entropy" else any(v.search(secret) for v in values) if t.kind == "any" else any(v in secret for v in values) for t, values in terms)
 
-    def surface(self, text: str) -> list[Finding]:
+    def surface(self, text: str, marked: bool = False) -> list[Finding]:
+        """Findings in order of rules, one for each occurrence, judged by the lines that it lies on; marked: without those near a marker, which are noted as suppressed."""
         low, out = text.lower(), []
         for rule, regex, terms, allow in self._compiled:
             if rule.keywords and not any(k in low for k in rule.keywords):
@@ -139,44 +151,51 @@ class Engine:
                     start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
                     if any(a.search(text[start : end if end >= 0 else len(text)]) for a in allow):
                         continue
+                if marked and self._near(text, m.start(), m.end()):
+                    self.suppressed.append(rule.id)
+                    continue
                 out.append(Finding(rule.id, m[0], secret))
         return out
 
-    def find(self, text: str) -> list[Finding]:
+    def find(self, text: str, authored: bool = False) -> list[Finding]:
         """Findings of the text, then of what its segments decode to, to the depth."""
-        out = self.surface(text)
+        out = self.surface(text, authored)
         level = decodings(text)
         for _ in range(self.depth):
             deeper = []
             for segment, got in level:
-                out += [Finding(f.rule_id, f.match, f.secret, segment) for f in self.surface(got)]
+                found = self.surface(got)
+                if found and authored and self._near_everywhere(text, segment):
+                    self.suppressed += [f.rule_id for f in found]
+                else:
+                    out += [Finding(f.rule_id, f.match, f.secret, segment) for f in found]
                 deeper += [(segment, more) for _, more in decodings(got)]
             level = deeper
             if not level:
                 break
         return list(dict.fromkeys(out))
 
-    def _marked(self, text: str, f: Finding) -> bool:
-        form = f.encoded or f.match
-        at = text.find(form)
-        if at < 0:
-            return False
-        start, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
-        before = text[start:at].encode()[-MARKER_BYTES:]
-        after = text[at + len(form) : end if end >= 0 else len(text)].encode()[:MARKER_BYTES]
-        around = before + form.encode() + after
+    def _near(self, text: str, start: int, end: int) -> bool:
+        """Whether a marker is near the first occurrence of text[start:end] on its lines."""
+        match = text[start:end]
+        a = text.find(match, text.rfind("\n", 0, start) + 1)
+        left = max(text.rfind("\n", 0, a) + 1, a - MARKER_BYTES)
+        line = text.find("\n", a, a + len(match) + MARKER_BYTES)
+        right = line if line >= 0 else a + len(match) + MARKER_BYTES
+        before = utf8(text[left:a])[-MARKER_BYTES:]
+        after = utf8(text[a + len(match) : right])[:MARKER_BYTES]
+        around = before + utf8(text[a : min(a + len(match), right)]) + after
         return any(m.encode() in around for m in self.markers)
 
-    def _kept(self, text: str, found: list[Finding], authored: bool) -> list[Finding]:
-        if not authored:
-            return found
-        out = []
-        for f in found:
-            if self._marked(text, f):
-                self.suppressed.append(f.rule_id)
-            else:
-                out.append(f)
-        return out
+    def _near_everywhere(self, text: str, segment: str) -> bool:
+        """Whether all lines that hold a segment have a marker near it."""
+        at = text.find(segment)
+        while at >= 0:
+            if not self._near(text, at, at + len(segment)):
+                return False
+            end = text.find("\n", at + len(segment))
+            at = text.find(segment, end) if end >= 0 else -1
+        return True
 
     def splice(self, text: str, found: list[Finding]) -> str:
         for f in found:
@@ -203,12 +222,12 @@ class Engine:
     def _redact(self, text: str, authored: bool) -> tuple[str, list[str]]:
         if not _HIDING.search(text) and not self._gated.search(text.lower()):
             return text, []
-        found = self._kept(bare := strip_ansi(text), self.find(bare), authored)
+        found = self.find(strip_ansi(text), authored)
         out = self.splice(text, found)
         ids = list(dict.fromkeys(f.rule_id for f in found if not leaks(out, f.forms)))
         lines = out.split("\n")
         for k, line in enumerate(lines):
-            hits = [f for v in views(strip_ansi(line)) for f in self._kept(v, self.find(v), authored)]
+            hits = [f for v in views(strip_ansi(line)) for f in self.find(v, authored)]
             if hits:
                 lines[k] = placeholder(hits[0])
                 ids += [f.rule_id for f in hits if f.rule_id not in ids]
@@ -217,69 +236,143 @@ class Engine:
 
     # Trees -------------------------------------------------------------------------
 
-    def scan(self, node, authored: bool = False, at: tuple = (), path: str = "") -> tuple[object, list[tuple[tuple, str, list[str]]]]:
-        """node with its strings redacted, and (place, path, ids) of those that held a finding, in document order; keys are never scanned."""
-        if len(at) > TREE_DEPTH:
-            return node, []
-        if isinstance(node, str):
-            out, ids = self.redact(node, authored)
-            return out, [(at, path, ids)] if ids else []
-        if isinstance(node, dict):
-            each = [(k, *self.scan(v, authored, (*at, k), f"{path}.{k}" if path else k)) for k, v in node.items()]
-            return {k: v for k, v, _ in each}, [h for _, _, hits in each for h in hits]
-        if isinstance(node, list):
-            each = [(k, *self.scan(v, authored, (*at, k), f"{path}[{k}]")) for k, v in enumerate(node)]
-            return [v for _, v, _ in each], [h for _, _, hits in each for h in hits]
-        return node, []
+    def _scanned(self, leaves: list[Leaf], authored: bool) -> list[tuple[Leaf, str, list[str]]]:
+        """Leaves with findings, their redacted values and ids."""
+        out = []
+        for leaf in leaves:
+            value, ids = self.redact(leaf.value, authored)
+            if ids:
+                out.append((leaf, value, ids))
+        return out
 
     def first_hit(self, node, authored: bool = False) -> tuple[str, list[str]] | None:
-        """Path and ids of the first hit in order of keys."""
-        hits = self.scan(node, authored)[1]
-        return min(hits)[1:] if hits else None
+        """Path and ids of the first hit of a tree in order of keys."""
+        hits = self._scanned(sorted(json_leaves(json.dumps(node))[0], key=Leaf.order), authored)
+        return (hits[0][0].path, hits[0][2]) if hits else None
 
     def all_hits(self, node, authored: bool = False) -> tuple[list[str], list[str]]:
         """Distinct ids and distinct paths in order of keys, the root's being (root)."""
-        hits = sorted(self.scan(node, authored)[1])
-        return list(dict.fromkeys(i for _, _, ids in hits for i in ids)), list(dict.fromkeys(path or "(root)" for _, path, _ in hits))
+        hits = self._scanned(sorted(json_leaves(json.dumps(node))[0], key=Leaf.order), authored)
+        return list(dict.fromkeys(i for _, _, ids in hits for i in ids)), list(dict.fromkeys(leaf.path or "(root)" for leaf, _, _ in hits))
 
     def redact_tree(self, node, authored: bool = False) -> tuple[object, list[str]]:
-        out, hits = self.scan(node, authored)
-        return out, list(dict.fromkeys(i for _, _, ids in hits for i in ids))
+        made = self.redact_json(json.dumps(node), "a" * authored)
+        return json.loads(made["text"]), made["rules"]
 
     def redact_json(self, text: str, mode: str = "") -> dict:
         """A JSON text in one walk: text (unchanged if clean), rules, path and first (the first hit's path and ids), fields (all paths).
 
-        A text that isn't JSON is redacted as one string. mode holds any of: a (authored), u (a JSON string in a JSON
-        string counts as the inner one), j (text that isn't JSON passes), f (a form: strings at the top alone, ids and
-        fields sorted), s (the top's values apart: ids of each one after the other, and only changed ones in text).
+        Strings are put in place in the text, so all else stays as it's written. A text that isn't JSON is redacted as one
+        string. mode holds any of: a (authored), u (a JSON string in a JSON string counts as the inner one), j (text that
+        isn't JSON passes), f (a form: strings at the top alone, ids and fields sorted), s (the top's values apart: ids of
+        each one after the other, and only changed ones in text).
         """
         authored = "a" in mode
         clean = {"text": text, "rules": [], "path": "", "first": [], "fields": []}
         try:
-            tree = json.loads(text)
-            if "u" in mode and isinstance(tree, str):
+            if "u" in mode and isinstance(inner := _checked(text), str):
                 try:
-                    tree = json.loads(tree)
+                    _checked(inner)
+                    text = inner
                 except ValueError:
                     pass
+            else:
+                _checked(text)
         except (ValueError, RecursionError):
             if "j" in mode or "f" in mode:
                 return clean
             out, ids = self.redact(text, authored)
             return clean | {"text": out, "rules": ids, "first": ids, "fields": ["(root)"]} if ids else clean
-        if ("f" in mode or "s" in mode) and not isinstance(tree, dict):
+        if ("f" in mode or "s" in mode) and not text.lstrip(" \t\n\r").startswith("{"):
             return clean
+        leaves, top = json_leaves(text)
         if "f" in mode:
-            tree = {k: v for k, v in sorted(tree.items()) if isinstance(v, str)}
-        out, hits = self.scan(tree, authored)
+            leaves = sorted((x for x in leaves if len(x.at) == 1), key=Leaf.order)
+        hits = self._scanned(leaves, authored)
         if not hits:
             return clean
         ids = list(dict.fromkeys(i for _, _, found in hits for i in found))
         if "f" in mode:
             ids.sort()
         if "s" in mode:
-            of = {k: [i for i in dict.fromkeys(i for at, _, found in hits for i in found if at[0] == k)] for k in tree}
-            out, ids = {k: v for k, v in out.items() if of[k]}, [i for k in of for i in of[k]]
-        hits.sort()
-        fields = list(dict.fromkeys(path or "(root)" for _, path, _ in hits))
-        return {"text": json.dumps(out, ensure_ascii=False, separators=(",", ":")), "rules": ids, "path": hits[0][1], "first": hits[0][2], "fields": fields}
+            of = {k: [i for i in dict.fromkeys(i for leaf, _, found in hits for i in found if a <= leaf.start < b)] for k, (_, a, b) in enumerate(top)}
+            ids = [i for found in of.values() for i in found]
+            out = "{" + ",".join(text[key.start() : key.end()] + ":" + _put(text, hits, a, b).strip() for k, (key, a, b) in enumerate(top) if of[k]) + "}"
+        else:
+            out = _put(text, hits, 0, len(text))
+        ordered = sorted(hits, key=lambda h: h[0].order())
+        fields = list(dict.fromkeys(whole(leaf.path) or "(root)" for leaf, _, _ in ordered))
+        return {"text": out, "rules": ids, "path": whole(ordered[0][0].path), "first": ordered[0][2], "fields": fields}
+
+
+def _constant(name: str) -> None:
+    raise ValueError(f"{name} isn't JSON")
+
+
+def _checked(text: str):
+    """A JSON text's value, numbers as they're written; ValueError if it isn't JSON."""
+    return json.loads(text, parse_int=str, parse_float=lambda _: 0.0, parse_constant=_constant)
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """A string in a JSON text: where it's written, its value, keys and numbers that lead to it, and these as a path."""
+
+    start: int
+    end: int
+    value: str
+    at: tuple
+    path: str
+
+    def order(self) -> tuple:
+        """Keys in their order; where a key is repeated, its values may be of different kinds."""
+        return tuple((isinstance(x, str), x) for x in self.at)
+
+
+def json_leaves(text: str) -> tuple[list[Leaf], list[tuple[re.Match, int, int]]]:
+    """Strings of a JSON text up to the depth, in document order, keys excepted; and (key, start, end) of the values of an object at the top."""
+    out: list[Leaf] = []
+    top: list[tuple[re.Match, int, int]] = []
+    stack: list[list] = []  # kind, key or number, path of the container
+    key = None
+    for m in _TOKEN.finditer(text):
+        c = text[m.start()]
+        now = stack[-1] if stack else None
+        if c == '"':
+            if now and now[0] == "{" and now[1] is None:
+                now[1] = json.loads(m[0])
+                if len(stack) == 1:
+                    key = m
+            elif len(stack) <= TREE_DEPTH:
+                out.append(Leaf(m.start(), m.end(), json.loads(m[0]), tuple(x[1] for x in stack), _path(now)))
+        elif c == ":":
+            if len(stack) == 1:
+                begin = m.end()
+        elif c in "{[":
+            stack.append([c, None if c == "{" else 0, _path(now)])
+        else:
+            if len(stack) == 1 and now[0] == "{" and now[1] is not None:
+                top.append((key, begin, m.start()))
+            if c == ",":
+                now[1] = None if now[0] == "{" else now[1] + 1
+            else:
+                stack.pop()
+    return out, top
+
+
+def _path(now: list | None) -> str:
+    if now is None:
+        return ""
+    kind, at, path = now
+    return f"{path}[{at}]" if kind == "[" else f"{path}.{at}" if path else at
+
+
+def _put(text: str, hits: list[tuple[Leaf, str, list[str]]], start: int, end: int) -> str:
+    """text[start:end] with the strings of hits in it replaced."""
+    out = []
+    for leaf, value, _ in hits:
+        if start <= leaf.start < end:
+            made = json.dumps(value, ensure_ascii=False)
+            out += [text[start : leaf.start], made if whole(made) == made else json.dumps(value)]
+            start = leaf.end
+    return "".join(out) + text[start:end]

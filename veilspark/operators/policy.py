@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veilspark.catalog import Rule
 from veilspark.functions.paths import SKIP, of_server, sends_out, skipped, tool_matches, write_shaped
 from veilspark.functions.text import already_wrapped, wrap_command
-from veilspark.operators.redact import tree_udf, worth_scanning
+from veilspark.operators.redact import tree_udf, worth_walking
 
 PRIMING_MARK = "secret redaction is active in this session"
 PRIMING = f"Note: {PRIMING_MARK}. Values shown as <REDACTED:...> were removed; refer to secrets by variable name."
@@ -187,7 +187,7 @@ def decide(events: DataFrame, rules: Sequence[Rule], settings: Settings = Settin
     by_path = [k for k, r in enumerate(routes) if r.part in ("file", "written", "content") and r.event == "pre_tool"]
     passed_over = F.col("_route").isin(*by_path) & skipped(path, (*SKIP, *settings.skip))
     df = df.withColumn("_part", F.when(~F.col("_paused") & ~passed_over, chosen(lambda r: PARTS[r.part]).cast("string")))
-    df = df.withColumn("_f", tree_udf(rules)(F.when(worth_scanning(rules, F.col("_part")), F.col("_part")), chosen(lambda r: r.mode).cast("string")))
+    df = df.withColumn("_f", tree_udf(rules)(F.when(worth_walking(rules, F.col("_part")), F.col("_part")), chosen(lambda r: r.mode).cast("string")))
     hit = F.coalesce(F.size("_f.rules"), F.lit(0)) > 0
     verdict = F.when(~F.col("_paused"), chosen(lambda r: r.verdict)).otherwise(F.lit(None))
     verdict = F.coalesce(verdict, F.lit("pass"))

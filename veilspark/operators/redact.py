@@ -2,63 +2,86 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.catalog import Rule
-from veilspark.engine import MAY_BE_ENCODED, Engine
-from veilspark.functions.text import ENTITY, HEX_RUN, INVISIBLE_CLASS, strip_ansi
+from veilspark.engine import DECODE_DEPTH, Engine, whole
+from veilspark.functions.text import strip_ansi
+from veilspark.operators.decode import MAY_BE_ENCODED
+from veilspark.operators.deep import NATIVE_DEPTH, OBFUSCATED, redacted
 from veilspark.operators.detect import any_gate, redact_surface
 
-RESULT = "struct<text: string, rules: array<string>>"
-_RESULT = pa.struct([("text", pa.string()), ("rules", pa.list_(pa.string()))])
-_TREE = pa.struct([("text", pa.string()), ("rules", pa.list_(pa.string())), ("path", pa.string()), ("first", pa.list_(pa.string())), ("fields", pa.list_(pa.string()))])
+_IDS = pa.list_(pa.string())
+_RESULT = pa.struct([("text", pa.string()), ("rules", _IDS), ("error", pa.string())])
+_TREE = pa.struct([("text", pa.string()), ("rules", _IDS), ("path", pa.string()), ("first", _IDS), ("fields", _IDS), ("error", pa.string())])
 
 
 def worth_scanning(rules: Sequence[Rule], text: Column) -> Column:
     """Whether a text can hold anything to find: a rule's keyword, or a shape that may hide one. Evaluated in the JVM, so that other texts never reach Python."""
-    hidden = text.rlike(MAY_BE_ENCODED) | text.rlike(INVISIBLE_CLASS) | text.rlike(HEX_RUN) | text.rlike(ENTITY)
-    return any_gate(rules, F.lower(strip_ansi(text))) | hidden
+    return any_gate(rules, F.lower(strip_ansi(text))) | text.rlike(f"{MAY_BE_ENCODED}|{OBFUSCATED}")
 
 
-def _udf(rules: Sequence[Rule], authored: bool):
+def worth_walking(rules: Sequence[Rule], text: Column) -> Column:
+    """The same of a JSON text, in which an escape may part a keyword."""
+    return worth_scanning(rules, text) | text.contains("\\")
+
+
+def guarded(run: Callable[[str], dict], raw: bytes) -> dict:
+    """What run makes of a text in UTF-8; a text it fails on stays, with the error, and others aren't concerned."""
+    try:
+        return run(raw.decode()) | {"error": None}
+    except Exception as e:  # noqa: BLE001  whatever it is, it's told
+        return {"error": whole(f"{type(e).__name__}: {e}")[:200]}
+
+
+def _udf(rules: Sequence[Rule], authored: bool, depth: int):
     rules = tuple(rules)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        engine = Engine(rules)
+        engine = Engine(rules, depth=depth)
+        one = lambda t: dict(zip(("text", "rules"), engine.redact(t, authored)))
         for texts in batches:
-            rows = [None if t is None else dict(zip(("text", "rules"), engine.redact(t, authored))) for t in texts.to_pylist()]
-            yield pa.array(rows, _RESULT)
+            yield pa.array([None if t is None else guarded(one, t) for t in texts.cast(pa.binary()).to_pylist()], _RESULT)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<text: string, rules: array<string>>")
+    return F.arrow_udf(run, "struct<text: string, rules: array<string>, error: string>")
+
 
+def redact(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = False, out: str = "redacted", hits: str = "rules", depth: int = DECODE_DEPTH, errors: str | None = None) -> DataFrame:
+    """df with the text redacted by all passes and the rule ids. Null and empty texts stay as they are.
 
-def redact(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = False, out: str = "redacted", hits: str = "rules") -> DataFrame:
-    """df with the text redacted by all passes and the rule ids. Null and empty texts stay as they are."""
+    Up to two levels of decoding are column expressions; with a greater depth, texts in which a third level decodes pass the
+    engine as well. A text that the engine fails on comes back whole, with no ids; `errors` names a column for the error.
+    """
     text = F.col(column)
-    sent = F.when(worth_scanning(rules, text), text)
-    done = df.withColumn("_v_done", _udf(rules, authored)(sent))
-    # a second step: a struct read in the same one would run the UDF for each field
-    return done.withColumn(out, F.coalesce(F.col("_v_done.text"), text)).withColumn(hits, F.coalesce(F.col("_v_done.rules"), F.array().cast("array<string>"))).drop("_v_done")
+    done = df.withColumn("_v_done", F.when(worth_scanning(rules, text), redacted(text, rules, authored, min(depth, NATIVE_DEPTH))))
+    best, ids, error = F.col("_v_done.text"), F.col("_v_done.rules"), F.lit(None).cast("string")
+    if depth > NATIVE_DEPTH:
+        # a second step: a struct read in the same one would run the UDF for each field
+        done = done.withColumn("_v_deep", _udf(rules, authored, depth)(F.when(F.col("_v_done.more"), text)))
+        error = F.col("_v_deep.error")
+        best = F.when(error.isNotNull(), text).otherwise(F.coalesce(F.col("_v_deep.text"), best))
+        ids = F.when(error.isNull(), F.coalesce(F.col("_v_deep.rules"), ids))
+    made = done.withColumn(out, F.coalesce(best, text)).withColumn(hits, F.coalesce(ids, F.array().cast("array<string>")))
+    return (made.withColumn(errors, error) if errors else made).drop("_v_done", "_v_deep")
 
 
 def tree_udf(rules: Sequence[Rule]):
-    """(JSON text, mode) to struct(text, rules, path, first, fields); see Engine.redact_json. One for all modes: a plan with several would read its input once for each."""
+    """(JSON text, mode) to struct(text, rules, path, first, fields, error); see Engine.redact_json. One for all modes: a plan with several would read its input once for each."""
     rules = tuple(rules)
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         engine = Engine(rules)
         for texts, modes in batches:
-            rows = [None if t is None else engine.redact_json(t, m or "") for t, m in zip(texts.to_pylist(), modes.to_pylist())]
-            yield pa.array(rows, _TREE)
+            yield pa.array([None if t is None else guarded(lambda s, m=m: engine.redact_json(s, m or ""), t) for t, m in zip(texts.cast(pa.binary()).to_pylist(), modes.to_pylist())], _TREE)
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     # said to be nondeterministic so that a filter on its result isn't pushed below it, which would run it twice
-    return F.arrow_udf(run, "struct<text: string, rules: array<string>, path: string, first: array<string>, fields: array<string>>").asNondeterministic()
+    return F.arrow_udf(run, "struct<text: string, rules: array<string>, path: string, first: array<string>, fields: array<string>, error: string>").asNondeterministic()
 
 
-__all__ = ["redact", "redact_surface", "tree_udf", "worth_scanning"]
+__all__ = ["guarded", "redact", "redact_surface", "tree_udf", "worth_scanning", "worth_walking"]

@@ -18,13 +18,13 @@ from veilspark.catalog import Rule
 from veilspark.engine import TREE_DEPTH
 from veilspark.functions.text import strip_ansi
 from veilspark.operators.detect import findings, splice
-from veilspark.operators.redact import tree_udf, worth_scanning
+from veilspark.operators.redact import tree_udf, worth_walking
 
 
 def scanned(df: DataFrame, column: str, rules: Sequence[Rule], mode: str, name: str) -> DataFrame:
     """df with a struct (text, rules, path, first, fields) of a JSON text column, null where there's nothing to scan. A map: rows stay apart, whatever their keys."""
     text = F.col(column).cast("string")
-    return df.withColumn(name, tree_udf(rules)(F.when(worth_scanning(rules, text), text), F.lit(mode)))
+    return df.withColumn(name, tree_udf(rules)(F.when(worth_walking(rules, text), text), F.lit(mode)))
 
 
 def all_hits(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False) -> DataFrame:
