@@ -22,7 +22,7 @@ TAIL_BYTES = 12
 
 
 def strip_ansi(s: Column) -> Column:
-    return F.regexp_replace(s, ANSI, "")
+    return F.when(s.contains("\x1b"), F.regexp_replace(s, ANSI, "")).otherwise(s)
 
 
 def strip_invisible(s: Column) -> Column:

@@ -7,6 +7,8 @@ decodes deeper than column expressions are unrolled, reads the same ones.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,12 +51,14 @@ def _unicode(s: Column) -> Column:
 def decodings(text: Column) -> Column:
     """array<struct<segment, text>> of the segments that decode to printable ASCII: base64, hex, percent, then escapes, each in order."""
 
-    def found(pattern: str, decode) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: F.struct(s.alias("segment"), decode(s).alias("text")))
+    none = F.array().cast(SEGMENT)
+
+    def found(pattern: str, decode, *held: str) -> Column:
+        each = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: F.struct(s.alias("segment"), decode(s).alias("text")))
+        return F.when(reduce(lambda a, b: a | b, [text.contains(h) for h in held]), each).otherwise(none) if held else each
 
     hexed = lambda s: F.when(F.length(s) % 2 == 0, F.unhex(s).cast("string"))
-    every = F.concat(found(BASE64, _base64), found(HEX, hexed), found(PERCENT, _percent), *[found(p, _unicode) for p in UNICODE])
-    none = F.array().cast(SEGMENT)
+    every = F.concat(found(BASE64, _base64), found(HEX, hexed), found(PERCENT, _percent, "%"), *[found(p, _unicode, h) for p, h in zip(UNICODE, ("\\u", "U+", "U+"))])
     return F.when(text.rlike(MAY_BE_ENCODED), F.filter(every, lambda d: F.coalesce(d["text"].rlike(PRINTABLE), F.lit(False)))).otherwise(none)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.catalog import Rule
-from veilspark.functions.text import ENTITY, HEX_RUN, INVISIBLE_CLASS, normalized_views, placeholder, strip_ansi
+from veilspark.functions.text import ENTITY, INVISIBLE_CLASS, normalized_views, placeholder, strip_ansi
 from veilspark.operators.decode import SEGMENT, decodings, deeper, let
 from veilspark.operators.detect import findings, leaks, near_marker, splice
 
@@ -20,10 +20,15 @@ from veilspark.operators.detect import findings, leaks, near_marker, splice
 FOUND = "array<struct<rule_id string, match string, secret string, encoded string>>"
 #: Levels of decoding that expressions are unrolled for.
 NATIVE_DEPTH = 2
-OBFUSCATED = f"{INVISIBLE_CLASS}|{HEX_RUN[4:].replace('a-f', 'a-fA-F')}|{ENTITY}"
 _IDS = "array<string>"
 
 
+def obfuscated(s: Column) -> Column:
+    """Whether a text may have a view that differs from it. What's rare is looked for first: other than ASCII, separators beside hex pairs, ampersands."""
+    pair = "[0-9A-Fa-f]{2}[-: ]"
+    return ((F.octet_length(s) != F.length(s)) & s.rlike(INVISIBLE_CLASS)) | s.rlike(f"[-: ]{pair}{pair}") | (s.contains("&") & s.rlike(ENTITY))
+
+
 def _near_everywhere(text: Column, segment: Column) -> Column:
     """Whether all lines that hold a segment have a marker near it."""
     return ~F.exists(F.split(text, "\n", -1), lambda line: line.contains(segment) & ~near_marker(line, segment))
@@ -72,8 +77,8 @@ def _seen_through(rules: Sequence[Rule], text: Column, authored: bool, depth: in
             return F.struct(F.when(F.size(found) > 0, ph).otherwise(s).alias("line"), ids.alias("ids"), more.alias("more"))
 
         plain = F.struct(s.alias("line"), F.array().cast(_IDS).alias("ids"), F.lit(False).alias("more"))
-        seen = let(F.transform(normalized_views(strip_ansi(s)), lambda v: searched(rules, v, authored, depth)), judged)
-        return F.when(s.rlike(OBFUSCATED), seen).otherwise(plain)
+        seen = let(F.transform(let(strip_ansi(s), normalized_views), lambda v: searched(rules, v, authored, depth)), judged)
+        return F.when(obfuscated(s), seen).otherwise(plain)
 
     return F.transform(F.split(text, "\n", -1), line)
 
@@ -91,9 +96,9 @@ def redacted(text: Column, rules: Sequence[Rule], authored: bool = False, depth:
             return ~leaks(out, strip_ansi(out), needle, secret)
 
         ids = F.transform(F.filter(s["found"], gone), lambda f: f["rule_id"])
-        return F.when(out.rlike(OBFUSCATED), let(_seen_through(rules, out, authored, depth), lambda lines: ended(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.concat(ids, F.flatten(F.transform(lines, lambda x: x["ids"]))), s["more"] | F.exists(lines, lambda x: x["more"])))).otherwise(ended(out, ids, s["more"]))
+        return F.when(obfuscated(out), let(_seen_through(rules, out, authored, depth), lambda lines: ended(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.concat(ids, F.flatten(F.transform(lines, lambda x: x["ids"]))), s["more"] | F.exists(lines, lambda x: x["more"])))).otherwise(ended(out, ids, s["more"]))
 
     def ended(out: Column, ids: Column, more: Column) -> Column:
         return F.struct(out.alias("text"), F.when(out != text, F.array_distinct(ids)).otherwise(none).alias("rules"), more.alias("more"))
 
-    return let(searched(rules, strip_ansi(text), authored, depth), spliced)
+    return let(let(strip_ansi(text), lambda bare: searched(rules, bare, authored, depth)), spliced)

@@ -139,19 +139,24 @@ def survives(text: Column, form: Column) -> Column:
 
 def leaks(text: Column, bare: Column, match: Column, secret: Column) -> Column:
     """Whether match or secret is still in a text, or in it without its escapes (bare)."""
-    return survives(text, match) | survives(bare, match) | survives(text, secret) | survives(bare, secret)
+    return survives(text, match) | ((match != secret) & survives(text, secret)) | (text.contains("\x1b") & (survives(bare, match) | survives(bare, secret)))
 
 
 def splice(text: Column, found: Column, form=lambda f: (f["match"], f["secret"])) -> Column:
     """text with every finding's match replaced, in turn; where a form survives, its lines are, and then the whole text. form: of a finding, what stands for it in the text, and what else must go."""
 
+    # expressions in lambdas are worked out wherever they stand, so what's used twice is bound
     def step(acc: Column, f: Column) -> Column:
-        ph = placeholder(f["rule_id"], f["secret"], f["match"])
         needle, secret = form(f)
-        plain = F.replace(acc, needle, ph)
-        lines = F.array_join(F.transform(F.split(plain, "\n", -1), lambda line: F.when(leaks(line, strip_ansi(line), needle, secret), ph).otherwise(line)), "\n")
-        rest = F.when(leaks(lines, strip_ansi(lines), needle, secret), ph).otherwise(lines)
-        return F.when(leaks(plain, strip_ansi(plain), needle, secret), rest).otherwise(plain)
+        by = F.struct(needle.alias("needle"), secret.alias("secret"), placeholder(f["rule_id"], f["secret"], f["match"]).alias("ph"))
+        return let(by, lambda x: let(F.replace(acc, x["needle"], x["ph"]), lambda plain: F.when(left(plain, x), wider(plain, x)).otherwise(plain)))
+
+    def left(s: Column, x: Column) -> Column:
+        return leaks(s, strip_ansi(s), x["needle"], x["secret"])
+
+    def wider(s: Column, x: Column) -> Column:
+        lines = F.array_join(F.transform(F.split(s, "\n", -1), lambda line: F.when(left(line, x), x["ph"]).otherwise(line)), "\n")
+        return let(lines, lambda out: F.when(left(out, x), x["ph"]).otherwise(out))
 
     return F.aggregate(found, text, step)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from veilspark.catalog import Rule
 from veilspark.engine import DECODE_DEPTH, Engine, whole
 from veilspark.functions.text import strip_ansi
 from veilspark.operators.decode import MAY_BE_ENCODED
-from veilspark.operators.deep import NATIVE_DEPTH, OBFUSCATED, redacted
+from veilspark.operators.deep import NATIVE_DEPTH, obfuscated, redacted
 from veilspark.operators.detect import any_gate, redact_surface
 
 _IDS = pa.list_(pa.string())
@@ -22,7 +24,7 @@ _TREE = pa.struct([("text", pa.string()), ("rules", _IDS), ("path", pa.string())
 
 def worth_scanning(rules: Sequence[Rule], text: Column) -> Column:
     """Whether a text can hold anything to find: a rule's keyword, or a shape that may hide one. Evaluated in the JVM, so that other texts never reach Python."""
-    return any_gate(rules, F.lower(strip_ansi(text))) | text.rlike(f"{MAY_BE_ENCODED}|{OBFUSCATED}")
+    return any_gate(rules, F.lower(strip_ansi(text))) | text.rlike(MAY_BE_ENCODED) | obfuscated(text)
 
 
 def worth_walking(rules: Sequence[Rule], text: Column) -> Column:
@@ -51,6 +53,13 @@ def _udf(rules: Sequence[Rule], authored: bool, depth: int):
     return F.arrow_udf(run, "struct<text: string, rules: array<string>, error: string>")
 
 
+@lru_cache(maxsize=64)
+def _compiled(rules: tuple[Rule, ...], authored: bool, depth: int, _context: SparkContext) -> Column:
+    """The expression over _v_text, made once for a set of rules: it has some thousand nodes."""
+    text = F.col("_v_text")
+    return F.when(worth_scanning(rules, text), redacted(text, rules, authored, depth))
+
+
 def redact(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = False, out: str = "redacted", hits: str = "rules", depth: int = DECODE_DEPTH, errors: str | None = None) -> DataFrame:
     """df with the text redacted by all passes and the rule ids. Null and empty texts stay as they are.
 
@@ -58,7 +67,9 @@ def redact(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = F
     engine as well. A text that the engine fails on comes back whole, with no ids; `errors` names a column for the error.
     """
     text = F.col(column)
-    done = df.withColumn("_v_done", F.when(worth_scanning(rules, text), redacted(text, rules, authored, min(depth, NATIVE_DEPTH))))
+    once = _compiled(tuple(rules), authored, min(depth, NATIVE_DEPTH), SparkContext._active_spark_context)
+    # a generator, since expressions above a projection would each have its own copy of it worked out
+    done = df.withColumn("_v_text", text).select("*", F.explode(F.array(once)).alias("_v_done"))
     best, ids, error = F.col("_v_done.text"), F.col("_v_done.rules"), F.lit(None).cast("string")
     if depth > NATIVE_DEPTH:
         # a second step: a struct read in the same one would run the UDF for each field
@@ -67,7 +78,7 @@ def redact(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = F
         best = F.when(error.isNotNull(), text).otherwise(F.coalesce(F.col("_v_deep.text"), best))
         ids = F.when(error.isNull(), F.coalesce(F.col("_v_deep.rules"), ids))
     made = done.withColumn(out, F.coalesce(best, text)).withColumn(hits, F.coalesce(ids, F.array().cast("array<string>")))
-    return (made.withColumn(errors, error) if errors else made).drop("_v_done", "_v_deep")
+    return (made.withColumn(errors, error) if errors else made).drop("_v_text", "_v_done", "_v_deep")
 
 
 def tree_udf(rules: Sequence[Rule]):

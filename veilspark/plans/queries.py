@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from veilspark import catalog
 from veilspark.catalog import Rule, terms_of
 from veilspark.functions import paths, text
-from veilspark.operators import audit, detect, policy, tree
+from veilspark.operators import audit, detect, locate, policy, tree
 from veilspark.operators.redact import redact, redact_surface
 from veilspark.sources.shared import spread
-from veilspark.plans.fixtures import AWS, KEYED, MIXED, SEEDS
+from veilspark.plans.fixtures import AWS, BASE58, KEYED, MIXED, SEEDS
 
 RULES = {r.id: r for r in catalog.builtin("core") + catalog.builtin("pii")}
 CORE = [r for r in RULES.values() if not r.id.startswith("pii-")]
@@ -183,6 +183,8 @@ def _encoded(spark_sql: str, duck_sql: str, name: str):
 
 
 _PADDED = f"('key is ' || {_KEY} || '!')"
+_PADDED_SQL = f"base64(cast({_PADDED} as binary))"
+_DUCK_PADDED = f"to_base64(encode({_PADDED}))"
 _encoded(f"base64(cast({_PADDED} as binary))", "", "decoded_base64")
 _encoded(f"lower(hex({_PADDED}))", "", "decoded_hex")
 _encoded(f"base64(cast(base64(cast({_PADDED} as binary)) as binary))", "", "decoded_base64_twice")
@@ -203,6 +205,85 @@ for _name, _sql in _OBFUSCATED.items():
 
     query(_name, f"select k, 'top' || chr(10) || {_PH} || chr(10) || 'bottom' as redacted, 'aws-access-key' as rules from {KEYED}")(_normalized)
 
+# Places --------------------------------------------------------------------------------------------------
+
+# the tables hold no credentials of their own: each document gets three, two of them the same, beside characters of several bytes
+_PLACED = f"coalesce(text, '') || chr(10) || 'é ' || {AWS} || ' 你 🙂' || {AWS} || chr(10) || chr(10) || '“' || 'ghp_' || h || '0123' || '” ' || {AWS}"
+_PLACED_RULES = [RULES["aws-access-key"], RULES["github-pat-classic"], RULES["pii-crypto-seed-phrase"]]
+
+
+def _duck_places(r: Rule) -> str:
+    rx = _q(r.regex)
+    drop = " and ".join(f"not regexp_matches(s, {_q(v)})" for t in terms_of(r) for v in t.values) or "true"
+    split = f"select k, c, regexp_split_to_array(c, {rx}) as between, regexp_extract_all(c, {rx}, 0) as ms, regexp_extract_all(c, {rx}, 1) as ss from placed where {duck_gate(r, 'c')}"
+    each = f"select k, c, ms[i] as m, ss[i] as s, array_to_string(list_transform(range(1, i + 1), lambda j: between[j] || case when j < i then ms[j] else '' end), '') as head from (select *, unnest(range(1, len(ms) + 1)) as i from ({split}))"
+    line = lambda t: f"len({t}) - len(replace({t}, chr(10), ''))"
+    col = lambda t: f"strlen(string_split({t}, chr(10))[-1])"
+    return f"select k, {_q(r.id)} as rule_id, {line('head')} as start_line, {col('head')} + 1 as start_col, {line('(head || m)')} as end_line, {col('(head || m)')} as end_col, m as part from ({each}) where {drop}"
+
+
+@query("findings_at", f"with placed as (select k, {_PLACED} as c from (select doc_id as k, md5(cast(doc_id as varchar)) as h, text from documents)) " + " union all ".join(map(_duck_places, _PLACED_RULES)))
+def _findings_at(spark, sf_dir):
+    """Where findings are, in bytes, and what the text holds there."""
+    df = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.md5(F.col("doc_id").cast("string")).alias("h"), "text").select("k", F.expr(_PLACED).alias("c"))
+    part = locate.segment_at(F.col("c"), F.col("start_line"), F.col("end_line"), F.col("start_col"), F.col("end_col"))
+    return locate.find(df, "c", _PLACED_RULES).select("k", "rule_id", "start_line", "start_col", "end_line", "end_col", part.alias("part"))
+
+
+_HIDDEN_AT = f"'ä v=' || {_PADDED_SQL} || ' ü' || chr(10) || 'x ' || {_PADDED_SQL}"
+
+
+@query("findings_decoded_at", f"select k, 'aws-access-key' as rule_id, 0 as start_line, 6 as start_col, 0 as end_line, 5 + strlen(e) as end_col, {_KEY} as secret from (select k, h, {_DUCK_PADDED} as e from {KEYED})")
+def _findings_decoded_at(spark, sf_dir):
+    """The place of what's decoded is its segment's."""
+    df = locate.find(_seeded(spark, sf_dir, _HIDDEN_AT), "c", [RULES["aws-access-key"]], decoded=True)
+    return df.where(locate.segment_at(F.col("c"), F.col("start_line"), F.col("end_line"), F.col("start_col"), F.col("end_col")) == F.col("encoded")).select("k", "rule_id", "start_line", "start_col", "end_line", "end_col", "secret")
+
+
+# Repeated matches, odd texts ---------------------------------------------------------------------------------
+
+_ALLOWED_TWICE = f"'pay 1' || {BASE58} || ' genesis block' || case when k % 3 > 0 then chr(10) || 'pay 1' || {BASE58} || ' now' else '' end"
+_BTC_PH = duck_placeholder("pii-btc-p2pkh", f"('1' || {BASE58})")
+
+
+@query("allowlist_by_occurrence", f"select k, case when k % 3 > 0 then replace({_ALLOWED_TWICE}, '1' || {BASE58}, {_BTC_PH}) else {_ALLOWED_TWICE} end as redacted, case when k % 3 > 0 then 1 else 0 end as n from {KEYED}")
+def _allowed_twice(spark, sf_dir):
+    """A value on an allowed line and on another one is a finding, and all its copies go."""
+    rule = RULES["pii-btc-p2pkh"]
+    df = redact_surface(_seeded(spark, sf_dir, _ALLOWED_TWICE), "c", [rule])
+    return df.select("k", "redacted", F.size(detect.rule_findings(rule, F.col("c"), F.lower("c"))).alias("n"))
+
+
+_MARKED_TWICE = f"{AWS} || ' # gitleaks:allow' || case when k % 3 > 0 then chr(10) || 'plain ' || {AWS} || ' here' else '' end"
+for _name, _made in (("marker_by_occurrence", redact_surface), ("marker_by_occurrence_all_passes", redact)):
+
+    @query(_name, f"select k, case when k % 3 > 0 then replace({_MARKED_TWICE}, {_KEY}, {_PH}) else {_MARKED_TWICE} end as redacted from {KEYED}")
+    def _marked_twice(spark, sf_dir, made=_made):
+        """A value near a marker and elsewhere without one is a finding, and all its copies go."""
+        return made(_seeded(spark, sf_dir, _MARKED_TWICE), "c", [RULES["aws-access-key"]], True).select("k", "redacted")
+
+
+_IMAGE = f"'data:image/png;base64,' || repeat('iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAAHElEQVQI12P4', 500) || ' %zz ' || {_PADDED_SQL}"
+
+
+@query("decoded_beside_image", f"select k, 'aws-access-key' as rules, left(replace({_IMAGE.replace(_PADDED_SQL, 'e')}, e, {_PH}), 40) as head, md5(replace({_IMAGE.replace(_PADDED_SQL, 'e')}, e, {_PH})) as digest from (select k, h, {_DUCK_PADDED} as e from {KEYED})")
+def _beside_image(spark, sf_dir):
+    """A text of 30 KB that's mostly one run of letters takes no longer than others."""
+    df = redact(_seeded(spark, sf_dir, _IMAGE), "c", [RULES["aws-access-key"]])
+    return df.select("k", F.array_join("rules", ",").alias("rules"), F.left("redacted", F.lit(40)).alias("head"), F.md5("redacted").alias("digest"))
+
+
+_DEEP = f"base64(cast(base64(cast(lower(hex({_KEY})) as binary)) as binary))"
+
+
+@query("error_channel", f"select k, case when k % 5 = 0 then hex('é') || 'FF' || hex(' ' || e) else hex('v ' || {_PH}) end as redacted, case when k % 5 = 0 then '' else 'aws-access-key' end as rules, k % 5 = 0 as failed from (select k, h, to_base64(encode(to_base64(encode(lower(hex({_KEY})))))) as e from {KEYED})")
+def _error_channel(spark, sf_dir):
+    """Texts that aren't UTF-8, and that only the engine could finish, come back whole with an error; others are redacted."""
+    text = f"case when k % 5 = 0 then cast(concat(cast('é' as binary), unhex('FF'), cast(' ' || {_DEEP} as binary)) as string) else 'v ' || {_DEEP} end"
+    df = redact(_seeded(spark, sf_dir, text), "c", [RULES["aws-access-key"]], errors="error")
+    return df.select("k", F.hex(F.col("redacted").cast("binary")).alias("redacted"), F.array_join("rules", ",").alias("rules"), F.col("error").isNotNull().alias("failed"))
+
+
 # Findings in the tables ---------------------------------------------------------------------------
 
 _TEXTS = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id"}
