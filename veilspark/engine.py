@@ -112,7 +112,7 @@ def decodings(text: str) -> list[tuple[str, str]]:
     made = [(m[0], _from_base64(m[0])) for m in _BASE64.finditer(text)]
     made += [(m[0], bytes.fromhex(m[0])) for m in _HEX.finditer(text) if len(m[0]) % 2 == 0]
     made += [(m[0], unquote_to_bytes(m[0])) for m in _PERCENT.finditer(text)]
-    made += [(m[0], _from_codes(m[0])) for p in _UNICODE for m in p.finditer(text)]
+    made += [(m[0].rstrip(" "), _from_codes(m[0])) for p in _UNICODE for m in p.finditer(text)]
     for segment, raw in made:
         if (got := _printable(raw)) and got != segment:
             out.append((segment, got))

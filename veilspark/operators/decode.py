@@ -17,7 +17,8 @@ BASE64 = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 HEX = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{16,}"
 _URL = r"A-Za-z0-9_.~+/=:%-"
 PERCENT = rf"(?<![{_URL}])[{_URL}]*%[0-9A-Fa-f]{{2}}[{_URL}]*"
-UNICODE = (r"(?:\\u[0-9A-Fa-f]{4})++", r"(?:U\+[0-9A-Fa-f]{4} )*+U\+[0-9A-Fa-f]{4}", r"(?:U\+[0-9A-Fa-f]{4}){2,}+")
+#: Of the second one, a space at the end isn't part of the segment.
+UNICODE = (r"(?:\\u[0-9A-Fa-f]{4})++", r"(?:U\+[0-9A-Fa-f]{4} )++(?:U\+[0-9A-Fa-f]{4})?", r"(?:U\+[0-9A-Fa-f]{4})++")
 CODE = r"(?:\\u|U\+)([0-9A-Fa-f]{4})"
 #: Whether any of the above can find anything.
 MAY_BE_ENCODED = r"[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|U\+[0-9A-Fa-f]{4}"
@@ -34,7 +35,8 @@ def let(value: Column, body) -> Column:
 def _base64(s: Column) -> Column:
     bare = F.translate(F.rtrim(s, F.lit("=")), "-_", "+/")
     full = F.rpad(bare, F.length(bare) + (4 - F.length(bare) % 4) % 4, F.lit("="))
-    return F.when(F.length(bare) % 4 != 1, F.try_to_binary(full, F.lit("base64")).cast("string"))
+    # the pattern leaves nothing to validate but the length
+    return F.when(F.length(bare) % 4 != 1, F.unbase64(full).cast("string"))
 
 
 def _percent(s: Column) -> Column:
@@ -54,7 +56,7 @@ def decodings(text: Column) -> Column:
     none = F.array().cast(SEGMENT)
 
     def found(pattern: str, decode, *held: str) -> Column:
-        each = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: F.struct(s.alias("segment"), decode(s).alias("text")))
+        each = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: F.struct(F.rtrim(s).alias("segment"), decode(s).alias("text")))
         return F.when(reduce(lambda a, b: a | b, [text.contains(h) for h in held]), each).otherwise(none) if held else each
 
     hexed = lambda s: F.when(F.length(s) % 2 == 0, F.unhex(s).cast("string"))

@@ -524,6 +524,17 @@ def _tree_typed(spark, sf_dir):
     return df.select("k", "redacted.note", "redacted.n", F.array_join("redacted.list", ",").alias("list"))
 
 
+_BACK = "chr(92)"
+_ESCAPED = f"""'{{"u":"https:' || {_BACK} || '/' || {_BACK} || '/user:' || substr(h,1,12) || '@host' || {_BACK} || '/x","n":[1e400,100.0,12345678901234567890123456789],"s":"' || {_BACK} || 'ud800 ok","k":"AK' || {_BACK} || 'u0049A' || substr({_KEY}, 5, 16) || '", "u":"' || {_KEY} || '"}}'"""
+
+
+@query("tree_escaped", f"""select k, '{{"u":"' || {duck_placeholder("url-userinfo-credential", "substr(h,1,12)")} || 'ost/x","n":[1e400,100.0,12345678901234567890123456789],"s":"' || {_BACK} || 'ud800 ok","k":"' || {_PH} || '", "u":"' || {_PH} || '"}}' as redacted, 'aws-access-key,url-userinfo-credential' as rules, 'k,u' as fields from {KEYED}""")
+def _tree_escaped(spark, sf_dir):
+    """Keywords that escapes part, a key that's there twice, half a surrogate pair, and numbers that stay as they're written."""
+    df = tree.redact_json(_seeded(spark, sf_dir, _ESCAPED), "c", [RULES["aws-access-key"], RULES["url-userinfo-credential"]])
+    return df.select("k", "redacted", F.array_join(F.array_sort("rules"), ",").alias("rules"), F.array_join("fields", ",").alias("fields"))
+
+
 # Policy -------------------------------------------------------------------------------------------------------
 
 
