@@ -1,43 +1,112 @@
 """Walks and rewrites of nested values.
 
-JSON of any shape is walked once in Arrow batches: hits, their paths and the rewritten text
-come from the same walk, and rows in which nothing can hide never reach Python.
-`redact_typed` rewrites declared structs, arrays and maps by expressions made from the schema.
+JSON of any shape is walked as a VARIANT inside its row, a level at a time, by a fold: strings are judged as they read once
+decoded, rows stay where they are, and nothing is joined or gathered. (A recursive query would shuffle all values once for each
+level and has a limit of rows.) Rewriting is done in Arrow batches, for rows in which something may hide. `redact_typed`
+rewrites declared structs, arrays and maps by expressions made from the schema.
 Keys are never scanned. Levels deeper than 64 are neither scanned nor rewritten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.catalog import Rule
-from veilspark.engine import TREE_DEPTH
-from veilspark.functions.text import strip_ansi
-from veilspark.operators.detect import findings, splice
-from veilspark.operators.redact import tree_udf, worth_walking
+from veilspark.engine import DECODE_DEPTH, TREE_DEPTH
+from veilspark.operators.decode import let
+from veilspark.operators.deep import NATIVE_DEPTH, redacted
+from veilspark.operators.redact import tree_udf, worth_scanning, worth_walking
 
+_NODES = "array<struct<path string, at array<int>, node variant>>"
+_LEAVES = "array<struct<path string, at array<int>, value string>>"
 
-def scanned(df: DataFrame, column: str, rules: Sequence[Rule], mode: str, name: str) -> DataFrame:
-    """df with a struct (text, rules, path, first, fields) of a JSON text column, null where there's nothing to scan. A map: rows stay apart, whatever their keys."""
+
+def scanned(df: DataFrame, column: str, rules: Sequence[Rule], mode: str, name: str, where: Column | None = None) -> DataFrame:
+    """df with a struct (text, rules, path, first, fields, error) of a JSON text column, null where there's nothing to scan. A map: rows stay apart, whatever their keys."""
     text = F.col(column).cast("string")
-    return df.withColumn(name, tree_udf(rules)(F.when(worth_walking(rules, text), text), F.lit(mode)))
+    return df.withColumn(name, tree_udf(rules)(F.when(worth_walking(rules, text) if where is None else where, text), F.lit(mode)))
+
+
+def leaves_of(tree: Column) -> Column:
+    """array<struct<path, at, value>>: the strings of a VARIANT up to the depth. `at` has the place at each level, keys in their order, so leaves sort by it."""
+    none = F.array().cast(_NODES)
+
+    def children(n: Column) -> Column:
+        kind = F.schema_of_variant(n["node"])
+        under = lambda path, i, node: F.struct(path.alias("path"), F.concat(n["at"], F.array(i)).alias("at"), node.alias("node"))
+        named = lambda e, i: under(F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])), i, e["value"])
+        placed = lambda v, i: under(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), i, v)
+        fields = F.map_entries(F.try_variant_get(n["node"], "$", "map<string,variant>"))
+        items = F.try_variant_get(n["node"], "$", "array<variant>")
+        return F.when(kind.startswith("OBJECT"), F.transform(fields, named)).when(kind.startswith("ARRAY"), F.transform(items, placed)).otherwise(none)
+
+    def step(acc: Column, level: Column) -> Column:
+        strings = F.filter(acc["now"], lambda n: F.schema_of_variant(n["node"]) == "STRING")
+        new = F.transform(strings, lambda n: F.struct(n["path"].alias("path"), n["at"].alias("at"), F.try_variant_get(n["node"], "$", "string").alias("value")))
+        below = F.when(level < TREE_DEPTH, F.flatten(F.transform(acc["now"], children))).otherwise(none)
+        return F.when(F.size(acc["now"]) == 0, acc).otherwise(F.struct(below.alias("now"), F.concat(acc["out"], new).alias("out")))
+
+    root = F.array(F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), tree.alias("node"))).cast(_NODES)
+    zero = F.struct(root.alias("now"), F.array().cast(_LEAVES).alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TREE_DEPTH)), zero, step, lambda acc: acc["out"])
+
+
+def json_leaves(text: Column) -> Column:
+    """leaves_of a JSON text; one that isn't JSON, or in which a key is there twice, is one string, escaped slashes in it undone."""
+    alone = F.array(F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), F.replace(text, F.lit("\\/"), F.lit("/")).alias("value"))).cast(_LEAVES)
+    return let(F.try_parse_json(text), lambda tree: F.when(tree.isNotNull(), leaves_of(tree)).otherwise(alone))
+
+
+def leaves(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key, path, value: a row for each string in a JSON text column, in any order."""
+    found = df.select(key, F.explode(json_leaves(F.col(column).cast("string"))).alias("_v_leaf"))
+    return found.select(key, F.col("_v_leaf.path").alias("path"), F.col("_v_leaf.value").alias("value"))
 
 
-def all_hits(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False) -> DataFrame:
-    """key, rules, fields: distinct rule ids and paths, sorted, of rows with any; leaves are redacted by all passes."""
-    found = scanned(df.select(key, column), column, rules, "a" * authored, "_v_tree")
-    found = found.select(key, F.array_sort("_v_tree.rules").alias("rules"), F.array_sort("_v_tree.fields").alias("fields"))
-    return found.where(F.size("fields") > 0)
+@lru_cache(maxsize=64)
+def _compiled(rules: tuple[Rule, ...], authored: bool, depth: int, _context: SparkContext) -> Column:
+    """array<struct<at, path, rules, more>> of the leaves of _v_text with findings, or in which deeper decoding may find some."""
+    text = F.col("_v_text")
 
+    def judged(leaf: Column) -> Column:
+        return let(redacted(leaf["value"], rules, authored, depth), lambda r: F.struct(leaf["at"].alias("at"), leaf["path"].alias("path"), r["rules"].alias("rules"), r["more"].alias("more")))
 
-def first_hit(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False) -> DataFrame:
+    hits = F.filter(F.transform(json_leaves(text), judged), lambda h: (F.size(h["rules"]) > 0) | h["more"])
+    return F.when(worth_walking(rules, text), hits)
+
+
+def _hits(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool, depth: int) -> DataFrame:
+    """key, rules, fields (sorted), field and first (of the first path in order of keys); rows without hits too."""
+    once = _compiled(tuple(rules), authored, min(depth, NATIVE_DEPTH), SparkContext._active_spark_context)
+    made = df.select(key, F.col(column).cast("string").alias("_v_text")).select("*", F.explode_outer(F.array(once)).alias("_v_hits"))
+    sure = F.filter("_v_hits", lambda h: F.size(h["rules"]) > 0)
+    named = lambda path: F.when(path == "", "(root)").otherwise(path)
+    ids = F.flatten(F.transform(sure, lambda h: h["rules"]))
+    paths = F.transform(sure, lambda h: named(h["path"]))
+    first = F.array_min(F.transform(sure, lambda h: F.struct(h["at"].alias("at"), h["path"].alias("path"), h["rules"].alias("rules"))))
+    if depth <= NATIVE_DEPTH:
+        return made.select(key, F.array_sort(F.array_distinct(ids)).alias("rules"), F.array_sort(F.array_distinct(paths)).alias("fields"), first["path"].alias("field"), first["rules"].alias("first"))
+    made = scanned(made, "_v_text", rules, "a" * authored, "_v_tree", where=F.exists("_v_hits", lambda h: h["more"]))
+    deep = lambda c, other: F.when(F.col("_v_tree").isNotNull(), F.col(f"_v_tree.{c}")).otherwise(other)
+    return made.select(
+        key, F.array_sort(F.array_distinct(deep("rules", ids))).alias("rules"), F.array_sort(F.array_distinct(deep("fields", paths))).alias("fields"), deep("path", first["path"]).alias("field"), deep("first", first["rules"]).alias("first")
+    )
+
+
+def all_hits(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False, depth: int = DECODE_DEPTH) -> DataFrame:
+    """key, rules, fields: distinct rule ids and paths, sorted, of rows with any; leaves are judged by all passes. Only leaves that decode to a third level pass the engine; none do with a depth of two or less."""
+    return _hits(df, key, column, rules, authored, depth).where(F.size("fields") > 0).select(key, "rules", "fields")
+
+
+def first_hit(df: DataFrame, key: str, column: str, rules: Sequence[Rule], authored: bool = False, depth: int = DECODE_DEPTH) -> DataFrame:
     """key, field, rules: of the first path, in order of keys, with a finding."""
-    found = scanned(df.select(key, column), column, rules, "a" * authored, "_v_tree")
-    return found.select(key, F.col("_v_tree.path").alias("field"), F.col("_v_tree.first").alias("rules")).where(F.size("rules") > 0)
+    return _hits(df, key, column, rules, authored, depth).where(F.size("first") > 0).select(key, "field", F.col("first").alias("rules"))
 
 
 def rewrite(kind: T.DataType, value: Column, leaf: Callable[[Column], Column], depth: int = 0) -> Column:
@@ -56,13 +125,19 @@ def rewrite(kind: T.DataType, value: Column, leaf: Callable[[Column], Column], d
     return value
 
 
-def redact_typed(df: DataFrame, column: str, rules: Sequence[Rule], out: str = "redacted") -> DataFrame:
-    """df with a struct, array or map column's strings redacted, natively."""
+def redact_typed(df: DataFrame, column: str, rules: Sequence[Rule], out: str = "redacted", authored: bool = False) -> DataFrame:
+    """df with a struct, array or map column's strings redacted, natively: surface matches, two levels of decoding, views."""
+
+    kind = df.schema[column].dataType
+    return df.withColumn(out, _typed(kind.json(), column, tuple(rules), authored, SparkContext._active_spark_context))
+
+
+@lru_cache(maxsize=64)
+def _typed(kind: str, column: str, rules: tuple[Rule, ...], authored: bool, _context: SparkContext) -> Column:
     def leaf(s: Column) -> Column:
-        bare = strip_ansi(s)
-        return F.when(s.isNull(), s).otherwise(splice(s, F.array_distinct(findings(rules, bare, F.lower(bare)))))
+        return F.when(worth_scanning(rules, s), redacted(s, rules, authored)["text"]).otherwise(s)
 
-    return df.withColumn(out, rewrite(df.schema[column].dataType, F.col(column), leaf))
+    return rewrite(T._parse_datatype_json_string(kind), F.col(column), leaf)
 
 
 def redact_json(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = False, unwrap: bool = False, out: str = "redacted") -> DataFrame:

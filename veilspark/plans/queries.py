@@ -476,6 +476,21 @@ def _first_hit(spark, sf_dir):
     return tree.first_hit(_seeded(spark, sf_dir, _TREE), "k", "c", _TREE_RULES).select("k", "field", F.array_join("rules", ",").alias("rules"))
 
 
+_NESTED = """'{"z":"' || event_type || '","l":[1,"x' || event_id || '",[],{"d d":"t' || user_id || '","e":null}],"p":' || props || ',"b":true}'"""
+
+
+@query("tree_leaves", f"select event_id, replace(replace(substr(fullkey, 3), '\"', ''), '$', '') as path, atom ->> '$' as value from (select event_id, {_NESTED} as c from events), json_tree(c) where type = 'VARCHAR'")
+def _leaves(spark, sf_dir):
+    """Every string of nested JSON about the events, and the path to it."""
+    return tree.leaves(_table(spark, sf_dir, "events").select("event_id", F.expr(_NESTED).alias("c")), "event_id", "c")
+
+
+@query("tree_surface_hits", f"select k, 'github-pat-classic' as rules, 'list[3].t' as field from {KEYED}")
+def _surface_hits(spark, sf_dir):
+    """The first hits without the engine: no Python runs."""
+    return tree.first_hit(_seeded(spark, sf_dir, _TREE), "k", "c", _TREE_RULES, depth=0).select("k", "field", F.array_join("rules", ",").alias("rules"))
+
+
 _HIDDEN = f"""'{{"a":["x","' || regexp_replace(regexp_replace(hex({_KEY}), '(..)', '$1-'), '-$', '') || '"],"b":{{"c":"' || lower(hex('key ' || {_KEY})) || '","d":"' || h || '"}}}}'"""
 
 
@@ -527,6 +542,8 @@ def _tree_typed(spark, sf_dir):
 _BACK = "chr(92)"
 _ESCAPED = f"""'{{"u":"https:' || {_BACK} || '/' || {_BACK} || '/user:' || substr(h,1,12) || '@host' || {_BACK} || '/x","n":[1e400,100.0,12345678901234567890123456789],"s":"' || {_BACK} || 'ud800 ok","k":"AK' || {_BACK} || 'u0049A' || substr({_KEY}, 5, 16) || '", "u":"' || {_KEY} || '"}}'"""
 
+_ESCAPED_ONCE = _ESCAPED.replace(""", "u":"' || """ + _KEY + """ || '"}'""", "}'")
+
 
 @query("tree_escaped", f"""select k, '{{"u":"' || {duck_placeholder("url-userinfo-credential", "substr(h,1,12)")} || 'ost/x","n":[1e400,100.0,12345678901234567890123456789],"s":"' || {_BACK} || 'ud800 ok","k":"' || {_PH} || '", "u":"' || {_PH} || '"}}' as redacted, 'aws-access-key,url-userinfo-credential' as rules, 'k,u' as fields from {KEYED}""")
 def _tree_escaped(spark, sf_dir):
@@ -535,6 +552,12 @@ def _tree_escaped(spark, sf_dir):
     return df.select("k", "redacted", F.array_join(F.array_sort("rules"), ",").alias("rules"), F.array_join("fields", ",").alias("fields"))
 
 
+@query("tree_escaped_hits", f"select k, 'aws-access-key,url-userinfo-credential' as rules, 'k,u' as fields from {KEYED}")
+def _tree_escaped_hits(spark, sf_dir):
+    df = tree.all_hits(_seeded(spark, sf_dir, _ESCAPED_ONCE), "k", "c", [RULES["aws-access-key"], RULES["url-userinfo-credential"]], depth=0)
+    return df.select("k", F.array_join("rules", ",").alias("rules"), F.array_join("fields", ",").alias("fields"))
+
+
 # Policy -------------------------------------------------------------------------------------------------------
 
 
