@@ -93,7 +93,7 @@ def redacted(text: Column, rules: Sequence[Rule], authored: bool = False, depth:
     def attested(s: Column, out: Column) -> Column:
         def gone(f: Column) -> Column:
             needle, secret = _form(f)
-            return ~leaks(out, strip_ansi(out), needle, secret)
+            return let(F.struct(needle.alias("needle"), secret.alias("secret")), lambda x: ~leaks(out, strip_ansi(out), x["needle"], x["secret"]))
 
         ids = F.transform(F.filter(s["found"], gone), lambda f: f["rule_id"])
         return F.when(obfuscated(out), let(_seen_through(rules, out, authored, depth), lambda lines: ended(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.concat(ids, F.flatten(F.transform(lines, lambda x: x["ids"]))), s["more"] | F.exists(lines, lambda x: x["more"])))).otherwise(ended(out, ids, s["more"]))
