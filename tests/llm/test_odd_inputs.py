@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from veilspark.llm import automaton, decontaminate, html, mixing, perplexity, quality, records, simhash, suffix_array, toxicity
+from veilspark.llm import automaton, decontaminate, html, line_dedup, mixing, periodic, perplexity, quality, records, simhash, suffix_array, toxicity
 
 REPORTS = {
     "decontaminate": lambda d, b, l: decontaminate.report(d, b),
@@ -18,6 +18,9 @@ REPORTS = {
     "simhash": lambda d, b, l: simhash.report(d),
     "perplexity": lambda d, b, l: perplexity.report(d),
     "automaton": lambda d, b, l: automaton.report(d),
+    "periodic": lambda d, b, l: periodic.report(d),
+    "line_dedup": lambda d, b, l: line_dedup.report(d),
+    "line_dedup joined": lambda d, b, l: line_dedup.report(d, bits=1 << 20, broadcast_keys=-1),
 }
 
 

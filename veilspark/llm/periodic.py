@@ -97,12 +97,11 @@ def _agreeing(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator
             at = stop
 
 
-def _exact(ids: np.ndarray, at: int, p: int, lo: int, hi: int) -> tuple[int, int]:
-    """The part around a place of a stretch lo..hi whose words agree with those p later, looked at word by word; hashes said too much."""
-    same = ids[lo : hi - p] == ids[lo + p : hi]
-    left = np.flatnonzero(~same[: at - lo])
-    right = np.flatnonzero(~same[at - lo :])
-    return lo + (int(left[-1]) + 1 if len(left) else 0), (at + int(right[0]) if len(right) else hi - p) + p
+def _exact(ids: np.ndarray, start: int, end: int, p: int) -> list[tuple[int, int]]:
+    """All stretches of a text that agree with the words p later and are long enough, looked at word by word; for periods of which hashes said too much."""
+    same = np.concatenate(([False], ids[start : end - p] == ids[start + p : end], [False]))
+    edges = np.flatnonzero(same[1:] != same[:-1])
+    return [(start + a, start + b + p) for a, b in edges.reshape(-1, 2).tolist() if b - a + p >= max(LEAST, TIMES * p)]
 
 
 def runs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -110,7 +109,7 @@ def runs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(lengths)
     starts = ends - lengths
     sums, powers = _prefixes(ids)
-    found, known = [], {}
+    found, known, scanned = [], {}, set()
     for p, place, of in _agreeing(ids, starts, ends):
         ahead = _reach(sums, powers, place, p, ends[of] - p - place, 1)
         back = _reach(sums, powers, place, p, place - starts[of], -1)
@@ -118,16 +117,17 @@ def runs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         long = np.flatnonzero(hi - lo >= np.maximum(LEAST, TIMES * p))
         if not len(long):
             continue
-        key, at = np.unique(np.stack((of[long], lo[long], hi[long], p[long]), 1), axis=0, return_index=True)
-        for (o, a, b, q), i in zip(key.tolist(), place[long][at].tolist()):
-            if q % known.get((a, b), q + 1) == 0:
+        for o, a, b, q in np.unique(np.stack((of[long], lo[long], hi[long], p[long]), 1), axis=0).tolist():
+            if q % known.get((a, b), q + 1) == 0 or (o, q) in scanned:
                 continue  # a multiple of a period that was verified
-            if not np.array_equal(ids[a : b - q], ids[a + q : b]):
-                a, b = _exact(ids, i, q, a, b)
-                if b - a < max(LEAST, TIMES * q):
-                    continue
-            known[a, b] = min(q, known.get((a, b), q))
-            found.append((o, a, b, q))
+            if np.array_equal(ids[a : b - q], ids[a + q : b]):
+                true = [(a, b)]
+            else:
+                scanned.add((o, q))
+                true = _exact(ids, int(starts[o]), int(ends[o]), q)
+            for a, b in true:
+                known[a, b] = min(q, known.get((a, b), q))
+                found.append((o, a, b, q))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
     every = np.unique(np.array(found, np.int64), axis=0)  # by text, start, end, period
