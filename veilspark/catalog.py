@@ -13,6 +13,7 @@ import tomllib
 from dataclasses import dataclass, replace
 from importlib import resources
 from pathlib import Path
+from re import _parser
 
 #: Layers in order; a later one wins.
 LAYERS = ("upstream", "embedded", "user", "project", "env")
@@ -55,10 +56,10 @@ def check(rule: Rule) -> None:
             raise BadRule(f"{rule.id}: repeats over {MAX_REPEAT}")
     if re.search(r"\(\?(?:=|!|<=|<!|>)|\\[1-9]", rule.regex):
         raise BadRule(f"{rule.id}: look-around, atomic groups and back references aren't RE2")
-    if re.search(r"\((?:[^()\\]|\\.)*[+*](?:[^()\\]|\\.)*\)[+*]", rule.regex):
-        raise BadRule(f"{rule.id}: nested quantifiers can take exponential time here")
     try:
-        re.compile(to_python(rule.regex), re.ASCII)
+        re.compile(made := to_python(rule.regex), re.ASCII)
+        if wrong := backtracking(made):
+            raise BadRule(f"{rule.id}: {wrong}")
         for x in rule.allow:
             re.compile(to_python(x), re.ASCII)
         parse_filter(rule.filter)
@@ -66,6 +67,134 @@ def check(rule: Rule) -> None:
         raise BadRule(f"{rule.id}: {e}") from e
 
 
+#: Repeats up to this often can't multiply much.
+_FEW = 4
+
+
+def backtracking(regex: str) -> str:
+    """Why a regex can take exponential or many times the text's length of time, or match nothing; "" if it can't. Decided on the parse tree.
+
+    What's repeated many times must not itself be able to match in several ways: no part of it may vary in length
+    unless what follows the part, in the same turn, can't begin as the part goes on; and of alternatives no two may begin alike.
+    """
+    # an empty look-ahead keeps the parser from making a class of alternatives, which Java doesn't
+    tree = _parser.parse(re.sub(r"\\.|\|", lambda m: "|(?=)" if m[0] == "|" else m[0], regex, flags=re.DOTALL), re.ASCII)
+    if tree.getwidth()[0] == 0:
+        return "it can match nothing"
+    return _nested(tree)
+
+
+def _nested(tree) -> str:
+    for op, value in tree:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, body = value
+            if high > _FEW and high > low and (wrong := _several_ways(body)):
+                return wrong
+            if wrong := _nested(body):
+                return wrong
+        elif name == "SUBPATTERN":
+            if wrong := _nested(value[-1]):
+                return wrong
+        elif name == "BRANCH":
+            for branch in value[1]:
+                if wrong := _nested(branch):
+                    return wrong
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            if wrong := _nested(value[1]):
+                return wrong
+    return ""
+
+
+def _several_ways(body) -> str:
+    """Why a turn of a repeat can match one text in several ways."""
+    flat = _flat(body)
+    if len(flat) == 1 and str(flat[0][0]) == "BRANCH":
+        words = [_word(b) for b in flat[0][1][1]]
+        if None not in words:  # plain words are ambiguous only where one begins with another
+            alike = any(a.startswith(b) or b.startswith(a) for k, a in enumerate(words) for b in words[:k])
+            return "alternatives that begin alike are repeated, which can take exponential time here" if alike else ""
+        firsts = [_first(b) for b in flat[0][1][1]]
+        if any(a & b for k, a in enumerate(firsts) for b in firsts[:k]):
+            return "alternatives that begin alike are repeated, which can take exponential time here"
+        return next((w for b in flat[0][1][1] if (w := _several_ways(b))), "")
+    for k, (op, value) in enumerate(flat):
+        if str(op) in ("MAX_REPEAT", "MIN_REPEAT") and value[0] != value[1]:
+            # the next part, or the first one of the next turn, must show where this one ends
+            after = _first(flat[k + 1 :] + flat)
+            if _first(_flat(value[2])) & after or _several_ways(value[2]):
+                return "nested quantifiers can take exponential time here"
+    return ""
+
+
+def _word(tree) -> str | None:
+    """The one text that a sequence matches, if it's such, in lower case."""
+    flat = [x for x in _flat(tree) if str(x[0]) != "ASSERT"]
+    return "".join(chr(v).lower() for _, v in flat) if all(str(op) == "LITERAL" for op, _ in flat) else None
+
+
+def _flat(tree) -> list:
+    """A sequence without the brackets of its groups."""
+    out = []
+    for op, value in tree:
+        out += _flat(value[-1]) if str(op) == "SUBPATTERN" else [(op, value)]
+    return out
+
+
+_EVERY = frozenset(range(129))  # 128 stands for all beyond ASCII
+
+
+def _first(items) -> frozenset:
+    """Characters that a sequence can begin with."""
+    found: frozenset = frozenset()
+    for op, value in items:
+        name = str(op)
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if name == "LITERAL":
+            return found | _folded(value)
+        if name == "NOT_LITERAL":
+            return found | (_EVERY - _folded(value))
+        if name == "IN":
+            return found | _in(value)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            found |= _first(_flat(value[2]))
+            if value[0] == 0:
+                continue
+            return found
+        if name == "SUBPATTERN":
+            found |= _first(_flat(value[-1]))
+            if value[-1].getwidth()[0] == 0:
+                continue
+            return found
+        if name == "BRANCH":
+            for b in value[1]:
+                found |= _first(_flat(b))
+            if any(b.getwidth()[0] == 0 for b in value[1]):
+                continue
+            return found
+        return _EVERY  # anything else
+    return found
+
+
+def _folded(code: int) -> frozenset:
+    return frozenset({128 if ord(c) > 127 else ord(c) for c in (chr(code).lower(), chr(code).upper()) if len(c) == 1})
+
+
+def _in(parts) -> frozenset:
+    found: set = set()
+    for op, value in parts:
+        name = str(op)
+        if name == "LITERAL":
+            found |= _folded(value)
+        elif name == "RANGE":
+            found |= {x for c in range(value[0], min(value[1], 127) + 1) for x in _folded(c)} | ({128} if value[1] > 127 else set())
+        elif name == "CATEGORY":
+            held = {c for c in range(128) if re.match({"DIGIT": r"\d", "SPACE": r"\s", "WORD": r"\w"}[str(value).split("_")[-1]], chr(c), re.ASCII)}
+            found |= _EVERY - held if "_NOT_" in str(value) else held
+    return _EVERY - (found - {128}) if parts and str(parts[0][0]) == "NEGATE" else frozenset(found)
+
+
 def parse_pack(text: str, source: str = "env", path: str = "") -> tuple[list[Rule], list[str]]:
     """Rules of a TOML pack in order, and what was wrong with those left out. ValueError if it isn't TOML."""
     rules, wrong = [], []
@@ -90,6 +219,8 @@ class Catalog:
     rules: tuple[Rule, ...]  # effective, in the order that findings are applied in
     listed: tuple[Rule, ...]  # with disabled ones, in listing order
     warnings: tuple[str, ...] = ()
+    #: Globs of paths that the project has passed over, besides the built-in ones; for policy.Settings.skip.
+    skip_paths: tuple[str, ...] = ()
 
     def frame(self, spark):
         """The listing as a DataFrame: source, rule_id, description, state, overridden_from, source_path."""
@@ -97,7 +228,15 @@ class Catalog:
         return spark.createDataFrame(rows, "source string, rule_id string, description string, state string, overridden_from string, source_path string")
 
 
-def compose(layers: dict[str, list[Rule]], disabled: set[str] = frozenset(), warnings: tuple[str, ...] = ()) -> Catalog:
+def skip_paths(text: str) -> tuple[str, ...]:
+    """The skip patterns of a project's TOML file. ValueError if it isn't TOML, or they aren't a list of strings."""
+    found = tomllib.loads(text).get("skip_paths", [])
+    if not isinstance(found, list) or not all(isinstance(p, str) for p in found):
+        raise ValueError("skip_paths isn't a list of strings")
+    return tuple(found)
+
+
+def compose(layers: dict[str, list[Rule]], disabled: set[str] = frozenset(), warnings: tuple[str, ...] = (), skip: tuple[str, ...] = ()) -> Catalog:
     """Merges layers: a rule overrides an earlier one of its id in place, new ids follow in order. Disabled ids are listed but not effective."""
     merged: dict[str, Rule] = {}
     for layer in LAYERS:
@@ -106,7 +245,7 @@ def compose(layers: dict[str, list[Rule]], disabled: set[str] = frozenset(), war
             merged[r.id] = replace(r, source=layer, overridden_from=before.source if before and before.source != layer else before.overridden_from if before else "")
     every = [replace(r, disabled=r.id in disabled) for r in merged.values()]
     listed = sorted(every, key=lambda r: (LAYERS.index(r.source), r.id))
-    return Catalog(tuple(r for r in every if not r.disabled), tuple(listed), warnings)
+    return Catalog(tuple(r for r in every if not r.disabled), tuple(listed), warnings, skip)
 
 
 def load(user_dir: str | None = None, project_start: str | None = None, env_packs: tuple[str, ...] = (), disabled: set[str] = frozenset(), pii: bool = False) -> Catalog:
@@ -125,11 +264,16 @@ def load(user_dir: str | None = None, project_start: str | None = None, env_pack
 
     for p in user_packs(user_dir):
         take("user", p)
+    skip: tuple[str, ...] = ()
     if project_start and (config := project_config(project_start)):
         take("project", config)
+        try:
+            skip = skip_paths(config.read_text())
+        except (OSError, ValueError) as e:
+            warnings.append(f"{config}: skip_paths: {e}")
     for p in env_packs:
         take("env", Path(p))
-    return compose(layers, disabled, tuple(warnings))
+    return compose(layers, disabled, tuple(warnings), skip)
 
 
 def user_packs(folder: str | None) -> list[Path]:
@@ -146,9 +290,9 @@ def project_config(start: str) -> Path | None:
 
 
 def project_warning(catalog: Catalog, skip_paths: tuple[str, ...] = ()) -> tuple[list[str], int]:
-    """Ids that the project overrides, and how many ids and skip patterns it brings."""
-    ids = [r.id for r in catalog.listed if r.source == "project" and r.overridden]
-    return ids, len(ids) + len(skip_paths)
+    """Ids that the project overrides, in order, and how many ids and skip patterns (the catalog's, and others given) it brings."""
+    ids = sorted(r.id for r in catalog.listed if r.source == "project" and r.overridden)
+    return ids, len(ids) + len(catalog.skip_paths) + len(skip_paths)
 
 
 # RE2 in other dialects ---------------------------------------------------------------

@@ -2,8 +2,9 @@
 
 An entry is the JSON object {ts, tool, action, rules?, count?, field?, prev, hash} in that
 order; its hash is the SHA-256 of the entry with an empty hash, and prev is the hash of
-the entry before. Verification needs just the line before, so it's a window over each
-log's lines; chaining is sequential by nature and done in order within each log.
+the entry before. Verification needs just the line before, so logs are cut into ranges of
+lines that carry the last hash over to the next one, however long a log is; chaining
+is sequential by nature and done in order within each log.
 """
 
 from __future__ import annotations
@@ -15,7 +16,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ENTRY = "ts string, tool string, action string, rules array<string>, count int, field string, prev string, hash string"
+FIELDS = {"ts": "string", "tool": "string", "action": "string", "rules": "array<string>", "count": "bigint", "field": "string", "prev": "string", "hash": "string"}
+#: Line numbers of a log that are verified together.
+RANGE = 50_000
+
+
+def entry_of(line: Column) -> dict[str, Column]:
+    """An entry's fields, and whether it is one (ok): a JSON object whose known fields are null, missing or of their types. Else its fields are null."""
+    tree = F.try_parse_json(line)
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    at = lambda name: F.try_variant_get(tree, f"$.{name}", "variant")
+    ok = tree.isNotNull() & kind(tree).startswith("OBJECT")
+    for name, type_ in FIELDS.items():
+        allowed = {"string": ("STRING", "VOID"), "bigint": ("BIGINT", "VOID"), "array<string>": ("ARRAY<STRING>", "ARRAY<VOID>", "VOID")}[type_]
+        ok &= kind(at(name)).isin(*allowed)
+    ok = F.coalesce(ok, F.lit(False))
+    return {name: F.when(ok, F.try_variant_get(tree, f"$.{name}", type_)) for name, type_ in FIELDS.items()} | {"ok": ok}
 
 
 def json_string(s: Column) -> Column:
@@ -81,18 +97,26 @@ def chain(events: DataFrame, log: str, order: str, ends: DataFrame | None = None
     return made.repartition(parts, "log").sortWithinPartitions("log", "_order").mapInArrow(run, f"log {kind}, line_no long, line string")
 
 
-def verify(lines: DataFrame) -> DataFrame:
-    """log, line_no, kind (ok, legacy, parse, hash, chain), detail for each line that isn't empty. lines: log, line_no, line."""
-    entry = F.from_json("line", ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_none"})
-    full = lines.where(F.col("line") != "").withColumn("e", entry).withColumn("is_json", F.try_parse_json("line").isNotNull() & F.col("line").rlike(r"\A\s*\{"))
-    e = {c: F.col(f"e.{c}") for c in ("ts", "tool", "action", "rules", "count", "field", "prev")}
-    stored = F.when(F.col("is_json"), F.coalesce(F.col("e.hash"), F.lit(""))).otherwise(F.lit(""))
-    full = full.withColumn("stored", stored).withColumn("computed", entry_hash(e)).withColumn("prev", F.coalesce(F.col("e.prev"), F.lit("")))
-    expected = F.coalesce(F.lag("stored").over(Window.partitionBy("log").orderBy("line_no")), F.lit(""))
-    full = full.withColumn("expected", expected)
-    kind = F.when(~F.col("is_json"), "parse").when(F.col("stored") == "", "legacy").when(F.col("stored") != F.col("computed"), "hash").when(F.col("prev") != F.col("expected"), "chain").otherwise("ok")
+def verify(lines: DataFrame, range_: int = RANGE) -> DataFrame:
+    """log, line_no, kind (ok, legacy, parse, hash, chain), detail for each line that isn't empty. lines: log, line_no, line.
+
+    A line of a log is compared with the one before in its range of line numbers, a range's first with what the
+    range before ends in; only the ranges' ends, of which there are few, are put in order for a whole log.
+    """
     from veilspark.functions.text import short_hash
 
+    held = lines.where(F.col("line") != "").select("log", "line_no", "line", F.floor(F.col("line_no") / range_).alias("_range"))
+    ends = held.groupBy("log", "_range").agg(F.max_by("line", "line_no").alias("line"))
+    ends = ends.select(F.col("log").alias("_log"), F.col("_range").alias("_of"), F.coalesce(entry_of(F.col("line"))["hash"], F.lit("")).alias("_end"))
+    ends = ends.withColumn("_carry", F.lag("_end").over(Window.partitionBy("_log").orderBy("_of"))).drop("_end")
+    e = entry_of(F.col("line"))
+    full = held.select("log", "line_no", "_range", F.struct(*[c.alias(n) for n, c in e.items()]).alias("e"))
+    e = {c: F.col(f"e.{c}") for c in FIELDS}
+    full = full.select("log", "line_no", "_range", F.col("e.ok").alias("is_entry"), F.coalesce(e["hash"], F.lit("")).alias("stored"), entry_hash(e).alias("computed"), F.coalesce(e["prev"], F.lit("")).alias("prev"))
+    full = full.join(ends, full["log"].eqNullSafe(ends["_log"]) & (full["_range"] == ends["_of"]), "left")
+    before = F.lag("stored").over(Window.partitionBy("log", "_range").orderBy("line_no"))
+    full = full.withColumn("expected", F.coalesce(before, F.col("_carry"), F.lit("")))
+    kind = F.when(~F.col("is_entry"), "parse").when(F.col("stored") == "", "legacy").when(F.col("stored") != F.col("computed"), "hash").when(F.col("prev") != F.col("expected"), "chain").otherwise("ok")
     detail = (
         F.when(F.col("kind") == "parse", F.lit("invalid JSON"))
         .when(F.col("kind") == "hash", F.concat(F.lit("entry tampered: stored "), short_hash(F.col("stored")), F.lit(" ≠ recomputed "), short_hash(F.col("computed"))))
@@ -109,9 +133,9 @@ def summary(verified: DataFrame) -> DataFrame:
 
 
 def last_hash(lines: DataFrame) -> DataFrame:
-    """log, prev: the hash that the next entry of each log must carry."""
-    stored = F.coalesce(F.from_json("line", ENTRY)["hash"], F.lit(""))
-    return lines.where("line <> ''").groupBy("log").agg(F.max_by(stored, "line_no").alias("prev"))
+    """log, prev: the hash that the next entry of each log must carry; only the last lines are read as entries."""
+    last = lines.where("line <> ''").groupBy("log").agg(F.max_by("line", "line_no").alias("line"))
+    return last.select("log", F.coalesce(entry_of(F.col("line"))["hash"], F.lit("")).alias("prev"))
 
 
 def append(lines: DataFrame, events: DataFrame, log: str, order: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark import catalog
 from veilspark.catalog import Rule, terms_of
 from veilspark.functions import paths, text
-from veilspark.operators import audit, detect, locate, policy, tree
+from veilspark.operators import audit, catalogs, detect, locate, policy, tree
 from veilspark.operators.redact import redact, redact_surface
 from veilspark.sources.shared import spread
 from veilspark.plans.fixtures import AWS, BASE58, KEYED, MIXED, SEEDS
@@ -440,24 +440,54 @@ def _exfil(spark, sf_dir):
 
 # Catalog ------------------------------------------------------------------------------------------------
 
-_LAYERS = {
-    "upstream": [Rule("a", "x"), Rule("b", "y"), Rule("c", "z")],
-    "embedded": [Rule("b", "y2"), Rule("d", "w")],
-    "project": [Rule("b", "y3"), Rule("a", "x2")],
-    "env": [Rule("e", "v")],
-}
-_EFFECTIVE = "('a', 'x2', 'project', 'upstream'), ('b', 'y3', 'project', 'embedded'), ('c', 'z', 'upstream', ''), ('e', 'v', 'env', '')"
+# the orders of each hundredth of the customers are the rules of a catalog, in five layers; some of them disable rules
+_RULE_ROWS = "select o_custkey % 100 as tenant, case o_orderkey % 5 when 0 then 'upstream' when 1 then 'embedded' when 2 then 'user' when 3 then 'project' else 'env' end as layer, o_orderkey as place, 'rule-' || (o_orderkey % 13) as rule_id, substr(md5(cast(o_orderkey as string)), 1, 8) as regex from orders"
+_OFF_ROWS = "select distinct o_custkey % 100 as tenant, 'rule-' || (o_orderkey % 13) as rule_id from orders where o_orderkey % 11 = 0"
+_COMPOSED = f"""r as (select *, list_position(['upstream', 'embedded', 'user', 'project', 'env'], layer) as l from ({_RULE_ROWS})),
+top as (select *, row_number() over (partition by tenant, rule_id order by l desc, place desc) as n, max(l) over (partition by tenant, rule_id) as best,
+        row_number() over (partition by tenant, rule_id order by l, place) as m from r),
+firsts as (select tenant, rule_id, l as fl, place as fp from top where m = 1),
+lower_ as (select tenant, rule_id, arg_max(layer, l) as overridden_from from top where l < best group by tenant, rule_id),
+c as (select t.tenant, t.rule_id, t.regex, t.layer as source, t.l, coalesce(lower_.overridden_from, '') as overridden_from, fl, fp, o.rule_id is not null as off
+      from top t join firsts using (tenant, rule_id) left join lower_ using (tenant, rule_id) left join ({_OFF_ROWS}) o on o.tenant = t.tenant and o.rule_id = t.rule_id where t.n = 1)"""
+
 
+def _composed(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    layer = F.get(F.array(*map(F.lit, catalog.LAYERS)), (F.col("o_orderkey") % 5).cast("int"))
+    rules = orders.select((F.col("o_custkey") % 100).alias("tenant"), layer.alias("layer"), F.col("o_orderkey").alias("place"), F.concat(F.lit("rule-"), F.col("o_orderkey") % 13).alias("rule_id"), F.left(F.md5(F.col("o_orderkey").cast("string")), F.lit(8)).alias("regex"))
+    off = orders.where("o_orderkey % 11 = 0").select((F.col("o_custkey") % 100).alias("tenant"), F.concat(F.lit("rule-"), F.col("o_orderkey") % 13).alias("rule_id"))
+    return catalogs.composed(rules, off, ["tenant"])
 
-@query("catalog_effective", f"select * from (values {_EFFECTIVE}) t(rule_id, regex, source, overridden_from)")
+
+@query("catalog_effective", f"with {_COMPOSED} select tenant, row_number() over (partition by tenant order by fl, fp, rule_id) as place, rule_id, regex, source, overridden_from from c where not off")
 def _catalog(spark, sf_dir):
-    c = catalog.compose(_LAYERS, {"d"})
-    return spark.createDataFrame([(r.id, r.regex, r.source, r.overridden_from) for r in c.rules], "rule_id string, regex string, source string, overridden_from string")
+    """The rules in force of each catalog, in the order that findings are applied."""
+    return catalogs.effective(_composed(spark, sf_dir), ["tenant"])
 
 
-@query("catalog_listing", "select * from (values ('upstream', 'c', 'active'), ('embedded', 'd', 'disabled'), ('project', 'a', 'overrides upstream'), ('project', 'b', 'overrides embedded'), ('env', 'e', 'active')) t(source, rule_id, state)")
+@query("catalog_listing", f"with {_COMPOSED} select tenant, row_number() over (partition by tenant order by l, rule_id) as place, source, rule_id, case when off then 'disabled' when overridden_from <> '' then 'overrides ' || overridden_from else 'active' end as state from c")
 def _listing(spark, sf_dir):
-    return catalog.compose(_LAYERS, {"d"}).frame(spark).select("source", "rule_id", "state")
+    return catalogs.listing(_composed(spark, sf_dir), ["tenant"])
+
+
+@query("catalog_project_warning", f"""with {_COMPOSED}, ids as (select tenant, string_agg(rule_id, ',' order by rule_id) as rules, count(*) as n from c where source = 'project' and overridden_from <> '' group by tenant),
+s as (select o_custkey % 100 as tenant, count(*) as m from orders where o_orderpriority = '1-URGENT' group by all)
+select coalesce(ids.tenant, s.tenant) as tenant, coalesce(rules, '') as rules, coalesce(n, 0) + coalesce(m, 0) as n from ids full join s using (tenant)""")
+def _project_warning(spark, sf_dir):
+    """Catalogs that their project layer weakens, by overriding rules or by skip patterns (here: urgent orders)."""
+    skips = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 100).alias("tenant"))
+    return catalogs.project_warnings(_composed(spark, sf_dir), skips, ["tenant"]).select("tenant", F.array_join("rules", ",").alias("rules"), F.col("count").cast("long").alias("n"))
+
+
+@query("project_skip_paths", f"select k, case when k % 4 in (0, 2) then 'pass' else 'deny' end as action from {KEYED}")
+def _project_skip(spark, sf_dir):
+    """Skip patterns of a project's file reach the router."""
+    skip = catalog.skip_paths('skip_paths = ["**/vendored/**", "*.lock"]')
+    path = "case k % 4 when 0 then 'src/vendored/a.py' when 1 then 'src/a.py' when 2 then 'yarn.lock' else 'lock/a.py' end"
+    payload = f"""'{{"tool_input":{{"file_path":"' || {path} || '","content":"k=' || {_KEY} || '"}}}}'"""
+    df = _seeded(spark, sf_dir, payload).select("k", F.lit("claudecode").alias("harness"), F.lit("pre_tool").alias("event"), F.lit("Write").alias("tool"), F.col("c").alias("payload"))
+    return policy.decide(df, [RULES["aws-access-key"]], policy.Settings(skip=skip)).select("k", "action")
 
 
 # Trees ----------------------------------------------------------------------------------------------------
@@ -690,6 +720,29 @@ def _audit_summary(spark, sf_dir):
     return audit.summary(audit.verify(_tampered(_chained(spark, sf_dir))))
 
 
+_ONE_LOG_SQL = _VERIFY_SQL.replace("partition by log order by line_no), '') as expected", "order by log, line_no), '') as expected")
+
+
+@query("audit_verify_one_log", f"{_ONE_LOG_SQL} select log * 100000 + line_no as line_no, kind from judged")
+def _verify_one_log(spark, sf_dir):
+    """All logs as one, in ranges of lines that carry the last hash over."""
+    lines = _tampered(_chained(spark, sf_dir)).select(F.lit("all").alias("log"), (F.col("log") * 100_000 + F.col("line_no")).alias("line_no"), "line")
+    return audit.verify(lines, 400_000).select("line_no", "kind")
+
+
+_TYPED = {2: '{"ts":1,"hash":"x"}', 3: '{"ts":"","rules":"a","hash":"x"}', 4: '{"rules":[1],"hash":"x"}', 5: '{"count":1.5,"hash":"x"}', 6: '["a"]', 7: '{"ts":null,"rules":null,"count":null,"other":[{}]}'}
+
+
+@query("audit_wrong_types", f"select log, line_no, case when line_no % 9 between 2 and 6 then 'parse' when line_no % 9 = 7 then 'legacy' when line_no % 9 = 8 then 'chain' else 'ok' end as kind from ({_ENTRY_SQL})")
+def _wrong_types(spark, sf_dir):
+    """A known field of a wrong type makes a line unreadable, not old; what follows has lost its chain."""
+    n = F.col("line_no") % 9
+    line = F.col("line")
+    for k, text_ in _TYPED.items():
+        line = F.when(n == k, F.lit(text_)).otherwise(line)
+    return audit.verify(_chained(spark, sf_dir).withColumn("line", line)).select("log", "line_no", "kind")
+
+
 @query("audit_last_hash", f"with recursive {_CHAIN_SQL} select log, arg_max(hash, line_no) as prev from chain group by log")
 def _audit_last(spark, sf_dir):
     return audit.last_hash(_chained(spark, sf_dir))
