@@ -14,7 +14,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from urllib.parse import unquote_to_bytes
 
@@ -137,9 +137,9 @@ class Engine:
     def _dropped(self, terms, secret: str) -> bool:
         return any(entropy(secret) <= t.limit if t.kind == "entropy" else any(v.search(secret) for v in values) if t.kind == "any" else any(v in secret for v in values) for t, values in terms)
 
-    def surface(self, text: str, marked: bool = False) -> list[Finding]:
-        """Findings in order of rules, one for each occurrence, judged by the lines that it lies on; marked: without those near a marker, which are noted as suppressed."""
-        low, out = text.lower(), []
+    def matches(self, text: str) -> Iterator[tuple[int, int, Finding]]:
+        """Where each surface finding begins and ends, in order of rules and places; judged by the lines that it lies on."""
+        low = text.lower()
         for rule, regex, terms, allow in self._compiled:
             if rule.keywords and not any(k in low for k in rule.keywords):
                 continue
@@ -151,10 +151,16 @@ class Engine:
                     start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
                     if any(a.search(text[start : end if end >= 0 else len(text)]) for a in allow):
                         continue
-                if marked and self._near(text, m.start(), m.end()):
-                    self.suppressed.append(rule.id)
-                    continue
-                out.append(Finding(rule.id, m[0], secret))
+                yield m.start(), m.end(), Finding(rule.id, m[0], secret)
+
+    def surface(self, text: str, marked: bool = False) -> list[Finding]:
+        """Findings in order of rules, one for each occurrence; marked: without those near a marker, which are noted as suppressed."""
+        out = []
+        for start, end, f in self.matches(text):
+            if marked and self._near(text, start, end):
+                self.suppressed.append(f.rule_id)
+            else:
+                out.append(f)
         return out
 
     def find(self, text: str, authored: bool = False) -> list[Finding]:

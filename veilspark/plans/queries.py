@@ -765,4 +765,41 @@ def _stream(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select(F.col("k").alias("o_orderkey"), "redacted", F.array_join("rules", ",").alias("rules"))
 
 
+# an order is two lines of its customer's stream; a third of them break a key in two
+_BROKEN = f"case when k % 3 = 0 then 'x ' || substr({_KEY}, 1, 8) when k % 3 = 1 then 'id ' || {_KEY} else 'no ' || h end"
+_BROKEN_ON = f"case when k % 3 = 0 then substr({_KEY}, 9, 12) || ' y' else 'and on' end"
+_BROKEN_DUCK = f"""d as (select o_custkey as stream, o_orderkey as k, md5(cast(o_orderkey as varchar)) as h from orders),
+l as (select stream, 2 * k as seq, case when k % 3 = 0 then 'x ' || {_PH} when k % 3 = 1 then 'id ' || {_PH} else 'no ' || h end as redacted, k % 3 < 2 as hit from d
+      union all select stream, 2 * k + 1, case when k % 3 = 0 then ' y' else 'and on' end, false from d)"""
+
+
+@query("stream_keyed", f"with {_BROKEN_DUCK} select stream, seq, redacted, case when row_number() over (partition by stream order by seq desc) = 1 and bool_or(hit) over (partition by stream) then '[veilspark] redacted 1 secret(s) (aws-access-key)' end as hint from l")
+def _stream_keyed(spark, sf_dir):
+    """Lines of many streams in three batches that are cut between the halves of a key, the last batch after a restart."""
+    from veilspark.sources.shared import new_folder
+    from veilspark.streaming.keyed import redact_streams
+
+    at = new_folder(spark)
+    pairs = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream"), F.col("o_orderkey").alias("k"), F.md5(F.col("o_orderkey").cast("string")).alias("h"))
+    lines = pairs.select("stream", F.explode(F.expr(f"array(struct(2 * k as seq, {_BROKEN} as line), struct(2 * k + 1 as seq, {_BROKEN_ON} as line))")).alias("l"))
+    newest = lines.groupBy("stream").agg(F.max("l.seq").alias("newest"))
+    lines = lines.join(newest, "stream").select("stream", "l.seq", "l.line", (F.col("l.seq") == F.col("newest")).alias("last"))
+    most = lines.agg(F.max("seq")).first()[0] or 0
+    third = (most // 3) | 1  # odd: the second line of a pair begins a batch
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for parts in ((0, 1), (2,)):
+            for n in parts:
+                part = F.least(F.floor(F.col("seq") / third), F.lit(2))
+                lines.where(part == n).write.mode("append").parquet(f"{at}/in/part={n}")
+            stream = spark.readStream.schema("stream long, seq long, line string, last boolean, part int").option("maxFilesPerTrigger", 100_000).parquet(f"{at}/in")
+            done = redact_streams(stream.drop("part"), [RULES["aws-access-key"]])
+            done.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{at}/out").select("stream", "seq", "redacted", "hint")
+
+
 from veilspark.plans import routes  # noqa: E402, F401  registers its queries
