@@ -276,11 +276,29 @@ def _beside_image(spark, sf_dir):
 _DEEP = f"base64(cast(base64(cast(lower(hex({_KEY})) as binary)) as binary))"
 
 
+_FAILING = f"case when k % 5 = 0 then cast(concat(cast('é' as binary), unhex('FF'), cast(' ' || {_DEEP} as binary)) as string) else 'v ' || {_DEEP} end"
+
+
+@query("dead_letters", f"select k % 5 = 0 as failed, count(*) as n, sum(case when k % 5 = 0 then 5 + strlen(e) - 1 else strlen('v ' || {_PH}) end)::bigint as n_bytes from (select k, h, to_base64(encode(to_base64(encode(lower(hex({_KEY})))))) as e from {KEYED}) group by all")
+def _dead_letters(spark, sf_dir):
+    """A stream's lines that fail, and the others, in files of their own."""
+    from veilspark.sources.shared import new_folder
+    from veilspark.sources.text import write_dead_letters
+    from veilspark.streaming.lines import redact_lines, run
+
+    at = new_folder(spark)
+    _seeded(spark, sf_dir, _FAILING).select("k", "c").write.parquet(f"{at}/in")
+    stream = redact_lines(spark.readStream.schema("k long, c string").parquet(f"{at}/in"), [RULES["aws-access-key"]], "c", errors="error")
+    fine = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
+    run(stream, fine, f"{at}/state", dead=lambda df, n: write_dead_letters(df, f"{at}/dead/batch={n}", "redacted", mode="overwrite")).awaitTermination()
+    counts = lambda path, failed: spark.read.parquet(path).agg(F.lit(failed).alias("failed"), F.count("*").alias("n"), F.sum(F.octet_length("redacted")).alias("n_bytes"))
+    return counts(f"{at}/out", False).unionByName(counts(f"{at}/dead", True))
+
+
 @query("error_channel", f"select k, case when k % 5 = 0 then hex('é') || 'FF' || hex(' ' || e) else hex('v ' || {_PH}) end as redacted, case when k % 5 = 0 then '' else 'aws-access-key' end as rules, k % 5 = 0 as failed from (select k, h, to_base64(encode(to_base64(encode(lower(hex({_KEY})))))) as e from {KEYED})")
 def _error_channel(spark, sf_dir):
     """Texts that aren't UTF-8, and that only the engine could finish, come back whole with an error; others are redacted."""
-    text = f"case when k % 5 = 0 then cast(concat(cast('é' as binary), unhex('FF'), cast(' ' || {_DEEP} as binary)) as string) else 'v ' || {_DEEP} end"
-    df = redact(_seeded(spark, sf_dir, text), "c", [RULES["aws-access-key"]], errors="error")
+    df = redact(_seeded(spark, sf_dir, _FAILING), "c", [RULES["aws-access-key"]], errors="error")
     return df.select("k", F.hex(F.col("redacted").cast("binary")).alias("redacted"), F.array_join("rules", ",").alias("rules"), F.col("error").isNotNull().alias("failed"))
 
 

@@ -61,6 +61,16 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return out.select("log", (F.col("_before") + F.col("_n")).alias("line_no"), F.when(F.octet_length(line) <= MAX_LINE_BYTES, line).otherwise(F.lit("unreadable")).alias("line"))
 
 
+def split_failed(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """Rows without an error, less its column, and rows with one; of the result of redact(..., errors=error)."""
+    return df.where(F.col(error).isNull()).drop(error), df.where(F.col(error).isNotNull())
+
+
+def write_dead_letters(failed: DataFrame, path: str, column: str, error: str = "error", mode: str = "append") -> None:
+    """Puts rows that couldn't be redacted aside as Parquet: their columns, the text as bytes, whatever these are."""
+    failed.withColumn(column, F.col(column).cast("binary")).write.mode(mode).parquet(path)
+
+
 def write_lines(df: DataFrame, path: str, column: str = "redacted") -> None:
     df.select(F.col(column).alias("value")).write.mode("error").text(path)
 

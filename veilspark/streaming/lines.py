@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veilspark.catalog import Rule
 from veilspark.operators.detect import redact_surface
 from veilspark.operators.redact import redact
+from veilspark.sources.text import split_failed
 
 
 def lines(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -22,18 +23,23 @@ def lines(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.format("text").options(**options).load(path)
 
 
-def redact_lines(stream: DataFrame, rules: Sequence[Rule], column: str = "value", deep: bool = True) -> DataFrame:
-    """redacted and rules for each line of command output (untrusted: markers don't count)."""
-    return (redact if deep else redact_surface)(stream, column, rules, False)
+def redact_lines(stream: DataFrame, rules: Sequence[Rule], column: str = "value", deep: bool = True, errors: str | None = None) -> DataFrame:
+    """redacted and rules for each line of command output (untrusted: markers don't count); errors names a column for what went wrong with a line, which then comes back whole."""
+    return redact(stream, column, rules, False, errors=errors) if deep else redact_surface(stream, column, rules, False)
 
 
-def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, gather: Callable[[list[str], int], None] | None = None, once: bool = True) -> StreamingQuery:
-    """Starts a query that gives each redacted batch to `write` and its distinct rule ids (no more than the catalog has) to `gather`."""
+def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, gather: Callable[[list[str], int], None] | None = None, once: bool = True, dead: Callable[[DataFrame, int], None] | None = None, errors: str = "error") -> StreamingQuery:
+    """Starts a query that gives each redacted batch to `write` and its distinct rule ids (no more than the catalog has) to `gather`. With `dead`, lines that failed go there and the others, less the errors' column, to `write`."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            write(batch, number)
+            if dead is None:
+                write(batch, number)
+            else:
+                fine, failed = split_failed(batch, errors)
+                write(fine, number)
+                dead(failed, number)
             if gather is not None:
                 gather(sorted(r["rule"] for r in batch.select(F.explode("rules").alias("rule")).distinct().collect()), number)
         finally:
