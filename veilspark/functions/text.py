@@ -25,6 +25,15 @@ def strip_ansi(s: Column) -> Column:
     return F.when(s.contains("\x1b"), F.regexp_replace(s, ANSI, "")).otherwise(s)
 
 
+#: Escapes of halves of surrogate pairs, which text can't hold; a VARIANT with such a key can't be read.
+_HALVES = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+
+
+def parse_json(s: Column) -> Column:
+    """A JSON text as a VARIANT, halves of surrogate pairs as replacement characters; null if it isn't JSON."""
+    return F.try_parse_json(F.when(s.contains("\\ud") | s.contains("\\uD"), F.regexp_replace(s, _HALVES, r"\\ufffd")).otherwise(s))
+
+
 def strip_invisible(s: Column) -> Column:
     return F.regexp_replace(s, INVISIBLE_CLASS, "")
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilspark.functions.text import parse_json, short_hash
+
 FIELDS = {"ts": "string", "tool": "string", "action": "string", "rules": "array<string>", "count": "bigint", "field": "string", "prev": "string", "hash": "string"}
 #: Line numbers of a log that are verified together.
 RANGE = 50_000
@@ -23,7 +25,7 @@ RANGE = 50_000
 
 def entry_of(line: Column) -> dict[str, Column]:
     """An entry's fields, and whether it is one (ok): a JSON object whose known fields are null, missing or of their types. Else its fields are null."""
-    tree = F.try_parse_json(line)
+    tree = parse_json(line)
     kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
     at = lambda name: F.try_variant_get(tree, f"$.{name}", "variant")
     ok = tree.isNotNull() & kind(tree).startswith("OBJECT")
@@ -103,8 +105,6 @@ def verify(lines: DataFrame, range_: int = RANGE) -> DataFrame:
     A line of a log is compared with the one before in its range of line numbers, a range's first with what the
     range before ends in; only the ranges' ends, of which there are few, are put in order for a whole log.
     """
-    from veilspark.functions.text import short_hash
-
     held = lines.where(F.col("line") != "").select("log", "line_no", "line", F.floor(F.col("line_no") / range_).alias("_range"))
     ends = held.groupBy("log", "_range").agg(F.max_by("line", "line_no").alias("line"))
     ends = ends.select(F.col("log").alias("_log"), F.col("_range").alias("_of"), F.coalesce(entry_of(F.col("line"))["hash"], F.lit("")).alias("_end"))

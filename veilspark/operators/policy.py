@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veilspark.catalog import Rule
 from veilspark.functions.paths import SKIP, of_server, sends_out, skipped, tool_matches, write_shaped
-from veilspark.functions.text import already_wrapped, wrap_command
+from veilspark.functions.text import already_wrapped, parse_json, wrap_command
 from veilspark.operators.redact import tree_udf, worth_walking
 
 PRIMING_MARK = "secret redaction is active in this session"
@@ -75,7 +75,7 @@ def _json(**fields: Column) -> Column:
 
 def _raw(name: str) -> Column:
     """A top-level value of the payload as JSON, a string with its quotes; null if it's missing."""
-    return F.to_json(F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", "variant"))
+    return F.to_json(F.try_variant_get(parse_json(F.col("payload")), f"$.{name}", "variant"))
 
 
 def _written() -> Column:
@@ -253,7 +253,7 @@ def decide(events: DataFrame, rules: Sequence[Rule], settings: Settings = Settin
 
 def decision_json(harness: Column, event: Column, action: Column, reason: Column, updated: Column) -> Column:
     """The decision in the shape that the harness expects; {} where it changes nothing."""
-    put = F.try_parse_json(F.coalesce(updated, F.lit("null")))
+    put = parse_json(F.coalesce(updated, F.lit("null")))
     context = F.get_json_object(updated, "$.context")
     pre = F.lit("PreToolUse").alias("hookEventName")
     own = lambda *fields: F.to_json(F.struct(F.struct(*fields).alias("hookSpecificOutput")))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from veilspark.catalog import Rule
 from veilspark.engine import DECODE_DEPTH, TREE_DEPTH
+from veilspark.functions.text import parse_json
 from veilspark.operators.decode import let
 from veilspark.operators.deep import NATIVE_DEPTH, redacted
 from veilspark.operators.redact import tree_udf, worth_scanning, worth_walking
@@ -60,7 +61,7 @@ def leaves_of(tree: Column) -> Column:
 def json_leaves(text: Column) -> Column:
     """leaves_of a JSON text; one that isn't JSON, or in which a key is there twice, is one string, escaped slashes in it undone."""
     alone = F.array(F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), F.replace(text, F.lit("\\/"), F.lit("/")).alias("value"))).cast(_LEAVES)
-    return let(F.try_parse_json(text), lambda tree: F.when(tree.isNotNull(), leaves_of(tree)).otherwise(alone))
+    return let(parse_json(text), lambda tree: F.when(tree.isNotNull(), leaves_of(tree)).otherwise(alone))
 
 
 def leaves(df: DataFrame, key: str, column: str) -> DataFrame:
