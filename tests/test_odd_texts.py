@@ -193,3 +193,26 @@ def test_over_a_line_end():
     engine = Engine([AWS])
     assert over_the_end(engine, "x " + KEY[:8], KEY[8:] + " y") == (8, 12, f"<REDACTED:aws-access-key:{KEY[-4:]}>", "aws-access-key")
     assert over_the_end(engine, "x " + KEY, "y") is None and over_the_end(engine, "", KEY) is None
+
+
+def test_many_writers(spark, tmp_path):
+    """Writers that append at once lose nothing; what one that died left isn't read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from veilspark.operators import commits
+
+    folder = f"file://{tmp_path}/log"
+    kind = "log string, n int, ts string, tool string, action string, rules array<string>, count int, field string"
+
+    def entries(writer, batch):
+        return spark.createDataFrame([("ab"[k % 2], k, "2026-01-01T00:00:00Z", f"w{writer}", "x", ["r"], 1, f"{batch}-{k}") for k in range(10)], kind)
+
+    spark.createDataFrame([("a", 9, "{}")], "log string, line_no bigint, line string").write.parquet(f"{folder}/lines/dead")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda w: [commits.append(spark, folder, entries(w, b), "log", "n") for b in range(2)], range(4)))
+    lines = commits.lines(spark, folder)
+    assert len(commits.commits(spark, folder)) == 8 and lines.count() == 80
+    assert {r["kind"] for r in audit.verify(lines).collect()} == {"ok"}
+    assert lines.select("log", "line_no").distinct().count() == 80 and lines.agg(F.max("line_no")).first()[0] == 40
+    told = lines.select(F.get_json_object("line", "$.tool").alias("w"), F.get_json_object("line", "$.field").alias("f")).distinct().count()
+    assert told == 80

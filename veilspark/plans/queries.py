@@ -12,7 +12,7 @@ from veilspark.catalog import Rule, terms_of
 from veilspark.functions import paths, text
 from veilspark.operators import audit, catalogs, detect, locate, policy, tree
 from veilspark.operators.redact import redact, redact_surface
-from veilspark.sources.shared import spread
+from veilspark.sources.shared import drop_folder, spread
 from veilspark.plans.fixtures import AWS, BASE58, KEYED, MIXED, SEEDS
 
 RULES = {r.id: r for r in catalog.builtin("core") + catalog.builtin("pii")}
@@ -27,6 +27,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+def _dropped(spark: SparkSession, at: str) -> None:
+    """What a stream read, and its state, once it has ended."""
+    for part in ("in", "state"):
+        drop_folder(spark, f"{at}/{part}")
+
+
 def _seeded(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """k, h, c: the seeded text for each row of orders."""
     keyed = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.md5(F.col("o_orderkey").cast("string")).alias("h"))
@@ -291,6 +297,7 @@ def _dead_letters(spark, sf_dir):
     stream = redact_lines(spark.readStream.schema("k long, c string").parquet(f"{at}/in"), [RULES["aws-access-key"]], "c", errors="error")
     fine = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}")
     run(stream, fine, f"{at}/state", dead=lambda df, n: write_dead_letters(df, f"{at}/dead/batch={n}", "redacted", mode="overwrite")).awaitTermination()
+    _dropped(spark, at)
     counts = lambda path, failed: spark.read.parquet(path).agg(F.lit(failed).alias("failed"), F.count("*").alias("n"), F.sum(F.octet_length("redacted")).alias("n_bytes"))
     return counts(f"{at}/out", False).unionByName(counts(f"{at}/dead", True))
 
@@ -761,6 +768,23 @@ def _wrong_types(spark, sf_dir):
     return audit.verify(_chained(spark, sf_dir).withColumn("line", line)).select("log", "line_no", "kind")
 
 
+@query("audit_many_writers", "select event_type as log, count(*) as total, count(*) as verified, 0 as broken, count(distinct event_id) as events from events group by all")
+def _many_writers(spark, sf_dir):
+    """Three writers append the events to the same logs at once; no entry is lost, and the chains hold."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from veilspark.operators import commits
+    from veilspark.sources.shared import new_folder
+
+    at = new_folder(spark)
+    entries = _chained(spark, sf_dir, raw=True).withColumn("field", F.col("event_id").cast("string"))
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: commits.append(spark, at, entries.where(F.col("event_id") % 3 == k), "tool", "event_id"), range(3)))
+    lines = commits.lines(spark, at)
+    seen = lines.select("log", F.get_json_object("line", "$.field").alias("event")).groupBy("log").agg(F.countDistinct("event").alias("events"))
+    return audit.summary(audit.verify(lines)).select("log", "total", "verified", "broken").join(seen, "log")
+
+
 @query("audit_last_hash", f"with recursive {_CHAIN_SQL} select log, arg_max(hash, line_no) as prev from chain group by log")
 def _audit_last(spark, sf_dir):
     return audit.last_hash(_chained(spark, sf_dir))
@@ -780,6 +804,7 @@ def _stream(spark, sf_dir):
     stream = spark.readStream.schema("k long, c string").parquet(f"{at}/in")
     q = run(redact_lines(stream, MIXED_RULES, "c", deep=False), lambda batch, _: batch.write.mode("append").parquet(f"{at}/out"), f"{at}/state")
     q.awaitTermination()
+    _dropped(spark, at)
     return spark.read.parquet(f"{at}/out").select(F.col("k").alias("o_orderkey"), "redacted", F.array_join("rules", ",").alias("rules"))
 
 
@@ -817,6 +842,7 @@ def _stream_keyed(spark, sf_dir):
             done.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
+    _dropped(spark, at)
     return spark.read.parquet(f"{at}/out").select("stream", "seq", "redacted", "hint")
 
 

@@ -14,7 +14,7 @@ from veilspark.operators.redact import redact_surface
 from veilspark.plans.fixtures import KEYED, MIXED
 from veilspark.plans.queries import _CHAIN_SQL, _CORE_ORACLE, _KEY, _PH, MIXED_RULES, RULES, _chained, _duck_text, _seeded, duck_findings, query
 from veilspark.sources import text as sources
-from veilspark.sources.shared import new_folder
+from veilspark.sources.shared import drop_folder, new_folder
 from veilspark.streaming.lines import audit_writer, run
 
 AWS_RULE = RULES["aws-access-key"]
@@ -215,6 +215,8 @@ def _audit_stream(spark, sf_dir):
         entries.where(F.floor((F.col("event_id") - (edges["a"] or 0)) / third) == n).coalesce(1).write.mode("append").parquet(f"{at}/in")
     stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     run(stream, audit_writer(spark, f"{at}/log", "user_id", "event_id"), f"{at}/state").awaitTermination()
+    for part in ("in", "state"):
+        drop_folder(spark, f"{at}/{part}")
     return spark.read.parquet(f"{at}/log/lines").select("log", "line_no", "line")
 
 
