@@ -61,7 +61,7 @@ def _claim(spark: SparkSession, folder: str, number: int, name: str) -> bool:
     if fs.getUri().getScheme() != "file":
         return bool(fs.rename(own, at))  # the store refuses where something is there
     files, paths = spark._jvm.java.nio.file.Files, spark._jvm.java.nio.file.Paths
-    local = lambda p: paths.get(p.toUri())
+    local = lambda p: paths.get(fs.makeQualified(p).toUri())
     try:  # a rename would replace what's there; a link doesn't
         files.createLink(local(at), local(own))
     except Exception as e:  # noqa: BLE001
