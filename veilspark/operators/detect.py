@@ -86,8 +86,8 @@ def _groups(rule: Rule) -> int:
     return re.compile(to_python(rule.regex), re.ASCII).groups
 
 
-def rule_findings(rule: Rule, text: Column, lowered: Column, located: bool = False) -> Column:
-    """array<FINDING> of one rule, or array<LOCATED>; each occurrence is judged by the lines that it lies on."""
+def rule_findings(rule: Rule, text: Column, lowered: Column, located: bool = False, made_up: bool = False) -> Column:
+    """array<FINDING> of one rule, or array<LOCATED>; each occurrence is judged by the lines that it lies on. made_up: with secrets that look so (see dummy())."""
     regex = to_java(rule.regex)
     made = lambda m, s: F.struct(F.lit(rule.id).alias("rule_id"), m.alias("match"), F.when(s == "", m).otherwise(s).alias("secret"))
     if located or rule.allow:
@@ -100,7 +100,8 @@ def rule_findings(rule: Rule, text: Column, lowered: Column, located: bool = Fal
             pairs = F.zip_with(matches, F.regexp_extract_all(text, F.lit(regex), F.lit(1)), made)
         else:  # a match by itself matches as it did in the text, so the text is gone through once
             pairs = F.transform(matches, lambda m: made(m, F.regexp_extract(m, rf"\A(?:{regex})\z", 1)))
-    pairs = F.filter(pairs, lambda f: ~dummy(f["secret"]))
+    if not made_up:
+        pairs = F.filter(pairs, lambda f: ~dummy(f["secret"]))
     terms = terms_of(rule)
     if terms:
         pairs = F.filter(pairs, lambda f: ~reduce(lambda a, b: a | b, [discarded(t, f["secret"]) for t in terms]))
