@@ -81,6 +81,27 @@ def redact(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = F
     return (made.withColumn(errors, error) if errors else made).drop("_v_text", "_v_done", "_v_deep")
 
 
+#: Bytes of a text from which on it may have so many findings that to replace them one by one takes the square of the text.
+LONG_BYTES = 1 << 16
+
+
+def redact_files(df: DataFrame, column: str, rules: Sequence[Rule], authored: bool = False, out: str = "redacted", hits: str = "rules") -> DataFrame:
+    """redact_surface of whole files, which may be long and full of findings: long ones pass the engine, whose time is linear in the text; others are redacted natively."""
+    held = tuple(rules)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        engine = Engine(held)
+        for texts in batches:
+            yield pa.array([None if t is None else dict(zip(("text", "rules"), engine.redact_surface(t.decode("utf-8", "replace"), authored))) for t in texts.cast(pa.large_binary()).to_pylist()], pa.struct([("text", pa.string()), ("rules", _IDS)]))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    text = F.col(column)
+    long = F.octet_length(text) > LONG_BYTES
+    done = df.withColumn("_v_long", F.arrow_udf(run, "struct<text: string, rules: array<string>>").asNondeterministic()(F.when(long, text)))
+    done = redact_surface(done.withColumn("_v_short", F.when(F.col("_v_long").isNull(), text)), "_v_short", rules, authored, "_v_out", "_v_hits")
+    return done.withColumn(out, F.coalesce("_v_long.text", "_v_out")).withColumn(hits, F.coalesce("_v_long.rules", "_v_hits")).drop("_v_long", "_v_short", "_v_out", "_v_hits")
+
+
 def tree_udf(rules: Sequence[Rule]):
     """(JSON text, mode) to struct(text, rules, path, first, fields, error); see Engine.redact_json. One for all modes: a plan with several would read its input once for each."""
     rules = tuple(rules)
@@ -95,4 +116,4 @@ def tree_udf(rules: Sequence[Rule]):
     return F.arrow_udf(run, "struct<text: string, rules: array<string>, path: string, first: array<string>, fields: array<string>, error: string>").asNondeterministic()
 
 
-__all__ = ["guarded", "redact", "redact_surface", "tree_udf", "worth_scanning", "worth_walking"]
+__all__ = ["guarded", "redact", "redact_files", "redact_surface", "tree_udf", "worth_scanning", "worth_walking"]
