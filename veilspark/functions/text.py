@@ -35,19 +35,33 @@ def parse_json(s: Column) -> Column:
 
 
 def strip_invisible(s: Column) -> Column:
-    return F.regexp_replace(s, INVISIBLE_CLASS, "")
+    return F.when(F.octet_length(s) != F.length(s), F.regexp_replace(s, INVISIBLE_CLASS, "")).otherwise(s)
 
 
 def collapse_hex(s: Column) -> Column:
     """Runs of at least four hex pairs joined by - : or space, without what joins them."""
     runs = F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(HEX_RUN), F.lit(0))), lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(runs, s, lambda acc, r: F.replace(acc, r, F.regexp_replace(r, "[-: ]", "")))
+    # what joins pairs is looked for first: few texts have it between so many of them
+    return F.when(s.rlike(HEX_RUN), F.aggregate(runs, s, lambda acc, r: F.replace(acc, r, F.translate(r, "-: ", "")))).otherwise(s)
 
 
 def code_point(n: Column) -> Column:
     """The character of a code point; the replacement character for those that text can't hold."""
     ok = (n > 0) & (n < 0x110000) & ~((n >= 0xD800) & (n < 0xE000))
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(ok, n).otherwise(F.lit(0xFFFD).cast("long"))), 8, "0")), "UTF-32")
+    # UTF-8 by hand: to decode from another charset looks the charset up for each value
+    return F.when(ok, _utf8(n)).otherwise(F.lit("\ufffd"))
+
+
+def _utf8(n: Column) -> Column:
+    """The bytes of a code point that text can hold, as text."""
+    rest = lambda shift: F.shiftright(n, shift).bitwiseAND(F.lit(0x3F).cast("long")) + 0x80
+    made = lambda *bytes_: F.unhex(F.concat(*map(F.hex, bytes_))).cast("string")
+    return (
+        F.when(n < 0x80, F.char(n))
+        .when(n < 0x800, made(F.shiftright(n, 6) + 0xC0, rest(0)))
+        .when(n < 0x10000, made(F.shiftright(n, 12) + 0xE0, rest(6), rest(0)))
+        .otherwise(made(F.shiftright(n, 18) + 0xF0, rest(12), rest(6), rest(0)))
+    )
 
 
 #: Numbers 128 to 159 mean characters of Windows-1252.
@@ -56,12 +70,21 @@ CP1252 = {b: ord(bytes([b]).decode("cp1252", "replace")) for b in range(0x80, 0x
 
 def _numeric(entity: Column) -> Column:
     """A numeric entity's character."""
-    digits = F.regexp_extract(entity, r"^&#[xX]?0*([0-9a-fA-F]*);$", 1)
-    base = F.when(entity.rlike("^&#[xX]"), F.lit(16)).otherwise(F.lit(10))
-    value = F.when(F.length(digits) > 8, F.lit(0x110000).cast("long")).when(base == 16, F.conv(digits, 16, 10).cast("long")).otherwise(F.conv(digits, 10, 10).cast("long"))
-    value = F.coalesce(value, F.lit(0).cast("long"))
+    hexed = entity.startswith("&#x") | entity.startswith("&#X")
+    digits = F.ltrim(F.substring(entity, F.when(hexed, 4).otherwise(3), F.length(entity)), F.lit("0"))
     odd = F.create_map(*[F.lit(x).cast("long") for pair in CP1252.items() for x in pair])
-    return code_point(F.coalesce(F.try_element_at(odd, value), value))
+
+    def value(d: Column) -> Column:  # d ends in a semicolon
+        n = F.substring(d, F.lit(1), F.length(d) - 1)
+        return F.when(F.octet_length(d) > 9, F.lit(0x110000).cast("long")).when(hexed, F.conv(n, 16, 10).cast("long")).otherwise(n.try_cast("long"))
+
+    of = lambda n: F.when((n >= 0x80) & (n < 0xA0), F.coalesce(F.try_element_at(odd, n), n)).otherwise(n)
+    return _let(_let(digits, lambda d: F.coalesce(value(d), F.lit(0).cast("long"))), lambda n: _let(of(n), code_point))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), in which the value is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def decode_entities(s: Column, named: bool = True) -> Column:
@@ -70,12 +93,12 @@ def decode_entities(s: Column, named: bool = True) -> Column:
     numeric = F.filter(found, lambda e: e.startswith("&#"))
     # what decodes to & is put in as a private mark until the end
     mark = "\ue000"
-    out = F.aggregate(numeric, s, lambda acc, e: F.replace(acc, e, F.when(_numeric(e) == "&", F.lit(mark)).otherwise(_numeric(e))))
+    out = F.aggregate(numeric, s, lambda acc, e: F.replace(acc, e, _let(_numeric(e), lambda c: F.when(c == "&", F.lit(mark)).otherwise(c))))
     if named:
         table = F.from_json(F.lit(_named()), "map<string,string>")  # folded to a literal
         names = F.filter(found, lambda e: ~e.startswith("&#"))
         out = F.aggregate(names, out, lambda acc, e: F.replace(acc, e, F.coalesce(F.try_element_at(table, e), e)))
-    return F.when(s.rlike(ENTITY), F.replace(out, F.lit(mark), F.lit("&"))).otherwise(s)
+    return F.when(s.contains("&") & s.rlike(ENTITY), F.replace(out, F.lit(mark), F.lit("&"))).otherwise(s)
 
 
 @lru_cache(maxsize=1)
