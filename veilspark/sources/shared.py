@@ -20,14 +20,14 @@ def new_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-#: Tables up to this size are dealt out anew, as they may lie in one row group, which is one task's work.
-SMALL_BYTES = 256 << 20
+#: Bytes of a table, as it's stored, that one task has at most.
+TASK_BYTES = 32 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt out to all cores before costly work on its rows; a larger one as it's read, since its row groups do that."""
+    """A table dealt out to all cores before costly work on its rows, in ever more tasks as it grows: of any size, it may lie in few row groups, each of which is one task's work."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1))
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
