@@ -21,13 +21,25 @@ def new_folder(spark: SparkSession) -> str:
 
 
 #: Bytes of a table, as it's stored, that one task has at most.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 4 << 20
+#: What Spark doesn't know the size of, it takes to be larger than this.
+UNKNOWN_BYTES = 1 << 50
+
+
+def stored(df: DataFrame) -> int:
+    """Bytes of a table as Spark estimates them before it's read: those of its files, in proportion to its columns."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt_in(spark: SparkSession, size: int) -> int:
+    """The number of tasks for costly work on a table of so many stored bytes: it grows with these, so that no task does."""
+    tasks = size // TASK_BYTES + 1 if size < UNKNOWN_BYTES else 0
+    return max(2 * spark.sparkContext.defaultParallelism, tasks)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """A table dealt out to all cores before costly work on its rows, in ever more tasks as it grows: of any size, it may lie in few row groups, each of which is one task's work."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES + 1))
+    return df.repartition(dealt_in(df.sparkSession, stored(df)))
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

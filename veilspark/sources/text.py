@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilspark.sources.shared import dealt_in, stored
+
 MAX_LINE_BYTES, MAX_PARENTS = 4 << 20, 32
 
 
@@ -35,13 +37,22 @@ def local_path(path: Column) -> Column:
 
 #: Where events name the file that is read, and the transcript.
 FILE, TRANSCRIPT = "$.tool_input.file_path", "$.transcript_path"
+#: Stored bytes of files that may be broadcast; in memory they may be many times that.
+FEW_BYTES = 1 << 20
 
 
 def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
-    """events with file_text: the text of the file or transcript that each names. files: path, text; one row for each path."""
+    """events with file_text: the text of the file or transcript that each names. files: path, text; one row for each path.
+
+    Files are joined by a merge unless they're few. Rows are dealt out again after the join, whose tasks needn't grow in
+    number with the input, nor get as many rows each: many events may name one file.
+    """
     named = files.select(local_path(F.col("path")).alias("_path"), F.col("text").alias("file_text"))
     wanted = F.coalesce(F.get_json_object("payload", FILE), F.get_json_object("payload", TRANSCRIPT))
-    return events.join(named, local_path(wanted) == F.col("_path"), "left").drop("_path")
+    size = stored(files)
+    # a column: a sort by an expression would work it out for each comparison
+    joined = events.withColumn("_wanted", local_path(wanted)).join(named if size <= FEW_BYTES else named.hint("merge"), F.col("_wanted") == F.col("_path"), "left").drop("_path", "_wanted")
+    return joined.repartition(dealt_in(events.sparkSession, stored(events) + size))
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
