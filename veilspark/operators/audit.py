@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilspark.functions.text import parse_json, short_hash
+from veilspark.sources.shared import dealt_in, stored
 
 FIELDS = {"ts": "string", "tool": "string", "action": "string", "rules": "array<string>", "count": "bigint", "field": "string", "prev": "string", "hash": "string"}
 #: Line numbers of a log that are verified together.
@@ -95,7 +96,7 @@ def chain(events: DataFrame, log: str, order: str, ends: DataFrame | None = None
 
     kind = made.schema["log"].dataType.simpleString()
     # not the session's number: a join on log would make this exchange redundant, and adaptive execution could then split a log
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt_in(events.sparkSession, stored(events))) + 1
     return made.repartition(parts, "log").sortWithinPartitions("log", "_order").mapInArrow(run, f"log {kind}, line_no long, line string")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -55,21 +55,21 @@ def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
     return joined.repartition(dealt_in(events.sparkSession, stored(events) + size))
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
+def log_lines(spark: SparkSession, path: str, log: Callable[[Column], Column] = lambda file: file) -> DataFrame:
     """log, line_no, line of audit logs; blank lines count in the numbers. A longer line than 4 MiB is cut off as unreadable.
 
-    Files are read in Spark's own splits. A line's number is its place in its split, which its
-    task knows, and the lines of the splits before, of which there are few.
+    log: of a file's path, its log's name; a log of several files has them in the order of their paths. Files are read in
+    Spark's own splits, and no line is shuffled or sorted. A line's number is its place in its split, which its task
+    knows, and the lines of the splits before; a row for each split is all that's broadcast.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("_at"), "value")
-    held = raw.groupBy("log", "_at").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("log").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.select("log", "_at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    placed = raw.withColumn("_id", F.monotonically_increasing_id())
-    numbered = placed.withColumn("_n", F.row_number().over(Window.partitionBy("log", "_at").orderBy("_id")))
+    # ids ascend by one within a split, and are the same in both reads: filters aren't pushed below them
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), "value", F.monotonically_increasing_id().alias("_id"))
+    held = raw.groupBy("_file", "_at").agg(F.count("*").alias("n"), F.min("_id").alias("_first")).withColumn("log", log(F.col("_file")))
+    before = Window.partitionBy("log").orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select("log", "_file", "_at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_ahead"))
     line = F.regexp_replace("value", r"\r\z", "")
-    out = numbered.join(offsets, ["log", "_at"])
-    return out.select("log", (F.col("_before") + F.col("_n")).alias("line_no"), F.when(F.octet_length(line) <= MAX_LINE_BYTES, line).otherwise(F.lit("unreadable")).alias("line"))
+    out = raw.join(F.broadcast(offsets), ["_file", "_at"])
+    return out.select("log", (F.col("_id") + F.col("_ahead")).alias("line_no"), F.when(F.octet_length(line) <= MAX_LINE_BYTES, line).otherwise(F.lit("unreadable")).alias("line"))
 
 
 def split_failed(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
