@@ -34,34 +34,37 @@ def scanned(df: DataFrame, column: str, rules: Sequence[Rule], mode: str, name:
     return df.withColumn(name, tree_udf(rules)(F.when(worth_walking(rules, text) if where is None else where, text), F.lit(mode)))
 
 
-def leaves_of(tree: Column) -> Column:
-    """array<struct<path, at, value>>: the strings of a VARIANT up to the depth. `at` has the place at each level, keys in their order, so leaves sort by it."""
+def leaves_of(tree: Column, levels: Column | None = None) -> Column:
+    """array<struct<path, at, value>>: the strings of a VARIANT up to the depth. `at` has the place at each level, keys in their order, so leaves sort by it. levels: how many there are at most, if it's known."""
     none = F.array().cast(_NODES)
 
     def children(n: Column) -> Column:
-        kind = F.schema_of_variant(n["node"])
         under = lambda path, i, node: F.struct(path.alias("path"), F.concat(n["at"], F.array(i)).alias("at"), node.alias("node"))
         named = lambda e, i: under(F.when(n["path"] == "", e["key"]).otherwise(F.concat(n["path"], F.lit("."), e["key"])), i, e["value"])
         placed = lambda v, i: under(F.concat(n["path"], F.lit("["), i.cast("string"), F.lit("]")), i, v)
-        fields = F.map_entries(F.try_variant_get(n["node"], "$", "map<string,variant>"))
-        items = F.try_variant_get(n["node"], "$", "array<variant>")
-        return F.when(kind.startswith("OBJECT"), F.transform(fields, named)).when(kind.startswith("ARRAY"), F.transform(items, placed)).otherwise(none)
+        # null for anything else; to ask for a node's schema would walk all that's below it
+        fields = F.transform(F.map_entries(F.try_variant_get(n["node"], "$", "map<string,variant>")), named)
+        items = F.transform(F.try_variant_get(n["node"], "$", "array<variant>"), placed)
+        return F.coalesce(fields, items, none)
 
     def step(acc: Column, level: Column) -> Column:
-        strings = F.filter(acc["now"], lambda n: F.schema_of_variant(n["node"]) == "STRING")
+        nested = lambda n: F.try_variant_get(n["node"], "$", "map<string,variant>").isNotNull() | F.try_variant_get(n["node"], "$", "array<variant>").isNotNull()
+        strings = F.filter(acc["now"], lambda n: F.when(nested(n), F.lit(False)).otherwise(F.schema_of_variant(n["node"]) == "STRING"))
         new = F.transform(strings, lambda n: F.struct(n["path"].alias("path"), n["at"].alias("at"), F.try_variant_get(n["node"], "$", "string").alias("value")))
         below = F.when(level < TREE_DEPTH, F.flatten(F.transform(acc["now"], children))).otherwise(none)
         return F.when(F.size(acc["now"]) == 0, acc).otherwise(F.struct(below.alias("now"), F.concat(acc["out"], new).alias("out")))
 
     root = F.array(F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), tree.alias("node"))).cast(_NODES)
     zero = F.struct(root.alias("now"), F.array().cast(_LEAVES).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(TREE_DEPTH)), zero, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TREE_DEPTH) if levels is None else F.least(F.lit(TREE_DEPTH), levels)), zero, step, lambda acc: acc["out"])
 
 
 def json_leaves(text: Column) -> Column:
     """leaves_of a JSON text; one that isn't JSON, or in which a key is there twice, is one string, escaped slashes in it undone."""
     alone = F.array(F.struct(F.lit("").alias("path"), F.array().cast("array<int>").alias("at"), F.replace(text, F.lit("\\/"), F.lit("/")).alias("value"))).cast(_LEAVES)
-    return let(parse_json(text), lambda tree: F.when(tree.isNotNull(), leaves_of(tree)).otherwise(alone))
+    # each level is within one more bracket
+    levels = F.length(text) - F.length(F.translate(text, "[{", ""))
+    return let(parse_json(text), lambda tree: F.when(tree.isNotNull(), leaves_of(tree, levels)).otherwise(alone))
 
 
 def leaves(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -78,7 +81,10 @@ def _compiled(rules: tuple[Rule, ...], authored: bool, depth: int, _context: Spa
     def judged(leaf: Column) -> Column:
         return let(redacted(leaf["value"], rules, authored, depth), lambda r: F.struct(leaf["at"].alias("at"), leaf["path"].alias("path"), r["rules"].alias("rules"), r["more"].alias("more")))
 
-    hits = F.filter(F.transform(json_leaves(text), judged), lambda h: (F.size(h["rules"]) > 0) | h["more"])
+    def worth(leaf: Column) -> Column:
+        return worth_scanning(rules, leaf["value"])
+
+    hits = F.filter(F.transform(F.filter(json_leaves(text), worth), judged), lambda h: (F.size(h["rules"]) > 0) | h["more"])
     return F.when(worth_walking(rules, text), hits)
 
 
