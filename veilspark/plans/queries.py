@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark import catalog
@@ -818,31 +818,32 @@ l as (select stream, 2 * k as seq, case when k % 3 = 0 then 'x ' || {_PH} when k
 
 @query("stream_keyed", f"with {_BROKEN_DUCK} select stream, seq, redacted, case when row_number() over (partition by stream order by seq desc) = 1 and bool_or(hit) over (partition by stream) then '[veilspark] redacted 1 secret(s) (aws-access-key)' end as hint from l")
 def _stream_keyed(spark, sf_dir):
-    """Lines of many streams in three batches that are cut between the halves of a key, the last batch after a restart."""
-    from veilspark.sources.shared import new_folder
+    """Lines of many streams that come in three parts, cut between the halves of a key; the last part after a restart."""
+    from veilspark.sources.shared import arrived, new_folder
     from veilspark.streaming.keyed import redact_streams
 
     at = new_folder(spark)
-    pairs = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream"), F.col("o_orderkey").alias("k"), F.md5(F.col("o_orderkey").cast("string")).alias("h"))
-    lines = pairs.select("stream", F.explode(F.expr(f"array(struct(2 * k as seq, {_BROKEN} as line), struct(2 * k + 1 as seq, {_BROKEN_ON} as line))")).alias("l"))
-    newest = lines.groupBy("stream").agg(F.max("l.seq").alias("newest"))
-    lines = lines.join(newest, "stream").select("stream", "l.seq", "l.line", (F.col("l.seq") == F.col("newest")).alias("last"))
-    most = lines.agg(F.max("seq")).first()[0] or 0
+    pairs = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("stream"), F.col("o_orderkey").alias("k"))
+    most = 2 * (pairs.agg(F.max("k")).first()[0] or 0) + 1
     third = (most // 3) | 1  # odd: the second line of a pair begins a batch
+    pairs = pairs.withColumn("newest", F.max("k").over(Window.partitionBy("stream"))).withColumn("h", F.md5(F.col("k").cast("string")))
+    both = F.expr(f"array(struct(2 * k as seq, {_BROKEN} as line, false as last), struct(2 * k + 1 as seq, {_BROKEN_ON} as line, k = newest as last))")
+    lines = pairs.select("stream", F.explode(both).alias("l")).select("stream", "l.*", F.least(F.floor(F.col("l.seq") / third), F.lit(2)).cast("int").alias("part"))
+    lines.write.partitionBy("part").parquet(f"{at}/all")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         for parts in ((0, 1), (2,)):
             for n in parts:
-                part = F.least(F.floor(F.col("seq") / third), F.lit(2))
-                lines.where(part == n).write.mode("append").parquet(f"{at}/in/part={n}")
+                arrived(spark, f"{at}/all/part={n}", f"{at}/in/part={n}")
             stream = spark.readStream.schema("stream long, seq long, line string, last boolean, part int").option("maxFilesPerTrigger", 100_000).parquet(f"{at}/in")
             done = redact_streams(stream.drop("part"), [RULES["aws-access-key"]])
             done.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(provider, before)
     _dropped(spark, at)
+    drop_folder(spark, f"{at}/all")
     return spark.read.parquet(f"{at}/out").select("stream", "seq", "redacted", "hint")
 
 

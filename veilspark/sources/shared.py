@@ -45,3 +45,13 @@ def spread(df: DataFrame) -> DataFrame:
 def drop_folder(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def arrived(spark: SparkSession, path: str, to: str) -> None:
+    """A folder, if it's there, at its place in a folder that a stream reads, all at once."""
+    at, put = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        fs.mkdirs(put.getParent())
+        if not fs.rename(at, put):
+            raise OSError(f"{path} can't be moved to {to}")
