@@ -15,6 +15,8 @@ BASE64 = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 HEX = r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{16,}"
 _URL = r"A-Za-z0-9_.~+/=:%-"
 PERCENT = rf"(?<![{_URL}])[{_URL}]*%[0-9A-Fa-f]{{2}}[{_URL}]*"
+#: What a text with such a run holds; looking for it takes less than looking behind each character.
+HEXED = "[0-9A-Fa-f]{16}"
 #: What each of these segments holds.
 ESCAPE = "%[0-9A-Fa-f]{2}"
 #: Of the second one, a space at the end isn't part of the segment.
@@ -70,7 +72,7 @@ def decodings(text: Column) -> Column:
         return each if held is None else F.when(held, each).otherwise(none)
 
     hexed = lambda s: F.when(F.length(s) % 2 == 0, F.unhex(s).cast("string"))
-    every = F.concat(found(BASE64, _base64), found(HEX, hexed), found(PERCENT, _percent, text.contains("%") & text.rlike(ESCAPE)), *[found(p, _unicode, text.contains(h)) for p, h in zip(UNICODE, ("\\u", "U+", "U+"))])
+    every = F.concat(found(BASE64, _base64), found(HEX, hexed, text.rlike(HEXED)), found(PERCENT, _percent, text.contains("%") & text.rlike(ESCAPE)), *[found(p, _unicode, text.contains(h)) for p, h in zip(UNICODE, ("\\u", "U+", "U+"))])
     return F.when(text.rlike(MAY_BE_ENCODED), F.filter(every, lambda d: F.coalesce(d["text"].rlike(PRINTABLE), F.lit(False)))).otherwise(none)
 
 

@@ -34,8 +34,8 @@ def _near_everywhere(text: Column, segment: Column) -> Column:
     return ~F.exists(F.split(text, "\n", -1), lambda line: line.contains(segment) & ~near_marker(line, segment))
 
 
-def searched(rules: Sequence[Rule], text: Column, authored: bool, depth: int = NATIVE_DEPTH) -> Column:
-    """struct(found, more): findings of a text and of what its segments decode to, distinct, in order; and whether anything decodes to deeper levels."""
+def searched(rules: Sequence[Rule], text: Column, authored: bool, depth: int = NATIVE_DEPTH, leave: bool = False) -> Column:
+    """struct(found, more): findings of a text and of what its segments decode to, distinct, in order; and whether anything decodes to deeper levels. leave: if so, it isn't searched."""
     none = F.array().cast(SEGMENT)
     once = decodings(text) if depth > 0 else none
 
@@ -54,8 +54,10 @@ def searched(rules: Sequence[Rule], text: Column, authored: bool, depth: int = N
 
         found = F.array_distinct(F.flatten(F.transform(lowered, of)))
         last = d2 if depth > 1 else d1
-        more = F.when(F.size(last) > 0, F.size(deeper(last)) > 0).otherwise(F.lit(False)) if depth > 0 else text.rlike("(?!)")
-        return F.struct(found.alias("found"), more.alias("more"))
+        more = F.exists(last, lambda d: F.size(decodings(d["text"])) > 0) if depth > 0 else text.rlike("(?!)")
+        if not leave:
+            return F.struct(found.alias("found"), more.alias("more"))
+        return let(more, lambda m: F.struct(F.when(m, F.array().cast(FOUND)).otherwise(found).alias("found"), m.alias("more")))
 
     return let(once, body)
 
@@ -65,7 +67,7 @@ def _form(f: Column) -> tuple[Column, Column]:
     return F.when(f["encoded"] != "", f["encoded"]).otherwise(f["match"]), F.when(f["encoded"] != "", f["encoded"]).otherwise(f["secret"])
 
 
-def _seen_through(rules: Sequence[Rule], text: Column, authored: bool, depth: int) -> Column:
+def _seen_through(rules: Sequence[Rule], text: Column, authored: bool, depth: int, leave: bool) -> Column:
     """array<struct(line, ids, more)>: the lines of a text, those with findings in a view as a placeholder of the first one."""
 
     def line(s: Column) -> Column:
@@ -77,14 +79,14 @@ def _seen_through(rules: Sequence[Rule], text: Column, authored: bool, depth: in
             return F.struct(F.when(F.size(found) > 0, ph).otherwise(s).alias("line"), ids.alias("ids"), more.alias("more"))
 
         plain = F.struct(s.alias("line"), F.array().cast(_IDS).alias("ids"), F.lit(False).alias("more"))
-        seen = let(F.transform(let(strip_ansi(s), normalized_views), lambda v: searched(rules, v, authored, depth)), judged)
+        seen = let(F.transform(let(strip_ansi(s), normalized_views), lambda v: searched(rules, v, authored, depth, leave)), judged)
         return F.when(obfuscated(s), seen).otherwise(plain)
 
     return F.transform(F.split(text, "\n", -1), line)
 
 
-def redacted(text: Column, rules: Sequence[Rule], authored: bool = False, depth: int = NATIVE_DEPTH) -> Column:
-    """struct(text, rules, more): the redacted text, ids of rules whose secrets are gone (none if nothing changed), and whether deeper decoding may find more."""
+def redacted(text: Column, rules: Sequence[Rule], authored: bool = False, depth: int = NATIVE_DEPTH, leave: bool = False) -> Column:
+    """struct(text, rules, more): the redacted text, ids of rules whose secrets are gone (none if nothing changed), and whether deeper decoding may find more. leave: if so, another pass does the whole text, and it's left as it is."""
     none = F.array().cast(_IDS)
 
     def spliced(s: Column) -> Column:
@@ -96,9 +98,12 @@ def redacted(text: Column, rules: Sequence[Rule], authored: bool = False, depth:
             return let(F.struct(needle.alias("needle"), secret.alias("secret")), lambda x: ~leaks(out, strip_ansi(out), x["needle"], x["secret"]))
 
         ids = F.transform(F.filter(s["found"], gone), lambda f: f["rule_id"])
-        return F.when(obfuscated(out), let(_seen_through(rules, out, authored, depth), lambda lines: ended(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.concat(ids, F.flatten(F.transform(lines, lambda x: x["ids"]))), s["more"] | F.exists(lines, lambda x: x["more"])))).otherwise(ended(out, ids, s["more"]))
+        return F.when(obfuscated(out), let(_seen_through(rules, out, authored, depth, leave), lambda lines: ended(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.concat(ids, F.flatten(F.transform(lines, lambda x: x["ids"]))), s["more"] | F.exists(lines, lambda x: x["more"])))).otherwise(ended(out, ids, s["more"]))
 
     def ended(out: Column, ids: Column, more: Column) -> Column:
         return F.struct(out.alias("text"), F.when(out != text, F.array_distinct(ids)).otherwise(none).alias("rules"), more.alias("more"))
 
-    return let(let(strip_ansi(text), lambda bare: searched(rules, bare, authored, depth)), spliced)
+    def told(s: Column) -> Column:
+        return F.when(s["more"], F.struct(text.alias("text"), none.alias("rules"), s["more"].alias("more"))).otherwise(spliced(s)) if leave else spliced(s)
+
+    return let(let(strip_ansi(text), lambda bare: searched(rules, bare, authored, depth, leave)), told)
