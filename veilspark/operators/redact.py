@@ -115,7 +115,7 @@ def tree_udf(rules: Sequence[Rule]):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         engine = Engine(rules)
         for texts, modes in batches:
-            yield pa.array([None if t is None else guarded(lambda s, m=m: engine.redact_json(s, m or ""), t) for t, m in zip(texts.cast(pa.binary()).to_pylist(), modes.to_pylist())], _TREE)
+            yield _structs([None if t is None else guarded(lambda s, m=m: engine.redact_json(s, m or ""), t) for t, m in zip(texts.cast(pa.binary()).to_pylist(), modes.to_pylist())], _TREE)
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     # said to be nondeterministic so that a filter on its result isn't pushed below it, which would run it twice
