@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +49,8 @@ VARIED, VARIED_WEIGHT = 15, 0.5
 #: What a toxic document with its insults altered weighs in the curve.
 ALTERED_WEIGHT = 0.1
 PLACES, DECAY, LONGEST = 1 << 16, 0.8, 24
+#: Words that are mapped, rows that are multiplied and documents that are looked up together.
+BLOCK = 2000
 #: Offsets of a subsequence's further characters.
 SUBSEQUENCES = [(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4), (1, 3, 5), (2, 3, 5), (2, 4, 5)]
 CACHE_WORDS = 400_000
@@ -103,36 +105,52 @@ def _norms(n: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(own, 1e-9))
 
 
-def mapped(words: list[str]) -> np.ndarray:
-    """Words' scaled subsequence weights, a row of PLACES each. For landmarks."""
-    out = np.zeros((len(words), PLACES), np.float32)
-    rows = np.arange(len(words))[:, None]
-    for h, inside, weight in _occurrences(words):
-        at, n = np.unique(np.broadcast_to(rows, h.shape)[inside] * PLACES + h[inside], return_counts=True)
+def landmark_weights(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places that words' subsequences have, and the words' scaled weights at these, a row each: most of PLACES has none."""
+    found = [(np.nonzero(inside)[0], h[inside].astype(np.int64), weight) for h, inside, weight in _occurrences(words)]
+    places = np.unique(np.concatenate([h for _, h, _ in found])) if found else np.zeros(0, np.int64)
+    out = np.zeros((len(words), len(places)), np.float32)
+    for row, h, weight in found:
+        at, n = np.unique(row * len(places) + np.searchsorted(places, h), return_counts=True)
         out.reshape(-1)[at] += weight * n
     out /= _norms(np.array([len(w) + 2 for w in words]))[:, None].astype(np.float32)
+    return places, out
+
+
+def mapped(words: list[str]) -> np.ndarray:
+    """Words' scaled subsequence weights, a row of PLACES each."""
+    places, own = landmark_weights(words)
+    out = np.zeros((len(words), PLACES), np.float32)
+    out[:, places] = own
     return out
 
 
-def dot(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Scaled subsequence weights of words times weights (PLACES, or PLACES x m)."""
-    shape = (len(words), *weights.shape[1:])
-    out = np.zeros(shape)
-    for h, inside, weight in _occurrences(words):
-        for k in range(h.shape[1]):
-            got = weights[h[:, k]]
-            got[~inside[:, k]] = 0
-            out += weight * got
-    norms = _norms(np.array([len(w) + 2 for w in words]))
-    return out / (norms[:, None] if out.ndim == 2 else norms)
+def dot(words: list[str], weights: np.ndarray, rows: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
+    """Scaled subsequence weights of words times weights: of PLACES, or PLACES x m; or of fewer rows, if `rows` has a row's number for each place. Into out, if given."""
+    if out is None:
+        out = np.zeros((len(words), *weights.shape[1:]))
+    for at in range(0, len(words), BLOCK):
+        some, sums = words[at : at + BLOCK], out[at : at + BLOCK]
+        for h, inside, weight in _occurrences(some):
+            for k in range(h.shape[1]):
+                got = weights[h[:, k] if rows is None else rows[h[:, k]]]
+                got[~inside[:, k]] = 0
+                got *= weight
+                sums += got
+        norms = _norms(np.array([len(w) + 2 for w in some]))
+        sums /= norms[:, None] if out.ndim == 2 else norms
+    return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear machine with squared hinge loss, each class' weights w scaled to a half; by accelerated gradient."""
+def machine(x1: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 2e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear machine with squared hinge loss, each class' weights w scaled to a half; by accelerated gradient. The last column of x1 is ones."""
     up, down = w[y > 0].sum(), w[y <= 0].sum()
     w = w * np.where(y > 0, 0.5 / up if up else 0, 0.5 / down if down else 0)
-    x1 = np.concatenate((x, np.ones((len(x), 1))), axis=1)
-    bound = 2 * np.linalg.norm((x1 * w[:, None]).T @ x1, 2) + 2 * penalty
+    square = np.zeros((x1.shape[1], x1.shape[1]))
+    for at in range(0, len(x1), BLOCK):
+        some = x1[at : at + BLOCK]
+        square += (some * w[at : at + BLOCK, None]).T @ some
+    bound = 2 * np.linalg.norm(square, 2) + 2 * penalty
     p = q = np.zeros(x1.shape[1])
     t = 1.0
     for _ in range(steps):
@@ -207,6 +225,12 @@ def distinct_bags(bags: list[tuple[set[str], int]]) -> list[tuple[set[str], int]
     return out
 
 
+def bags_of(rows: Iterable[tuple[str, int]]) -> list[tuple[set[str], int]]:
+    """Bags of texts of words parted by spaces, and their labels. A word of several bags is held once."""
+    once: dict[str, str] = {}
+    return [({once.setdefault(w, w) for w in text.split(" ") if w}, y) for text, y in rows]
+
+
 def fit(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | None:
     """bags: letters of a document's words, and its label."""
     own_bags = distinct_bags(bags)
@@ -239,16 +263,24 @@ def fit(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: in
         weight = [seeds[w] for w in good] + [VARIED_WEIGHT * seeds[w] / len(vs) for w, vs in zip([w for w in good if w in leading], more) for _ in vs] + [1.0] * len(bad)
         marks = sorted(good, key=lambda w: (-seeds[w], w))[: landmarks // 2]
         marks += bad[: landmarks - len(marks)]
-        own = mapped(marks)
+        places, own = landmark_weights(marks)
         value, vector = np.linalg.eigh((own @ own.T).astype(np.float64))
         keep = value > 1e-6 * value[-1]
         root = vector[:, keep] / np.sqrt(value[keep])  # K^(-1/2), in its own axes
-        nystrom = own.T @ root.astype(np.float32)  # PLACES x rank
+        nystrom = np.zeros((len(places) + 1, root.shape[1]), np.float32)  # a row for each place of the landmarks', and one of zeros for all others
+        np.matmul(own.T, root.astype(np.float32), out=nystrom[:-1])
+        rows = np.full(PLACES, len(places))
+        rows[places] = np.arange(len(places))
         words = good + [v for vs in more for v in vs]
-        x = dot(words + bad, nystrom)
+        x1 = np.zeros((len(words) + len(bad), root.shape[1] + 1))
+        dot(words + bad, nystrom, rows, x1[:, :-1])
+        x1[:, -1] = 1
         y = np.concatenate((np.ones(len(words)), -np.ones(len(bad))))
-        w, bias = machine(x, y, np.array(weight)) if len(bad) else (np.zeros(x.shape[1]), 0.0)
-        model = Model((nystrom @ w.astype(np.float32)).astype(np.float32), bias, np.zeros(TOP + 2))
+        w, bias = machine(x1, y, np.array(weight)) if len(bad) else (np.zeros(root.shape[1]), 0.0)
+        at_places = np.zeros(PLACES, np.float32)
+        at_places[places] = nystrom[:-1] @ w.astype(np.float32)
+        model = Model(at_places, bias, np.zeros(TOP + 2))
+        del own, nystrom, x1  # what follows doesn't need them
         # its errors on clean documents
         s = model.word_scores(pool)
         others |= {pool[k] for k in np.argsort(-s, kind="stable")[:3000] if s[k] > -0.6}
@@ -260,17 +292,24 @@ def fit(bags: list[tuple[set[str], int]], landmarks: int = LANDMARKS, rounds: in
             if new:
                 seeds.setdefault(max(new, key=lambda w: (by[w], w)), min(seeds.values()))
     # toxic documents come again with their insults altered
-    again = [({altered(w) if w in leading else w for w in b}, 1) for b, y in bags if y == 1 and b & leading]
-    every = [*bags, *again]
-    x = evidence(_tops_of([b for b, _ in every], model))
+    change = {w: altered(w) for w in leading}
+    again = [b for b, y in bags if y == 1 and b & leading]
+    x = evidence(np.concatenate((_tops_of([b for b, _ in bags], model), _tops_of(again, model, change))))
     weights = np.concatenate((np.ones(len(bags)), np.full(len(again), ALTERED_WEIGHT)))
-    return Model(model.weights, model.bias, _curve(x, np.array([label for _, label in every], np.float64), weights))
-
-
-def _tops_of(bags: list[set[str]], model: Model) -> np.ndarray:
-    words = sorted({w for b in bags for w in b})
-    by = dict(zip(words, np.maximum(model.word_scores(words), FLOOR).tolist()))
-    return np.array([sorted((by[w] for w in b), reverse=True)[:TOP] + [FLOOR] * max(0, TOP - len(b)) for b in bags])
+    return Model(model.weights, model.bias, _curve(x, np.array([label for _, label in bags] + [1] * len(again), np.float64), weights))
+
+
+def _tops_of(bags: list[set[str]], model: Model, change: dict[str, str] | None = None) -> np.ndarray:
+    """Scores of each bag's TOP most toxic words; change: words that stand for others."""
+    out = np.full((len(bags), TOP), FLOOR)
+    for at in range(0, len(bags), BLOCK):
+        some = [{change.get(w, w) for w in b} if change else b for b in bags[at : at + BLOCK]]
+        words = sorted(set().union(*some))
+        by = dict(zip(words, np.maximum(model.word_scores(words), FLOOR).tolist()))
+        for k, b in enumerate(some, at):
+            best = sorted(map(by.__getitem__, b), reverse=True)[:TOP]
+            out[k, : len(best)] = best
+    return out
 
 
 def _curve(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -312,7 +351,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.string())], names=["doc_id", "toxic", "bag"])
 
     found = sorted(tuple(r) for r in sample.mapInArrow(run, "doc_id long, toxic int, bag string").collect())
-    return fit([(set(b.split(" ")) - {""}, y) for _, y, b in found])
+    bags = bags_of((b, y) for _, y, b in found)
+    del found
+    return fit(bags)
 
 
 _scores: dict[int, tuple[dict[str, float], dict[str, str]]] = {}
