@@ -512,7 +512,7 @@ def _project_skip(spark, sf_dir):
     path = "case k % 4 when 0 then 'src/vendored/a.py' when 1 then 'src/a.py' when 2 then 'yarn.lock' else 'lock/a.py' end"
     payload = f"""'{{"tool_input":{{"file_path":"' || {path} || '","content":"k=' || {_KEY} || '"}}}}'"""
     df = _seeded(spark, sf_dir, payload).select("k", F.lit("claudecode").alias("harness"), F.lit("pre_tool").alias("event"), F.lit("Write").alias("tool"), F.col("c").alias("payload"))
-    return policy.decide(df, [RULES["aws-access-key"]], policy.Settings(skip=skip)).select("k", "action")
+    return policy.decide(df, [RULES["aws-access-key"]], policy.Settings(skip=skip), only_actions=True).select("k", "action")
 
 
 # Trees ----------------------------------------------------------------------------------------------------
@@ -654,7 +654,7 @@ def _policy_paused(spark, sf_dir):
 @query("policy_warn_only", f"select k, case k % 7 when 0 then 'wrap' when 1 then 'deny' when 3 then 'pass' when 6 then 'prime' else 'warn' end as action from {KEYED}")
 def _policy_warn(spark, sf_dir):
     df = _seeded(spark, sf_dir, _EVENT).select("k", F.lit("claudecode").alias("harness"), F.lit("pre_tool").alias("event"), F.expr(_EVENT_TOOL).alias("tool"), F.col("c").alias("payload"))
-    return policy.decide(df, [RULES["aws-access-key"]], policy.Settings(warn_only=True)).select("k", "action")
+    return policy.decide(df, [RULES["aws-access-key"]], policy.Settings(warn_only=True), only_actions=True).select("k", "action")
 
 
 @query("policy_tool_calls", f"select k, case when k % 6 = 0 then 'deny' else 'pass' end as pi, case when k % 6 in (0, 1, 4) then 'deny' else 'pass' end as opencode from {KEYED}")
