@@ -33,11 +33,11 @@ def worth_walking(rules: Sequence[Rule], text: Column) -> Column:
 
 
 def guarded(run: Callable[[str], dict], raw: bytes) -> dict:
-    """What run makes of a text in UTF-8; a text it fails on stays, with the error, and others aren't concerned."""
+    """What run makes of a text; bytes that aren't UTF-8 are read as U+FFFD, and what's beside them counts. What it fails on is raised: without a result, a text would look clean."""
     try:
-        return run(raw.decode()) | {"error": None}
-    except Exception as e:  # noqa: BLE001  whatever it is, it's told
-        return {"error": whole(f"{type(e).__name__}: {e}")[:200]}
+        return run(raw.decode("utf-8", "replace")) | {"error": None}
+    except Exception as e:
+        raise RuntimeError(f"a text of {len(raw)} bytes can't be scanned: {whole(f'{type(e).__name__}: {e}')[:200]}") from e
 
 
 def _structs(rows: list[dict | None], kind: pa.StructType) -> pa.Array:
