@@ -59,15 +59,11 @@ def searched(rules: Sequence[Rule], text: Column, authored: bool, depth: int = N
     def body(d1: Column) -> Column:
         return let(F.when(F.size(d1) > 0, deeper(d1)).otherwise(none) if depth > 1 else none, lambda d2: over(d1, d2))
 
-    def below(d: Column) -> Column:
-        """What lies below a level, down to the depth."""
-        step = lambda acc, _: F.when(F.size(acc["now"]) == 0, acc).otherwise(let(deeper(acc["now"]), lambda e: F.struct(e.alias("now"), F.concat(acc["out"], e).alias("out"))))
-        folded = F.aggregate(F.sequence(F.lit(NATIVE_DEPTH + 1), F.lit(depth)), F.struct(d.alias("now"), none.alias("out")), step, lambda acc: acc["out"])
-        return F.when(F.size(d) > 0, folded).otherwise(none)
+    def step(levels: Column, _: Column) -> Column:
+        last = F.element_at(levels, -1)
+        return F.when(F.size(last) > 0, F.concat(levels, F.array(deeper(last)))).otherwise(levels)
 
     def over(d1: Column, d2: Column) -> Column:
-        if depth > NATIVE_DEPTH:
-            return let(below(d2), lambda d3: judged(F.concat(d1, d2, d3), F.size(d3) > 0))
         last = d2 if depth > 1 else d1
         return judged(F.concat(d1, d2), F.exists(last, lambda d: F.size(decodings(d["text"])) > 0) if depth > 0 else text.rlike("(?!)"))
 
@@ -86,6 +82,9 @@ def searched(rules: Sequence[Rule], text: Column, authored: bool, depth: int = N
             return F.struct(found.alias("found"), more.alias("more"))
         return let(more, lambda m: F.struct(F.when(m, F.array().cast(FOUND)).otherwise(found).alias("found"), m.alias("more")))
 
+    if depth > NATIVE_DEPTH:
+        levels = F.aggregate(F.sequence(F.lit(2), F.lit(depth)), F.array(once), step)
+        return let(levels, lambda x: judged(F.flatten(x), F.coalesce(F.size(F.get(x, F.lit(NATIVE_DEPTH))) > 0, F.lit(False))))
     return let(once, body)
 
 

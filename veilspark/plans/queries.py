@@ -552,9 +552,8 @@ _HIDDEN = f"""'{{"a":["x","' || regexp_replace(regexp_replace(hex({_KEY}), '(..)
 @query("tree_hidden_hits", f"select k, 'aws-access-key' as rules, 'a[1],b.c' as fields, 'a[1]' as first_field from {KEYED}")
 def _hidden_hits(spark, sf_dir):
     """Leaves whose secrets only views and decoding show."""
-    df = _seeded(spark, sf_dir, _HIDDEN)
-    every = tree.all_hits(df, "k", "c", _TREE_RULES).select("k", F.array_join("rules", ",").alias("rules"), F.array_join("fields", ",").alias("fields"))
-    return every.join(tree.first_hit(df, "k", "c", _TREE_RULES).select("k", F.col("field").alias("first_field")), "k")
+    found = tree.hits(_seeded(spark, sf_dir, _HIDDEN), "k", "c", _TREE_RULES)
+    return found.select("k", F.array_join("rules", ",").alias("rules"), F.array_join("fields", ",").alias("fields"), F.col("field").alias("first_field"))
 
 
 @query("tree_depth", f"select k, case when k % 2 = 0 then 'aws-access-key' else '' end as rules from {KEYED}")
