@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -86,6 +87,27 @@ def write_lines(df: DataFrame, path: str, column: str = "redacted") -> None:
     df.select(F.col(column).alias("value")).write.mode("error").text(path)
 
 
+def digests(pieces: DataFrame, key: str, order: Sequence[str], column: str) -> DataFrame:
+    """key (a long), n, digest: lines and MD5 of the pieces (binary) of each key, one after the other in their order. Pieces stream by in Arrow batches, which Spark bounds by bytes; no key's text is held whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda k, n, made: pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([made.hexdigest()], pa.string())], names=[key, "n", "digest"])
+        now = None
+        for batch in batches:
+            for k, text in zip(batch.column(0), batch.column(1)):
+                k, raw = k.as_py(), memoryview(text.as_buffer())
+                if now is None or now[0] != k:
+                    if now is not None:
+                        yield row(*now)
+                    now = [k, 0, hashlib.md5(usedforsecurity=False)]
+                now[1] += bytes(raw).count(b"\n")
+                now[2].update(raw)
+        if now is not None:
+            yield row(*now)
+
+    return pieces.repartition(F.col(key)).sortWithinPartitions(key, *order).select(key, column).mapInArrow(run, f"{key} long, n long, digest string")
+
+
 def write_copies(decided: DataFrame) -> DataFrame:
     """Writes the redacted copies of files that policy.decide() redirects to, and returns copy and n_bytes for each.
 
